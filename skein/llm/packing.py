@@ -11,6 +11,7 @@ Other columns of the input are not read.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_text
-from .pretokens import PieceCache, split
+from .pretokens import PieceCache
 
 WINDOW = 1024
 END_ID = 0
@@ -39,11 +40,12 @@ _encoders: dict[str, PieceCache] = {}
 def token_bytes(tokenizer_file: str) -> PieceCache:
     """pre-token -> its ids as little-endian unsigned 32-bit integers, by the tokenizers library."""
     if tokenizer_file not in _encoders:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_file)
         tokenizer.encode_special_tokens = True
-        _encoders[tokenizer_file] = PieceCache(lambda p: np.asarray(tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes())
+        _encoders[tokenizer_file] = PieceCache(lambda ps: [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(ps, add_special_tokens=False)])
     return _encoders[tokenizer_file]
 
 
@@ -105,8 +107,8 @@ def pieces(docs: DataFrame, tokenizer_file: str, window: int = WINDOW) -> DataFr
 
     def cut(ids: list, texts: list[str]) -> list:
         cache, out = token_bytes(tokenizer_file), ([], [], [], [], [])
-        for doc_id, text in zip(ids, texts, strict=True):
-            data = memoryview(b"".join([cache[p] for p in split(text)]) + end)
+        for doc_id, text in zip(ids, cache.split(texts), strict=True):
+            data = memoryview(b"".join([cache[p] for p in text]) + end)
             n = len(data) // 4
             for start in range(0, n, window):
                 part = data[4 * start : 4 * (start + window)]

@@ -39,16 +39,22 @@ def split(text: str) -> list[str]:
 
 
 class PieceCache(dict):
-    """pre-token -> value, filled on demand by ``encode`` on one unseen pre-token; bounded in entries."""
+    """pre-token -> value.  ``encode`` makes the values of a list of unseen pre-tokens; the cache is bounded."""
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int = CACHE_ENTRIES):
+    def __init__(self, encode: Callable[[list[str]], list], limit: int = CACHE_ENTRIES):
         super().__init__()
-        self.encode, self.limit = encode, limit
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.limit:
+        self.encode, self.limit, self.long = encode, limit, []
+
+    def split(self, texts: list[str]) -> list[list[str]]:
+        """The pre-tokens of each text; afterwards, and until the next call, each has its value here."""
+        for piece in self.long:
+            del self[piece]
+        out = [split(t) for t in texts]
+        need = set().union(*out)
+        if len(self) + len(missing := need.difference(self)) > self.limit:
             self.clear()
-        value = self.encode(piece)
-        if len(piece) <= 64:
-            self[piece] = value
-        return value
+            missing = need
+        pieces = sorted(missing)
+        self.update(zip(pieces, self.encode(pieces), strict=True))
+        self.long = [p for p in pieces if len(p) > 64]
+        return out
