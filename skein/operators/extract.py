@@ -126,7 +126,7 @@ IMPORTS |= {n: [r"(?:^|\s)(?:import|export)\b[^'\"]*?\bfrom\s*['\"]([^'\"]+)", r
 IMPORTS |= {n: [r'^\s*#\s*(?:include|import)\s*("[^"]+"|<[^>]+>)'] for n in ("C", "Cpp", "ObjC", "ObjCpp")}
 
 _CALL = re.compile(rf"(?<![\w$])({_ID})\s*\(")
-_NOT_CALLS = set("if for while switch return catch function def fn func class sizeof typeof match when elif and or not in lambda print await yield new with assert del except using lock".split())
+_NOT_CALLS = set("if for while switch return catch function def fn func class sizeof typeof match when elif and or not in lambda print await yield new with assert del except using lock import".split())
 _INDENTED = {"Python"}
 _WORD_END = {"Ruby", "Lua", "VisualBasic"}
 

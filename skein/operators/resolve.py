@@ -131,7 +131,7 @@ def proto(path: str, spec: str, roots: list[str]) -> list[str]:
 
 
 def shell(path: str, spec: str, roots: list[str]) -> list[str]:
-    tail = re.sub(r"^.*[$})`\"]/", "", spec)
+    tail = re.sub(r"^.*(\$\w+|\$\{[^}]*\}|\$\([^)]*\)|`[^`]*`|\")/", "", spec)
     bases = [dirname(path), ""] if tail == spec else _above(dirname(path))
     return [x for x in (join_rel(b, tail) for b in bases) if x]
 

@@ -132,11 +132,11 @@ def ignore_rules(spark: SparkSession, lines: list[tuple[str, str]]) -> DataFrame
 
 
 def decoded(content: Column | str) -> Column:
-    """Text by byte order mark, else UTF-8 if valid, else Windows-1252; lone carriage returns become line feeds."""
+    """Text by byte order mark, else UTF-8 if valid, else Latin-1; lone carriage returns become line feeds."""
     c = F.col(content) if isinstance(content, str) else content
     h = F.hex(F.substring(c, 1, 3))
     utf8 = F.make_valid_utf8(c.cast("string"))
-    s = F.when(h.startswith("EFBBBF"), F.regexp_replace(utf8, "^\ufeff", "")).when(h.startswith("FFFE"), F.decode(F.substring(c, 3, 1 << 30), "UTF-16LE")).when(h.startswith("FEFF"), F.decode(F.substring(c, 3, 1 << 30), "UTF-16BE")).when(F.is_valid_utf8(c.cast("string")), utf8).otherwise(F.decode(c, "windows-1252"))
+    s = F.when(h.startswith("EFBBBF"), F.regexp_replace(utf8, "^\ufeff", "")).when(h.startswith("FFFE"), F.decode(F.substring(c, 3, 1 << 30), "UTF-16LE")).when(h.startswith("FEFF"), F.decode(F.substring(c, 3, 1 << 30), "UTF-16BE")).when(F.is_valid_utf8(c.cast("string")), utf8).otherwise(F.decode(c, "ISO-8859-1"))
     return F.regexp_replace(s, "\r(?!\n)", "\n")
 
 

@@ -49,8 +49,9 @@ def coalesce_changes(changes: DataFrame, key: str = "path", kind: str = "kind",
     return changes.groupBy(key).applyInPandasWithState(step, f"{key} string, change string, {seq} long", "change string, seq long", "update", GroupStateTimeout.NoTimeout)
 
 
-def repeat_guard(calls: DataFrame, key: str, us: str, most: int = REPEAT_MAX, window_us: int = GUARD_WINDOW_US, idle_ms: int = 1_200_000) -> DataFrame:
-    """key, us, prior, blocked of each call; only runs that are not blocked are recorded.  Idle keys are forgotten."""
+def repeat_guard(calls: DataFrame, key: str, us: str, most: int = REPEAT_MAX, window_us: int = GUARD_WINDOW_US, idle_ms: int | None = None) -> DataFrame:
+    """key, us, prior, blocked of each call; only runs that are not blocked are recorded.  With ``idle_ms``, keys are
+    forgotten after that time without a call; such a query always has a next batch, so it suits running triggers only."""
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -63,10 +64,11 @@ def repeat_guard(calls: DataFrame, key: str, us: str, most: int = REPEAT_MAX, wi
             if len(kept) < most:
                 kept.append(int(t))
         state.update((kept,))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=[key, us, "prior", "blocked"])
 
-    return calls.groupBy(key).applyInPandasWithState(step, f"{key} long, {us} long, prior int, blocked boolean", "kept array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return calls.groupBy(key).applyInPandasWithState(step, f"{key} long, {us} long, prior int, blocked boolean", "kept array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def upsert_batches(target: str, key: list[str]):
