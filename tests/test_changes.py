@@ -54,3 +54,11 @@ def test_denial_resets_and_silences(spark):
     df = spark.createDataFrame(calls, "s int, us long, id long, kind string")
     got = [r["decision"] for r in C.burst_guard(df, "s", "us", "kind", {"grep": 100}, {"grep": 3}, "tool", silence_us=15).orderBy("id").collect()]
     assert got == ["allow", "allow", "deny", "silenced", "allow", "reset", "allow", "neutral"]
+
+
+def test_bootstrap_interval_holds_the_mean(spark):
+    from skein.operators.reports import bootstrap
+
+    df = spark.createDataFrame([(float(x),) for x in range(50)] + [(None,)], "d double")
+    a, b = (bootstrap(p, "d", resamples=2_000).first() for p in (df, df.repartition(7)))
+    assert a == b and a["n"] == 50 and a["mean"] == 24.5 and a["low"] < 24.5 < a["high"]
