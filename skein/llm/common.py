@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a text batch a Python worker holds at once.
 SLICE_ROWS = 512
+#: Rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +69,21 @@ def crc_mod(doc_id: str | Column, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows and bytes: a batch stands several times in the memory of executor and worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Gives freed memory of a worker, which lives on, back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def map_text(df: DataFrame, f: Callable[[list, list[str]], list], schema: str, arrow: pa.Schema, id_col="doc_id", text_col="text") -> DataFrame:
     """``f(ids, texts)`` over bounded slices of each Arrow batch; it returns one list a column.  A null text is empty."""
 
@@ -75,5 +93,7 @@ def map_text(df: DataFrame, f: Callable[[list, list[str]], list], schema: str, a
                 part = batch.slice(at, SLICE_ROWS)
                 columns = f(part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k.type) for c, k in zip(columns, arrow, strict=True)], schema=arrow)
+        release()
 
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_text
+from .common import crc_mod, map_text, release
 from .labelled import SAMPLE_ROWS, logistic, sample, sigmoid
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
@@ -69,6 +69,9 @@ def statistics(text: str) -> list[float]:
     ]
 
 
+FIGURES = len(statistics(""))
+
+
 class Discriminant:
     """Means, Cholesky factors and log determinants of the classes, and the scale and shift of the score."""
 
@@ -140,8 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Discrimi
     chosen = sample(docs, labels, "quality", FOLDS, HELD_OUT, rows).withColumn("text", F.concat(F.col("label").cast("string"), F.coalesce("text", F.lit(""))))
     measured = map_text(chosen, lambda ids, texts: [ids, [[float(t[:1]), *statistics(t[1:])] for t in texts]], "doc_id long, x array<double>", arrow)
     got = sorted((r["doc_id"], list(r["x"])) for r in measured.collect())
-    a = np.array([x for _, x in got], float).reshape(len(got), -1)
-    y = a[:, 0] if len(got) else np.zeros(0)
+    a = np.array([x for _, x in got], float).reshape(len(got), FIGURES + 1)
+    y = a[:, 0]
     if len(y) == 0 or min(y.sum(), (1 - y).sum()) < 10:
         return Constant(float(y.mean()) if len(y) else 1.0)
     return fit_arrays(a[:, 1:], y)
@@ -150,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Discrimi
 def score(docs: DataFrame, model: Discriminant | Constant) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     arrow = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
-    out = map_text(docs, lambda ids, texts: [ids, model.score(np.array([statistics(t) for t in texts], float))], "doc_id long, score double", arrow)
+    out = map_text(docs, lambda ids, texts: [ids, model.score(np.array([statistics(t) for t in texts], float).reshape(len(texts), FIGURES))], "doc_id long, score double", arrow)
     return out.select("doc_id", F.coalesce(crc_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -159,6 +162,8 @@ def score_column(model):
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([statistics(t or "") for t in texts], float).reshape(len(texts), -1)), index=texts.index, dtype=float)
+        out = model.score(np.array([statistics(t or "") for t in texts], float).reshape(len(texts), FIGURES))
+        release()
+        return pd.Series(out, index=texts.index, dtype=float)
 
     return scored

@@ -16,7 +16,7 @@ _LOWER = bytes(32 if b in b"\t\n\v\f\r " else b + 32 if 65 <= b <= 90 else b for
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bytes hashed together; a longer text is a batch of its own.
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_text, remove, scratch, written
+from .common import crc_mod, map_text, release, remove, scratch, written
 from .labelled import SAMPLE_ROWS, logistic, sample, sigmoid
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
@@ -210,6 +210,8 @@ def score_column(model):
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores([t or "" for t in texts]), index=texts.index, dtype=float)
+        out = model.scores([t or "" for t in texts])
+        release()
+        return pd.Series(out, index=texts.index, dtype=float)
 
     return scored
