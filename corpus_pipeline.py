@@ -19,17 +19,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import exact_dedup, jaccard_join, packing, quality, toxicity
-from skein.llm.common import scratch, table, written
+from skein.llm.common import scratch, small_batches, table, written
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return docs.filter(quality.score_column(model)(F.col("text")) >= quality.THRESHOLD)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return docs.filter(toxicity.score_column(model)(F.col("text")) < toxicity.THRESHOLD)
 
