@@ -4,14 +4,15 @@
    a bitmap of its tokens and keys of min-hash bands.  Equal sets are one class from here on.
 2. Classes that share a band's key form a block.  BANDS bands of ROWS minima let a pair at the threshold slip through
    with chance (1 - 0.75**2)**34 < 1e-12, and less above it.
-3. Each class is first verified against the one class it shares most keys with, and the components of these links are
-   formed.  Blocks within one component are then done with.
-4. In each other block a signature tree finds the pairs of different components that may still link; they are verified
-   on the sets, and components are formed again.  Rounds allow more and more pairs for each two components, the last
-   all of them, so no link between different components is left out.
+3. In each block a signature tree finds a forest of pairs that may link; it touches every class that has a possible
+   partner.  Only for these classes are sets read.  Each class is verified against the partner that most blocks gave
+   it, and the components of these links are formed.
+4. Blocks within one component are done with.  In each other block the tree finds another forest, between components;
+   its pairs are verified on the sets and components are formed again, as long as that finds links.  At last all pairs
+   of different components that the bounds leave are verified, so that no link between them is left out.
 
-Sets are read only for classes that share a key.  Blocks larger than CHUNK members are split into chunks that meet two
-by two.  Copies and near-copies are never expanded into all pairs: once connected, they are one component.
+Blocks larger than CHUNK members are split into chunks that meet two by two.  Copies and near-copies are never expanded
+into all pairs: once connected, they are one component.
 
 Words: `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased.  A text of one to four words is one shingle; null and empty texts have
 none and link with nothing.  Of rows that repeat a doc_id, each is reported with its own text's component.  A null
@@ -27,18 +28,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, remove, scratch, written
+from .common import map_text, release, remove, scratch, small_batches, written
 from .components import components
 from .shingles import Bands, bitmaps, shingle_sets, signature
-from .signature_tree import candidates
+from .signature_tree import candidates, spanning
 
 PERCENT = 75
 BANDS, ROWS = 34, 2
-BITS = 1024
+BITS = 4096
 SALTS = 64
 CHUNK = 4096
-#: Pairs verified for each two components of a block, by round; None is all of them.
-ROUNDS = (1, 32, None)
+#: Rounds of forests at most, before all pairs that remain are verified.
+FORESTS = 4
+#: Ids that may be broadcast, once counted; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 _BANDS = Bands(BANDS, ROWS)
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("bitmap", pa.binary()), ("bands", pa.list_(pa.int64()))])
@@ -70,6 +73,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node and its sorted hashes, for the wanted (doc_id, node)."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     nodes = wanted.select(F.col("doc_id").alias("_id"), "node")
+    if wanted.count() <= BROADCAST_IDS:
+        nodes = F.broadcast(nodes)
     chosen = texts.join(nodes, F.col("doc_id").eqNullSafe(F.col("_id"))).select(F.col("node").alias("doc_id"), "text")
 
     def hashes(ids: list, texts: list[str]) -> list:
@@ -105,13 +110,18 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
                     found.append((u, v))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=_PAIR)
+        release()
 
     dealt = hosts.unionByName(guests).repartition("u", "salt").sortWithinPartitions("u", "salt", F.col("v").asc_nulls_first())
     return dealt.select("u", "v", "hashes").mapInArrow(run, "u long, v long")
 
 
+FOREST = 0
+
+
 def block_pairs(members: DataFrame, percent: int, per_pair: int | None) -> DataFrame:
-    """members: key, part, node, size, bitmap, component.  Candidate pairs of each block (key, part), once each."""
+    """members: key, part, node, size, bitmap, component.  u, v, n: candidate pairs of all blocks (key, part) and how many
+    blocks gave them.  ``per_pair`` as in ``candidates``; FOREST asks for ``spanning``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = None, []
@@ -121,7 +131,8 @@ def block_pairs(members: DataFrame, percent: int, per_pair: int | None) -> DataF
             held.clear()
             nodes = np.array(nodes, "i8")
             maps = np.frombuffer(b"".join(maps), "u1").reshape(len(nodes), -1)
-            got = np.array(candidates(maps, np.array(sizes, "i8"), np.array(component, "i8"), percent, per_pair), "i8").reshape(-1, 2)
+            given = maps, np.array(sizes, "i8"), np.array(component, "i8"), percent
+            got = np.array(spanning(*given) if per_pair == FOREST else candidates(*given, per_pair), "i8").reshape(-1, 2)
             u, v = nodes[got[:, 0]], nodes[got[:, 1]]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], schema=_PAIR)
 
@@ -135,9 +146,10 @@ def block_pairs(members: DataFrame, percent: int, per_pair: int | None) -> DataF
                 held.append((node, size, bitmap, component))
         if len(held) > 1:
             yield joined()
+        release()
 
     dealt = members.repartition("key", "part").sortWithinPartitions("key", "part", "node")
-    return dealt.select("key", "part", "node", "size", "bitmap", "component").mapInArrow(run, "u long, v long").distinct()
+    return dealt.select("key", "part", "node", "size", "bitmap", "component").mapInArrow(run, "u long, v long").groupBy("u", "v").agg(F.count("*").alias("n"))
 
 
 def _split_blocks(entries: DataFrame, chunk: int) -> DataFrame:
@@ -149,17 +161,17 @@ def _split_blocks(entries: DataFrame, chunk: int) -> DataFrame:
     return rows.withColumn("part", F.least("own", "other") * F.col("chunks") + F.greatest("own", "other")).drop("chunks", "own", "other", "n")
 
 
-def _star_pairs(entries: DataFrame) -> DataFrame:
-    """For each node the one smaller node, heading a block, with which it shares most keys."""
-    heads = entries.groupBy("key").agg(F.min("node").alias("head"))
-    shared = entries.join(heads, "key").filter("node != head").groupBy("node", "head").agg(F.count("*").alias("n"))
-    best = shared.groupBy("node").agg(F.min(F.struct(-F.col("n"), "head")).alias("b"))
-    return best.select(F.col("b.head").alias("u"), F.col("node").alias("v"))
+def _best_pairs(pairs: DataFrame) -> DataFrame:
+    """For each node the pair that most blocks gave."""
+    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "n"))
+    best = both.groupBy("v").agg(F.min(F.struct(-F.col("n"), "u")).alias("b"))
+    return best.select(F.least("b.u", "v").alias("u"), F.greatest("b.u", "v").alias("v")).distinct()
 
 
 def jaccard_groups(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     spark, made = docs.sparkSession, []
+    small_batches(spark)
 
     def keep(df: DataFrame, label: str) -> DataFrame:
         made.append(scratch(spark, f"jaccard-{label}"))
@@ -174,31 +186,34 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK)
     entries = firsts.select(F.explode("bands").alias("key"), "node")
     shared_keys = entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     entries = keep(entries.join(shared_keys, "key"), "entries")
-    active = entries.select("node").distinct()
-    known = full.join(classes, ["node", "doc_id"]).select("node", "doc_id", "size", "bitmap").join(active, "node", "left_semi").dropDuplicates(["node"])
-    known = keep(known, "active")
+    known = firsts.select("node", "doc_id", "size", "bitmap").join(entries.select("node").distinct(), "node", "left_semi")
+    known = keep(known, "sharing")
+    alone_yet = known.select("node", "size", "bitmap", F.col("node").alias("component"))
+    pairs = keep(block_pairs(_split_blocks(entries, chunk).join(alone_yet, "node"), percent, FOREST), "forest")
+    partnered = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    known = keep(known.join(partnered, "node", "left_semi"), "partnered")
+    entries = keep(entries.join(known.select("node"), "node", "left_semi"), "entries")
     sets = keep(sets_of(docs, known.select("doc_id", "node")), "sets")
 
-    links = keep(verify(_star_pairs(entries), sets, percent), "links")
-    tried: DataFrame | None = None
-    for n, per_pair in enumerate(ROUNDS):
-        found = components(links)
+    tried = keep(_best_pairs(pairs), "tried")
+    links = keep(verify(tried, sets, percent), "links")
+    found, settled = components(links), False
+    for n in range(FORESTS + 2):
         state = keep(known.select("node", "size", "bitmap").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "state")
-        of = state.select("node", "component")
-        mixed = entries.join(of, "node").groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("key")
-        open_entries = entries.join(mixed, "key", "left_semi")
-        members = _split_blocks(open_entries, chunk).join(state, "node")
-        pairs = block_pairs(members, percent, per_pair)
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = keep(pairs, "pairs")
-        if pairs.isEmpty():
-            if per_pair is None or n == 0:
-                break
-            continue
-        links = keep(links.unionByName(verify(pairs, sets, percent)), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-    found = components(links)
+        mixed = entries.join(state.select("node", "component"), "node").groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("key")
+        mixed = keep(mixed, "mixed")
+        if mixed.isEmpty():
+            break
+        forest = n < FORESTS and not settled
+        members = _split_blocks(entries.join(mixed, "key", "left_semi"), chunk).join(state, "node")
+        pairs = keep(block_pairs(members, percent, FOREST if forest else None).join(tried, ["u", "v"], "left_anti").select("u", "v"), "pairs")
+        fresh = keep(verify(pairs, sets, percent), "links")
+        tried, settled = tried.unionByName(pairs), fresh.isEmpty()
+        if not settled:
+            links = links.unionByName(fresh)
+            found = components(links)
+        if not forest:
+            break
     joined = classes.join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     settled = joined.join(least, "component").select("node", "component_id")

@@ -25,61 +25,91 @@ class Tree:
     def __init__(self, bitmaps: np.ndarray, sizes: np.ndarray, component: np.ndarray):
         words = np.ascontiguousarray(bitmaps).view("u8")
         self.order = np.lexsort((*words.T[:2], sizes))
-        words, sizes, component = words[self.order], sizes[self.order].astype("i8"), component[self.order]
+        words, sizes = words[self.order], sizes[self.order].astype("i8")
+        self.label = component[self.order].copy()
         surplus = sizes - np.bitwise_count(words).sum(1, dtype="i8")
-        self.levels = [(words, sizes, sizes, surplus, component, component)]
+        self.levels = [(words, sizes, sizes, surplus)]
         while len(self.levels[-1][0]) > 1:
-            words, low, high, surplus, c_low, c_high = self.levels[-1]
+            words, low, high, surplus = self.levels[-1]
             at = np.arange(0, len(words), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(words, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(surplus, at), np.minimum.reduceat(c_low, at), np.maximum.reduceat(c_high, at)))
+            self.levels.append((np.bitwise_or.reduceat(words, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(surplus, at)))
+        self._spread_labels()
+
+    def _spread_labels(self) -> None:
+        """The least and largest component below each node."""
+        self.spans = [(self.label, self.label)]
+        for _ in self.levels[1:]:
+            low, high = self.spans[-1]
+            at = np.arange(0, len(low), FANOUT)
+            self.spans.append((np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
+
+    def merge(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+        """Joins the components of leaf pairs; returns the pairs that joined two."""
+        out = []
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = self.label[i], self.label[j]
+            if x != y:
+                self.label[self.label == max(x, y)] = min(x, y)
+                out.append((int(self.order[i]), int(self.order[j])))
+        if out:
+            self._spread_labels()
+        return out
 
     def survivors(self, level: int, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
         """Which of the node pairs (a, b) of a level may hold a link between components."""
-        words, low, high, surplus, c_low, c_high = self.levels[level]
+        words, low, high, surplus = self.levels[level]
+        c_low, c_high = self.spans[level]
         fits = (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a])
         fits &= ~((c_low[a] == c_high[a]) & (c_low[b] == c_high[b]) & (c_low[a] == c_low[b]))
         at = np.flatnonzero(fits)
-        for first in range(0, len(at), 1 << 16):
-            part = at[first : first + (1 << 16)]
+        for first in range(0, len(at), 1 << 14):
+            part = at[first : first + (1 << 14)]
             x, y = a[part], b[part]
             most = np.bitwise_count(words[x] & words[y]).sum(1, dtype="i8") + np.minimum(surplus[x], surplus[y])
             fits[part] = most >= least_overlap(low[x], low[y], percent)
         return fits
 
     def pairs(self, percent: int):
-        """Yields arrays (i, j) of leaf pairs, in the caller's numbering, that the bounds leave; depth first in bounded batches."""
-        top = len(self.levels) - 1
-        stack = [(top, np.zeros(1, "i8"), np.zeros(1, "i8"))]
+        """Yields arrays (i, j) of leaf pairs that the bounds leave; depth first, in bounded batches.  Components that
+        the caller merges in between are left out from then on."""
+        stack = [(len(self.levels) - 1, np.zeros(1, "i8"), np.zeros(1, "i8"))]
+        below = np.arange(FANOUT)
         while stack:
             level, a, b = stack.pop()
             keep = self.survivors(level, a, b, percent)
+            if not level:
+                keep &= (a < b) & (self.label[a] != self.label[b])
             a, b = a[keep], b[keep]
             if not len(a):
                 continue
             if not level:
-                apart = a < b
-                if apart.any():
-                    yield self.order[a[apart]], self.order[b[apart]]
+                yield a, b
                 continue
             n = len(self.levels[level - 1][0])
-            for first in range(0, len(a), 256):
-                x, y = a[first : first + 256], b[first : first + 256]
-                below = np.arange(FANOUT)
+            for first in range(0, len(a), 16):
+                x, y = a[first : first + 16], b[first : first + 16]
                 i = (x[:, None, None] * FANOUT + below[None, :, None] + np.zeros((1, 1, FANOUT), "i8")).ravel()
                 j = (y[:, None, None] * FANOUT + below[None, None, :] + np.zeros((1, FANOUT, 1), "i8")).ravel()
                 real = (i < n) & (j < n) & (i <= j)
                 stack.append((level - 1, i[real], j[real]))
 
 
+def spanning(bitmaps: np.ndarray, sizes: np.ndarray, component: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A forest of leaf pairs that may link: it touches every leaf that has a possible partner in another component."""
+    tree, out = Tree(bitmaps, sizes, component), []
+    for a, b in tree.pairs(percent):
+        out += tree.merge(a, b)
+    return out
+
+
 def candidates(bitmaps: np.ndarray, sizes: np.ndarray, component: np.ndarray, percent: int, per_pair: int | None) -> list[tuple[int, int]]:
-    """Leaf pairs to verify.  With ``per_pair``, at most so many for each two components, else all that the bounds leave."""
-    out: list[tuple[int, int]] = []
+    """Leaf pairs to verify: at most ``per_pair`` for each two components, or all that the bounds leave."""
+    tree, out = Tree(bitmaps, sizes, component), []
     seen: dict[tuple[int, int], int] = {}
-    for a, b in Tree(bitmaps, sizes, component).pairs(percent):
-        apart = component[a] != component[b]
-        for i, j in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+    for a, b in tree.pairs(percent):
+        for i, j, x, y in zip(tree.order[a].tolist(), tree.order[b].tolist(), tree.label[a].tolist(), tree.label[b].tolist(), strict=True):
             if per_pair is not None:
-                key = (min(component[i], component[j]), max(component[i], component[j]))
+                key = (min(x, y), max(x, y))
                 if seen.get(key, 0) >= per_pair:
                     continue
                 seen[key] = seen.get(key, 0) + 1
