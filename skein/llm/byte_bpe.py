@@ -77,19 +77,16 @@ class ByteBpe:
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.vocabulary))
         self.cache = PieceCache(self._encode)
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        data = [p.encode("utf-8", "surrogatepass") for p in pieces]
-        rest = [d for d in data if d not in self.whole]
-        merged = iter(self.pieces.encode(["".join([self.alphabet[b] for b in d]) for d in rest], num_threads=1))
-        ids = ([self.whole[d]] if d in self.whole else next(merged) for d in data)
-        return [struct.pack(f"<{len(i)}I", *i) for i in ids]
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, packed as little-endian unsigned 32-bit integers."""
-        return [b"".join([self.cache[p] for p in pieces]) for pieces in self.cache.split(texts)]
+    def _encode(self, piece: str) -> bytes:
+        data = piece.encode("utf-8", "surrogatepass")
+        if (rank := self.whole.get(data)) is not None:
+            return struct.pack("<I", rank)
+        ids = self.pieces.encode("".join([self.alphabet[b] for b in data]))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
+        """The ids, packed as little-endian unsigned 32-bit integers."""
+        return b"".join(self.cache.values_of(text))
 
     def decode(self, packed: bytes) -> bytes:
         vocabulary = self.vocabulary
@@ -104,7 +101,7 @@ def codec(path: str) -> ByteBpe:
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and the ids of every whole text."""
     arrow = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    return map_text(docs, lambda ids, texts: [ids, [np.frombuffer(p, "<u4").astype("i4") for p in codec(path).encode_all(texts)]], "doc_id long, ids array<int>", arrow)
+    return map_text(docs, lambda ids, texts: [ids, [np.frombuffer(p, "<u4").astype("i4") for p in map(codec(path).encode, texts)]], "doc_id long, ids array<int>", arrow)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -112,7 +109,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def digests(ids: list, texts: list[str]) -> list:
         bpe, out = codec(path), ([], [], [])
-        for packed in bpe.encode_all(texts):
+        for packed in map(bpe.encode, texts):
             out[0].append(len(packed) // 4)
             out[1].append(hashlib.sha256(packed).hexdigest())
             out[2].append(hashlib.sha256(bpe.decode(packed)).hexdigest())

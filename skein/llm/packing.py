@@ -11,7 +11,9 @@ Other columns of the input are not read.
 
 from __future__ import annotations
 
+import json
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -21,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .byte_bpe import printable_bytes
 from .common import map_text
 from .pretokens import PieceCache
 
@@ -34,18 +37,42 @@ PACKED = PIECES + ", sequence_id long, offset long"
 _ARROW = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
 _PACKED_ARROW = pa.schema([*_ARROW, pa.field("sequence_id", pa.int64()), pa.field("offset", pa.int64())])
 
-_encoders: dict[str, PieceCache] = {}
+_encoders: dict[str, TextEncoder] = {}
 
 
-def token_bytes(tokenizer_file: str) -> PieceCache:
-    """pre-token -> its ids as little-endian unsigned 32-bit integers, by the tokenizers library."""
-    if tokenizer_file not in _encoders:
+class TextEncoder:
+    """Whole texts to packed ids (little-endian unsigned 32-bit), by a file of the tokenizers library.
+
+    For a byte-level BPE with the usual split, texts are split here and the library's model merges each new pre-token;
+    any other tokenizer encodes whole texts.
+    """
+
+    def __init__(self, tokenizer_file: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        tokenizer.encode_special_tokens = True
-        _encoders[tokenizer_file] = PieceCache(lambda ps: [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(ps, add_special_tokens=False)])
+        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.tokenizer.encode_special_tokens = True
+        made = json.loads(self.tokenizer.to_str())
+        pre = made["pre_tokenizer"] or {}
+        by_piece = made["model"]["type"] == "BPE" and not made["normalizer"] and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.cache = PieceCache(self._piece) if by_piece else None
+        self.merge = self.tokenizer.model.tokenize
+        self.alphabet = dict(enumerate(printable_bytes()))
+
+    def _piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.merge(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        if self.cache is None:
+            return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [b"".join(self.cache.values_of(t)) for t in texts]
+
+
+def encoder(tokenizer_file: str) -> TextEncoder:
+    if tokenizer_file not in _encoders:
+        _encoders[tokenizer_file] = TextEncoder(tokenizer_file)
     return _encoders[tokenizer_file]
 
 
@@ -106,9 +133,9 @@ def pieces(docs: DataFrame, tokenizer_file: str, window: int = WINDOW) -> DataFr
     end = np.asarray([END_ID], "<u4").tobytes()
 
     def cut(ids: list, texts: list[str]) -> list:
-        cache, out = token_bytes(tokenizer_file), ([], [], [], [], [])
-        for doc_id, text in zip(ids, cache.split(texts), strict=True):
-            data = memoryview(b"".join([cache[p] for p in text]) + end)
+        out = ([], [], [], [], [])
+        for doc_id, packed in zip(ids, encoder(tokenizer_file).encode_all(texts), strict=True):
+            data = memoryview(packed + end)
             n = len(data) // 4
             for start in range(0, n, window):
                 part = data[4 * start : 4 * (start + window)]

@@ -17,7 +17,7 @@ import regex
 LATIN_END = 0x250
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Entries a worker's cache holds before it starts afresh; a limit of memory, never of results.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 250_000
 
 
 def _latin_class(kind: str) -> str:
@@ -39,22 +39,20 @@ def split(text: str) -> list[str]:
 
 
 class PieceCache(dict):
-    """pre-token -> value.  ``encode`` makes the values of a list of unseen pre-tokens; the cache is bounded."""
+    """pre-token -> value, made by ``encode`` when first asked for; bounded in entries, long pre-tokens are not kept."""
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = CACHE_ENTRIES):
+    def __init__(self, encode: Callable[[str], object], limit: int = CACHE_ENTRIES):
         super().__init__()
-        self.encode, self.limit, self.long = encode, limit, []
-
-    def split(self, texts: list[str]) -> list[list[str]]:
-        """The pre-tokens of each text; afterwards, and until the next call, each has its value here."""
-        for piece in self.long:
-            del self[piece]
-        out = [split(t) for t in texts]
-        need = set().union(*out)
-        if len(self) + len(missing := need.difference(self)) > self.limit:
-            self.clear()
-            missing = need
-        pieces = sorted(missing)
-        self.update(zip(pieces, self.encode(pieces), strict=True))
-        self.long = [p for p in pieces if len(p) > 64]
-        return out
+        self.encode, self.limit = encode, limit
+
+    def __missing__(self, piece: str):
+        value = self.encode(piece)
+        if len(piece) <= 64:
+            if len(self) >= self.limit:
+                self.clear()
+            self[piece] = value
+        return value
+
+    def values_of(self, text: str) -> list:
+        """The values of a text's pre-tokens, in order: one text at a time, while its pieces are still in the CPU's cache."""
+        return [self[p] for p in split(text)]

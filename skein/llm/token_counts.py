@@ -37,7 +37,7 @@ def _counter(rank_file: str) -> PieceCache:
     from .byte_bpe import read_ranks
 
     encoding = tiktoken.Encoding("counts", pat_str=r"[\s\S]+", mergeable_ranks={t: i for i, t in enumerate(read_ranks(rank_file))}, special_tokens={})
-    return PieceCache(lambda ps: [len(encoding.encode_ordinary(p)) for p in ps])
+    return PieceCache(lambda p: len(encoding.encode_ordinary(p)))
 
 
 def tokenizer_version(rank_file: str) -> str:
@@ -54,8 +54,7 @@ def counted(docs: DataFrame, rank_file: str, text: str = "text") -> DataFrame:
             lengths = _counter(rank_file)
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
-                pieces = lengths.split([t or "" for t in part.column(2).to_pylist()])
-                counts = pa.array([sum([lengths[p] for p in ps]) for ps in pieces], pa.int64())
+                counts = pa.array([sum(lengths.values_of(t or "")) for t in part.column(2).to_pylist()], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(1).cast(pa.string()), counts], names=["source", "lang", "tokens"])
 
     return docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col(text).cast("string").alias("text")).mapInArrow(run, "source string, lang string, tokens long")
