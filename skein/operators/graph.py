@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 DAMPING, ROUNDS = 0.85, 40
 CONTEXT_WEIGHT, STEM_BOOST, MENTION_BOOST = 50, 10.0, 50.0
 SMALL_EDGES = 500_000
@@ -59,18 +61,18 @@ def _rank_in_one_task(restart: DataFrame, edges: DataFrame, rounds: int, damping
 
 def _rank_by_joins(restart: DataFrame, edges: DataFrame, rounds: int, damping: float) -> DataFrame:
     total = restart.agg(F.sum("mass")).first()[0]
-    base = restart.select("node", (F.col("mass") / total).alias("restart")).checkpoint()
+    base = checkpointed(restart.select("node", (F.col("mass") / total).alias("restart")))
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    links = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")).checkpoint()
+    links = checkpointed(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")))
     score = base.select("node", "restart", F.col("restart").alias("score"))
-    dangling = base.join(out, base["node"] == out["src"], "left_anti").select("node").checkpoint()
+    dangling = checkpointed(base.join(out, base["node"] == out["src"], "left_anti").select("node"))
     for k in range(rounds):
         flow = links.join(score, links["src"] == score["node"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("flow"))
         lost = score.join(dangling, "node", "left_semi").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
         joined = base.join(flow, base["node"] == flow["dst"], "left").crossJoin(F.broadcast(lost))
         score = joined.select("node", "restart", ((1 - damping) * F.col("restart") + damping * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") * F.col("restart"))).alias("score"))
         if k % CHECKPOINT_EVERY == CHECKPOINT_EVERY - 1:
-            score = score.checkpoint()
+            score = checkpointed(score)
     return score.select("node", "score")
 
 
@@ -99,10 +101,10 @@ def closure(edges: DataFrame, start: DataFrame, reverse: bool = False, most_roun
     frontier = known
     for k in range(1, most_rounds + 1):
         fresh = frontier.join(steps, "node").select(F.col("next").alias("node")).distinct().join(known, "node", "left_anti")
-        fresh = fresh.withColumn("distance", F.lit(k)).checkpoint()
+        fresh = checkpointed(fresh.withColumn("distance", F.lit(k)))
         if fresh.isEmpty():
             break
-        known = known.unionByName(fresh).checkpoint()
+        known = checkpointed(known.unionByName(fresh))
         frontier = fresh
     return known.filter("distance > 0")
 
@@ -116,10 +118,10 @@ def carried_closure(reexports: DataFrame, start: DataFrame, depth: int = 8) -> D
     frontier = known
     for _ in range(depth):
         moved = frontier.join(reexports, (F.col("node") == F.col("dst")) & (F.col("original").isNull() | (F.col("original") == F.col("name"))))
-        fresh = moved.select(F.col("src").alias("node"), F.coalesce("renamed", "name").alias("name")).distinct().join(known, ["node", "name"], "left_anti").checkpoint()
+        fresh = checkpointed(moved.select(F.col("src").alias("node"), F.coalesce("renamed", "name").alias("name")).distinct().join(known, ["node", "name"], "left_anti"))
         if fresh.isEmpty():
             break
-        known, frontier = known.unionByName(fresh).checkpoint(), fresh
+        known, frontier = checkpointed(known.unionByName(fresh)), fresh
     return known
 
 

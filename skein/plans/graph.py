@@ -57,18 +57,27 @@ def personalised_rank(spark, sf_dir):
     return G.pagerank(nodes(spark, sf_dir), G.adjacency(thin(file_graph(spark, sf_dir)), context), restart).select("node", F.round("score", 9).alias("score"))
 
 
-def closure_sql(a: str, b: str) -> str:
-    return f"WITH RECURSIVE {THIN}, c AS (SELECT 0 AS node UNION SELECT t.{b} FROM c JOIN thin t ON t.{a} = c.node) SELECT node FROM c WHERE node <> 0"
+FIRST = "(SELECT min(dst) FROM thin WHERE src = 0)"
 
 
-@query("dependencies", closure_sql("src", "dst"))
+def first_target(edges):
+    """The smallest target of node 0: a node that others import."""
+    return edges.filter("src = 0").agg(F.min("dst").alias("node"))
+
+
+def closure_sql(a: str, b: str, start: str) -> str:
+    return f"WITH RECURSIVE {THIN}, c AS (SELECT {start} AS node UNION SELECT t.{b} FROM c JOIN thin t ON t.{a} = c.node) SELECT node FROM c WHERE node <> {start}"
+
+
+@query("dependencies", closure_sql("src", "dst", "0"))
 def dependencies(spark, sf_dir):
     return G.closure(thin(file_graph(spark, sf_dir)), nodes(spark, sf_dir).filter("node = 0")).select("node")
 
 
-@query("dependents", closure_sql("dst", "src"))
+@query("dependents", closure_sql("dst", "src", FIRST))
 def dependents(spark, sf_dir):
-    return G.closure(thin(file_graph(spark, sf_dir)), nodes(spark, sf_dir).filter("node = 0"), reverse=True).select("node")
+    edges = thin(file_graph(spark, sf_dir))
+    return G.closure(edges, first_target(edges), reverse=True).select("node")
 
 
 @query("paired_files", f"WITH {THIN} SELECT src, dst FROM thin UNION SELECT dst, src FROM thin")
@@ -81,10 +90,11 @@ def near_files(spark, sf_dir):
     return G.near(thin(file_graph(spark, sf_dir)), nodes(spark, sf_dir).filter("node IN (1, 2)"))
 
 
-@query("reexport_closure", f"WITH RECURSIVE {THIN}, c AS (SELECT 0 AS k, 0 AS node, 'x' AS name UNION SELECT k + 1, t.src, CASE WHEN t.weight % 3 = 0 THEN 'n' || t.src ELSE c.name END FROM c JOIN thin t ON t.dst = c.node WHERE k < 4) SELECT DISTINCT node, name FROM c")
+@query("reexport_closure", f"WITH RECURSIVE {THIN}, c AS (SELECT 0 AS k, {FIRST} AS node, 'x' AS name UNION SELECT k + 1, t.src, CASE WHEN t.weight % 3 = 0 THEN 'n' || t.src ELSE c.name END FROM c JOIN thin t ON t.dst = c.node WHERE k < 4) SELECT DISTINCT node, name FROM c")
 def reexport_closure(spark, sf_dir):
-    edges = thin(file_graph(spark, sf_dir)).select("src", "dst", F.lit(None).cast("string").alias("original"), F.when(F.col("weight") % 3 == 0, F.concat(F.lit("n"), F.col("src").cast("string"))).alias("renamed"))
-    start = nodes(spark, sf_dir).filter("node = 0").withColumn("name", F.lit("x"))
+    graph = thin(file_graph(spark, sf_dir))
+    edges = graph.select("src", "dst", F.lit(None).cast("string").alias("original"), F.when(F.col("weight") % 3 == 0, F.concat(F.lit("n"), F.col("src").cast("string"))).alias("renamed"))
+    start = first_target(graph).withColumn("name", F.lit("x"))
     return G.carried_closure(edges, start, depth=4)
 
 

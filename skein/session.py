@@ -1,13 +1,14 @@
-"""Making the package importable in Python workers."""
+"""Making the package importable in Python workers, and checkpoints in a folder that all executors share."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -26,3 +27,17 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(ROOT.rglob("*.py")):
             z.write(p, p.relative_to(ROOT.parent))
     context.addPyFile(str(target))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder, its lineage cut.
+
+    The folder is the one named in ``spark.checkpoint.dir``; only a single-JVM local session may go without one."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="skein-checkpoints-"))
+    return df.checkpoint()
