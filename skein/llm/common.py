@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores, dealt over the cores; larger tables stay as their files lie."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.rdd().getNumPartitions() < cores else scan
+
+
 @lru_cache(maxsize=1)
 def _test_dir() -> str:
     return tempfile.mkdtemp(prefix="skein-shared-")

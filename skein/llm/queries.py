@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, chat, exact_dedup, jaccard_join, licenses, near_vectors, packing, quality, token_counts, toxicity
-from .common import scratch, table
+from .common import scratch, spread, table
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 @query("op4_packing")
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 EXACT_DEDUP_SQL = r"""
@@ -42,19 +42,19 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_byte_bpe")
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return byte_bpe.round_trip(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 @query("op1_toxicity")
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(spread(docs), toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 @query("op3_quality")
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return quality.score(spread(docs), quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 CHAT_SQL = r"""
@@ -83,13 +83,13 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = token_counts.Ledger(spark, scratch(spark, "token-ledger"))
-    ledger.commit("documents", token_counts.inserts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    ledger.commit("documents", token_counts.inserts(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.tiktoken")))
     return ledger.totals()
 
 
 @query("op2_licenses")
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     path = F.concat_ws("/", "source", "lang", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")))
     return licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
 
@@ -130,4 +130,4 @@ SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.r) AS componen
 
 @query("op8_jaccard_join", JACCARD_SQL)
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_groups(spread(table(spark, sf_dir, "documents")))

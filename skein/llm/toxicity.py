@@ -128,7 +128,7 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
 def learn_entries(rows: DataFrame, most: int = 400, least_docs: int = 4, least_weight: float = 2.0) -> tuple[tuple[str, float], ...]:
     """Seed entries with learned weights, and learned word beginnings of 5 to 12 letters.
 
-    Document counts of beginnings are summed in Spark; at most ``20 * most`` strong ones come back.
+    Document counts of beginnings are summed in Spark; at most ``20 * most`` and the seeds come back.
     """
     arrow = pa.schema([("doc_id", pa.int64()), ("begins", pa.list_(pa.string()))])
 
@@ -151,10 +151,13 @@ def learn_entries(rows: DataFrame, most: int = 400, least_docs: int = 4, least_w
         .agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
         .withColumn("weight", odds)
     )
-    seeds = {r["entry"]: r["weight"] for r in grouped.filter(F.col("entry").isin(SEED)).collect()}
-    strong = grouped.filter((F.col("bad") >= least_docs) & (F.col("weight") >= least_weight)).orderBy((F.col("weight") * F.sqrt("bad")).desc(), "entry").limit(20 * most).collect()
+    seed = F.col("entry").isin(SEED)
+    strong = (F.col("bad") >= least_docs) & (F.col("weight") >= least_weight)
+    chosen = grouped.filter(seed | strong).withColumns({"seed": seed, "strong": strong})
+    got = chosen.orderBy(F.desc("seed"), (F.col("weight") * F.sqrt("bad")).desc(), "entry").limit(20 * most + len(SEED)).collect()
+    seeds = {r["entry"]: r["weight"] for r in got if r["seed"]}
     entries = {w: max(seeds.get(w, SEED_WEIGHT), 0.5) for w in SEED}
-    best = {r["entry"]: (r["weight"], r["bad"]) for r in strong}
+    best = {r["entry"]: (r["weight"], r["bad"]) for r in got if r["strong"]}
     for entry in sorted(best, key=lambda e: (len(e), e)):
         shorter = [entry[:n] for n in range(5, len(entry)) if entry[:n] in entries]
         if any(entries[s] >= best[entry][0] - 0.7 for s in shorter):
