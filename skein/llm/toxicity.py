@@ -51,27 +51,53 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 _TABLE = str.maketrans(LOOKALIKES | dict.fromkeys(INVISIBLE))
 _SUBSTITUTE = str.maketrans(SUBSTITUTES)
 _ODD = re.compile(r"[^\x00-\u024f]")
-_DISGUISED = re.compile(r"[^\W\d_][\d@$!|€]+(?=[^\W\d_])|(?<![^\W_])[\d@$!|€]{1,2}(?=[^\W\d_]{2})")
+#: A word with digits or signs in it; at its end ! and | are punctuation.
+_MIXED = re.compile(r"(?<![^\W_])(?<![@$!|€])(?=[^\W\d_]*+[\d@$!|€])(?:[!|]*(?:[^\W_]|[@$€]))+")
+_LETTER = re.compile(r"[^\W\d_]")
 _SPELT = re.compile(r"(?<!\w)[^\W\d_](?:[ .*_-][^\W\d_](?!\w)){3,}")
 _APART = re.compile(r"[^\w]+|_+")
+_WORD = re.compile(r"[^\W_]+")
 
 
-def fold(text: str) -> str:
-    """Words of letters and digits, each after one space, with a space at the end."""
+class _Bare(dict):
+    """Code points without accents; those that would become none or several stay, so that positions hold."""
+
+    def __missing__(self, c: int) -> str:
+        bare = [x for x in unicodedata.normalize("NFD", chr(c)) if not unicodedata.combining(x)]
+        self[c] = bare[0] if len(bare) == 1 else chr(c)
+        return self[c]
+
+
+_BARE = _Bare()
+
+
+def _unmasked(text: str) -> str:
+    """Lower case, without look-alikes, invisible characters and letters set apart."""
     text = text.lower()
     if _ODD.search(text):
         text = unicodedata.normalize("NFKC", text).lower().translate(_TABLE)
     elif "\u00ad" in text:
         text = text.replace("\u00ad", "")
-    while (changed := _DISGUISED.sub(lambda m: m[0].translate(_SUBSTITUTE), text)) != text:
-        text = changed
-    text = _SPELT.sub(lambda m: m[0][::2], text)
+    return _SPELT.sub(lambda m: m[0][::2], text)
+
+
+def _undisguised(text: str) -> str:
+    """Digits and signs of each word that has letters too are read as letters; the length stays."""
+    return _MIXED.sub(lambda m: m[0].translate(_SUBSTITUTE) if _LETTER.search(m[0]) else m[0], text)
+
+
+def _spaced(text: str) -> str:
     return " " + _APART.sub(" ", text).strip() + " "
 
 
+def fold(text: str) -> str:
+    """Words of letters and digits, each after one space, with a space at the end."""
+    return _spaced(_undisguised(_unmasked(text)))
+
+
 def plain(folded: str) -> str:
-    """The folded text without accents."""
-    return "".join([c for c in unicodedata.normalize("NFD", folded) if not unicodedata.combining(c)])
+    """The folded text without accents, each character at its place."""
+    return folded.translate(_BARE)
 
 
 class Lexicon:
@@ -110,15 +136,34 @@ def _lexicon(entries: tuple[tuple[str, float], ...]) -> Lexicon:
     return Lexicon(entries)
 
 
-def features(text: str, lexicon: Lexicon) -> list[float]:
-    """log of the weights' sum, the sum a hundred words, distinct entries, the heaviest entry."""
-    folded = fold(text)
+def _found(folded: str, lexicon: Lexicon) -> list[tuple[int, int, int, float]]:
     found = lexicon.hits(folded)
     if not folded.isascii():
-        bare = plain(folded)
         at = {s for s, *_ in found}
-        if len(bare) == len(folded):
-            found += [h for h in lexicon.hits(bare) if h[0] not in at]
+        found += [h for h in lexicon.hits(plain(folded)) if h[0] not in at]
+    return found
+
+
+def _only_raw(raw: str, read: str, lexicon: Lexicon) -> list[tuple[int, int, int, float]]:
+    """Matches in the text as it stands at words that start inside a word of the text as read."""
+    found = _found(_spaced(raw), lexicon)
+    if not found:
+        return []
+    starts, at, place = {m.start() for m in _WORD.finditer(read)}, {}, 0
+    for m in _WORD.finditer(raw):
+        at[place] = m.start()
+        place += len(m[0]) + 1
+    return [h for h in found if at[h[0]] not in starts]
+
+
+def features(text: str, lexicon: Lexicon) -> list[float]:
+    """log of the weights' sum, the sum a hundred words, distinct entries, the heaviest entry."""
+    raw = _unmasked(text)
+    read = _undisguised(raw)
+    folded = _spaced(read)
+    found = _found(folded, lexicon)
+    if read != raw:
+        found += _only_raw(raw, read, lexicon)
     if not found:
         return [0.0, 0.0, 0.0, 0.0]
     total, words = sum(h[3] for h in found), folded.count(" ") - 1
@@ -135,7 +180,8 @@ def learn_entries(rows: DataFrame, most: int = 400, least_docs: int = 4, least_w
     def begins(ids: list, texts: list[str]) -> list:
         out = []
         for text in texts:
-            words = set(fold(text).split())
+            raw = _unmasked(text)
+            words = {*_spaced(raw).split(), *_spaced(_undisguised(raw)).split()}
             out.append(sorted({w[:n] for w in words if w.isalpha() for n in range(5, min(len(w), 12) + 1)}))
         return [ids, out]
 

@@ -73,6 +73,18 @@ def test_longer_texts_weigh_a_match_less():
     assert toxicity.features("idiot " + "word " * 30, lexicon)[1] > toxicity.features("idiot " + "word " * 300, lexicon)[1]
 
 
+@pytest.mark.parametrize("text", ["shi7", "1d107", "455hole", "bullsh17", "cun7", "mierd@", "a$$h0l3", "well!idiot", "$$$bitch now", "$h17!", "한 enculé", "한 ïdiót", "한 CRÁP 1"])
+def test_toxicity_of_digits_anywhere_and_accents_beside_hangul(text):
+    lexicon = toxicity.Lexicon(tuple((w, 3.0) for w in toxicity.SEED))
+    assert toxicity.features(text, lexicon)[0] == pytest.approx(np.log1p(3.0))
+
+
+def test_toxicity_reads_a_word_once_and_exceptions_in_disguise():
+    lexicon = toxicity.Lexicon((("idiot", 3.0), ("clown", 3.0)))
+    assert toxicity.features("1d10t idiot2 idiot!", lexicon)[0] == pytest.approx(np.log1p(9.0))
+    assert toxicity.features("clown f1sh, 1d 10 7, 2024", lexicon) == [0, 0, 0, 0]
+
+
 @pytest.mark.parametrize("operator", [toxicity, quality])
 def test_classifiers_on_odd_rows(spark, odd, empty, operator):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
