@@ -1,8 +1,8 @@
 """Operator 2: licence scans.
 
 Passages of a text that speak of a licence are compared with licence templates by the cosine of sparse TF-IDF vectors of
-words and word pairs.  Inverse document frequencies of the templates' vocabulary come from all texts of the table.  A
-file whose own passages match has that licence; a file named like a licence file, or half of whose text is such a
+words and word pairs.  Document frequencies of all words and pairs of passages and templates are counted over all texts
+of the table.  An SPDX header names its licence by identifier; the first known one counts.  A file whose own passages match has that licence; a file named like a licence file, or half of whose text is such a
 passage, also licenses its directory.  Files without a licence take that of the nearest ancestor directory that has
 one, by joins on directory paths.
 
@@ -15,9 +15,12 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
+import zlib
 from collections import Counter
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +51,17 @@ TEMPLATES = {
 
 _CUE = re.compile(r"licen[cs]|copyright|spdx|public domain|permission is hereby|redistribut", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
+_SPDX = re.compile(r"spdx-license-identifier:([^\n]*)", re.IGNORECASE)
+_EXCEPTION = re.compile(r"\bwith\s+[\w.+-]+", re.IGNORECASE)
+_IDENTIFIER = re.compile(r"[\w.+-]*[\w+]")
+_VERSIONS = re.compile(r"(-only|-or-later|\+)$")
+_BY_IDENTIFIER = {name.lower(): name for name in TEMPLATES}
+#: Bits of the filter that thins out terms before they are counted; what it lets through is joined exactly.
+FILTER_BITS = 1 << 23
+#: A term of very many passages is dealt to so many tasks.
+SALTS = 16
+#: Pairs whose test is remembered by a worker.
+REMEMBERED = 500_000
 
 
 def terms(text: str) -> list[str]:
@@ -56,9 +70,23 @@ def terms(text: str) -> list[str]:
 
 
 @lru_cache(maxsize=1)
-def vocabulary() -> dict[str, int]:
-    """The templates' words; pairs are weighed by their rarer word."""
-    return {t: n for n, t in enumerate(sorted({t for texts in TEMPLATES.values() for x in texts for t in _WORD.findall(x.lower())}))}
+def vocabulary() -> frozenset[str]:
+    """The templates' words."""
+    return frozenset(t for texts in TEMPLATES.values() for x in texts for t in _WORD.findall(x.lower()))
+
+
+@lru_cache(maxsize=1)
+def template_terms() -> frozenset[str]:
+    return frozenset(t for texts in TEMPLATES.values() for x in texts for t in terms(x))
+
+
+def identified(text: str) -> str | None:
+    """The template of the first known identifier in the text's SPDX headers; versions and exceptions do not matter."""
+    for header in _SPDX.findall(text):
+        for name in _IDENTIFIER.findall(_EXCEPTION.sub(" ", header)):
+            if found := _BY_IDENTIFIER.get(_VERSIONS.sub("", name.lower())):
+                return found
+    return None
 
 
 def _kin(line: str) -> bool:
@@ -85,27 +113,33 @@ def passages(text: str) -> list[str]:
     return out
 
 
-def vector(text: str, idf: tuple[float, ...]) -> tuple[dict[str, float], float]:
-    """TF-IDF of words and word pairs; words outside the vocabulary weigh as unseen ones."""
-    known = vocabulary()
-    weight = lambda t: max(idf[known.get(w, -1)] for w in t.split(" "))
-    own = {t: n * weight(t) for t, n in Counter(terms(text)).items()}
-    return own, math.sqrt(sum(v * v for v in own.values()))
+class Weights:
+    """Inverse document frequencies over ``n`` texts, from the numbers of texts that hold a term."""
+
+    def __init__(self, n: int, seen: dict[str, int], floor: float):
+        self.n, self.seen, self.floor = n, seen, floor
 
+    def vector(self, text: str, seen: dict[str, int]) -> tuple[dict[str, float], float]:
+        """TF-IDF of words and word pairs, and its length."""
+        own = {t: c * (self.floor + math.log((self.n + 1) / (seen.get(t, 0) + 1)) / math.log(self.n + 2)) for t, c in Counter(terms(text)).items()}
+        return own, math.sqrt(sum(v * v for v in own.values()))
 
-@lru_cache(maxsize=4)
-def template_vectors(idf: tuple[float, ...]) -> list[tuple[str, dict[str, float], float]]:
-    return [(name, *vector(x, idf)) for name, texts in sorted(TEMPLATES.items()) for x in texts]
+    @cached_property
+    def templates(self) -> list[tuple[str, dict[str, float], float]]:
+        return [(name, *self.vector(x, self.seen)) for name, texts in sorted(TEMPLATES.items()) for x in texts]
 
 
-def best_match(texts: list[str], idf: tuple[float, ...]) -> tuple[str | None, float, int]:
+def best_match(texts: list[str], seen: dict[str, int], weights: Weights) -> tuple[str | None, float, int]:
     """Template, cosine and length in characters of the best passage at or over the threshold."""
     best: tuple[float, str | None, int] = (0.0, None, 0)
     for text in texts:
-        own, length = vector(text, idf)
-        for name, other, norm in template_vectors(idf):
-            cosine = sum(v * other[t] for t, v in own.items() if t in other) / (length * norm or 1)
-            if cosine >= THRESHOLD and (cosine > best[0] + 1e-12 or abs(cosine - best[0]) <= 1e-12 and (name, -len(text)) < (best[1], -best[2])):
+        if "\n" not in text and _SPDX.search(text):
+            found = [(identified(text), 1.0)]
+        else:
+            own, length = weights.vector(text, seen)
+            found = [(name, sum(v * other[t] for t, v in own.items() if t in other) / (length * norm or 1)) for name, other, norm in weights.templates]
+        for name, cosine in found:
+            if name and cosine >= THRESHOLD and (cosine > best[0] + 1e-12 or abs(cosine - best[0]) <= 1e-12 and (name, -len(text)) < (best[1], -best[2])):
                 best = cosine, name, len(text)
     return best[1], best[0], best[2]
 
@@ -120,28 +154,70 @@ def ancestors(directory: Column) -> Column:
     return F.when(directory == "", F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.size(parts), F.lit(0), F.lit(-1)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")))
 
 
+def document_counts(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """term, n: the number of texts that hold it, of each wanted term and of some others.
+
+    Terms are thinned out by a filter of fixed size before they are counted; a pair passes only if its words do."""
+    filled = wanted.groupBy(F.expr(f"crc32(cast(term as binary)) % {FILTER_BITS} div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(crc32(cast(term as binary)) % 64 as int))")).alias("bits")).collect()
+    held = np.zeros(FILTER_BITS // 64, "<i8")
+    for r in filled:
+        held[r["word"]] = r["bits"]
+    bits = files.sparkSession.sparkContext.broadcast(held.tobytes())
+    arrow = pa.schema([("term", pa.string()), ("n", pa.int64())])
+    known: dict = {}
+
+    def count(ids: list, texts: list[str]) -> list:
+        field, out = bits.value, Counter()
+
+        def passes(key: str | tuple, term: str) -> bool:
+            if key not in known:
+                h = zlib.crc32(term.encode()) % FILTER_BITS
+                known[key] = bool(field[h >> 3] >> (h & 7) & 1)
+            return known[key]
+
+        for text in texts:
+            if len(known) > REMEMBERED:
+                known.clear()
+            words = _WORD.findall(text.lower())
+            own = {w for w in set(words) if passes(w, w)}
+            out.update(own)
+            out.update(p for p in set(zip(words, words[1:], strict=False)) if p[0] in own and p[1] in own and passes(p, f"{p[0]} {p[1]}"))
+        return [[t if isinstance(t, str) else " ".join(t) for t in out], list(out.values())]
+
+    counted = map_text(files, count, "term string, n long", arrow)
+    return counted.groupBy("term").agg(F.sum("n").alias("n"))
+
+
 def scan(files: DataFrame, idf_floor: float = 1.0) -> DataFrame:
     """files: doc_id, path, text.  Returns doc_id, path, license, cosine, origin (own, inherited or none), licensed_by."""
     spark = files.sparkSession
-    arrow = pa.schema([("doc_id", pa.int64()), ("terms", pa.list_(pa.int32())), ("passages", pa.list_(pa.string())), ("chars", pa.int64()), ("path", pa.string())])
+    arrow = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("terms", pa.list_(pa.string())), ("passages", pa.list_(pa.string())), ("chars", pa.int64()), ("path", pa.string())])
 
     def read(ids: list, packed: list[str]) -> list:
-        known, out = vocabulary(), ([], [], [], [])
+        out = ([], [], [], [], [])
         for p in packed:
             path, _, text = p.partition("\n")
-            out[0].append([known[w] for w in known.keys() & set(_WORD.findall(text.lower()))])
-            out[1].append(passages(text))
-            out[2].append(len(text))
-            out[3].append(path)
-        return [ids, out[0], out[1], out[2], out[3]]
+            found = passages(text)
+            out[0].append(uuid.uuid4().hex if found else None)
+            out[1].append(sorted({t for x in found for t in terms(x)}))
+            out[2].append(found)
+            out[3].append(len(text))
+            out[4].append(path)
+        return [ids, *out]
 
     packed = files.select("doc_id", F.concat(F.translate(F.coalesce(F.col("path"), F.lit("")), "\n", " "), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
-    rows = written(map_text(packed, read, "doc_id long, terms array<int>, passages array<string>, chars long, path string", arrow), scratch(spark, "licence-passages"))
+    rows = written(map_text(packed, read, "doc_id long, key string, terms array<string>, passages array<string>, chars long, path string", arrow), scratch(spark, "licence-passages"))
     n = rows.count()
-    seen = {r["t"]: r["n"] for r in rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # one row a vocabulary term
-    idf = tuple(idf_floor + math.log((n + 1) / (seen.get(t, 0) + 1)) / math.log(n + 2) for t in [*range(len(vocabulary())), -1])
-    match = F.udf(lambda found: best_match(found, idf), "struct<license:string,cosine:double,length:int>")
-    spoken = rows.filter(F.size("passages") > 0).select("doc_id", "path", "chars", match("passages").alias("m")).select("doc_id", "path", "chars", "m.*").filter("license IS NOT NULL")
+    in_passages = rows.filter("key IS NOT NULL").select("key", F.explode("terms").alias("term"))
+    in_templates = spark.createDataFrame([(t,) for t in sorted(template_terms())], "term string")
+    wanted = written(in_passages.select("term").union(in_templates).distinct(), scratch(spark, "licence-terms"))
+    counts = written(document_counts(files.select("doc_id", "text"), wanted).join(wanted, "term", "left_semi"), scratch(spark, "licence-counts"))
+    weights = Weights(n, {r["term"]: r["n"] for r in counts.join(F.broadcast(in_templates), "term").collect()}, idf_floor)  # one row a term of the templates
+    salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = in_passages.withColumn("salt", (F.crc32("key") % SALTS).cast("int"))
+    seen = dealt.join(salted, ["term", "salt"]).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("seen"))
+    match = F.udf(lambda found, seen: best_match(found, seen or {}, weights), "struct<license:string,cosine:double,length:int>")
+    spoken = rows.filter("key IS NOT NULL").join(seen, "key", "left").select("doc_id", "path", "chars", match("passages", "seen").alias("m")).select("doc_id", "path", "chars", "m.*").filter("license IS NOT NULL")
     spoken = written(spoken, scratch(spark, "licence-matches"))
     of_directory = (
         spoken.filter(F.col("path").rlike(LICENSE_FILE) | (2 * F.col("length") >= F.col("chars")))

@@ -126,6 +126,28 @@ def test_license_inheritance(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
 
 
+def test_licenses_by_spdx_header(spark):
+    texts = ["// SPDX-License-Identifier: MIT\ncode", "# SPDX-License-Identifier: Apache-2.0", "SPDX-License-Identifier: GPL-2.0-or-later WITH MIT-exception", "SPDX-License-Identifier: (Foo OR BSD-3-Clause)", "SPDX-License-Identifier: Foo-1.0"]
+    rows = [(i, f"d{i}/x.c", t) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [got[i] for i in range(5)] == ["MIT", "Apache-2.0", "GPL-2.0", "BSD-3-Clause", None]
+
+
+def test_license_terms_are_counted_over_all_texts(spark):
+    texts = ["Plain words, plain words and more", "words and 2.0 words", None, "", "more plain\nwords and"] * 7
+    files = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = {"words", "and", "plain", "plain words", "words and", "2.0", "never"}
+    got = {r["term"]: r["n"] for r in licenses.document_counts(files, spark.createDataFrame([(t,) for t in sorted(wanted)], "term string")).collect()}
+    assert {t: got.get(t, 0) for t in wanted} == {t: sum(t in licenses.terms(x or "") for x in texts) for t in wanted}
+
+
+def test_license_notice_among_ordinary_words(spark):
+    plain = "this project is see the file for details and under the words of it is a project for this see file details "
+    rows = [(i, f"p{i}/a.txt", plain + str(i)) for i in range(60)] + [(99, "q/README", "This project is licensed under the MIT License - see the LICENSE file for details.")]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).filter("origin = 'own'").collect()}
+    assert got == {99: "MIT"}
+
+
 def test_every_license_line_is_found(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     path = F.concat(F.lit("x/"), F.col("doc_id").cast("string"))
