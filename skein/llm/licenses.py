@@ -2,7 +2,8 @@
 
 Passages of a text that speak of a licence are compared with licence templates by the cosine of sparse TF-IDF vectors of
 words and word pairs.  Document frequencies of all words and pairs of passages and templates are counted over all texts
-of the table.  An SPDX header names its licence by identifier; the first known one counts.  A file whose own passages match has that licence; a file named like a licence file, or half of whose text is such a
+of the table.  Files named like licence files, and long runs of lines in the words of licences, are also compared whole
+with whole licence texts; such a match goes before those of notices.  An SPDX header names its licence by identifier; the first known one counts.  A file whose own passages match has that licence; a file named like a licence file, or half of whose text is such a
 passage, also licenses its directory.  Files without a licence take that of the nearest ancestor directory that has
 one, by joins on directory paths.
 
@@ -26,8 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_text, scratch, written
+from .license_texts import TEXTS
 
 THRESHOLD = 0.5
+#: Cosine from which a text is a whole licence text, and the fewest words it can have.
+WHOLE, LONG = 0.9, 50
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([._-][^/]*)?$"
 
 #: Customary notices and opening words of common licences.
@@ -75,9 +79,26 @@ def vocabulary() -> frozenset[str]:
     return frozenset(t for texts in TEMPLATES.values() for x in texts for t in _WORD.findall(x.lower()))
 
 
+@lru_cache(maxsize=1)
+def whole_vocabulary() -> frozenset[str]:
+    """The words of notices and whole texts."""
+    return vocabulary() | {t for x in TEXTS.values() for t in _WORD.findall(x.lower())}
+
+
 @lru_cache(maxsize=1)
 def template_terms() -> frozenset[str]:
-    return frozenset(t for texts in TEMPLATES.values() for x in texts for t in terms(x))
+    return frozenset(t for texts in TEMPLATES.values() for x in [*texts, *TEXTS.values()] for t in terms(x))
+
+
+def titled(name: str, text: str) -> str | None:
+    """The licence of a text that is nearest to the whole text of ``name``, where near texts of other licences are not in TEXTS."""
+    low = text.lower()
+    if name == "GPL-3.0" and "affero" in low[:300]:
+        return "AGPL-3.0"
+    if name == "CC-BY-SA-4.0":
+        shared, sold, derived = "sharealike" in low, "noncommercial" not in low, "noderivatives" not in low
+        return {(True, True, True): "CC-BY-SA-4.0", (False, False, True): "CC-BY-NC-4.0", (False, True, True): "CC-BY-4.0"}.get((shared, sold, derived))
+    return name
 
 
 def identified(text: str) -> str | None:
@@ -89,28 +110,36 @@ def identified(text: str) -> str | None:
     return None
 
 
-def _kin(line: str) -> bool:
-    """Most of the line's words are words of the templates."""
+def _kin(line: str, known: frozenset[str]) -> bool:
+    """Most of the line's words are known."""
     words = _WORD.findall(line.lower())
-    return bool(words) and 2 * sum(w in vocabulary() for w in words) > len(words)
+    return bool(words) and 2 * sum(w in known for w in words) > len(words)
 
 
-def passages(text: str) -> list[str]:
-    """Each line with a cue, and each run of lines that starts with one and goes on in the templates' words."""
+def passages(text: str, named: bool = False) -> list[str]:
+    """Each line with a cue, each run of lines that starts with one and goes on in the notices' words, each long run that
+    goes on in the words of whole texts or without words, and the text itself if its file is named like a licence file."""
     if not _CUE.search(text):
-        return []
-    out, run = [], []
-    for line in [*text.split("\n"), ""]:
-        if _CUE.search(line):
+        return [text] if named and text.strip() else []
+    out, run, long = [], [], []
+    whole = {text: None} if named else {}
+    for line in [*text.split("\n"), None]:
+        cue = line is not None and _CUE.search(line)
+        if cue:
             out.append(line)
-            run.append(line)
-        elif run and _kin(line):
+        if cue or run and line is not None and _kin(line, vocabulary()):
             run.append(line)
         else:
             if len(run) > 1:
                 out.append("\n".join(run))
             run = []
-    return out
+        if cue or long and line is not None and (not _WORD.search(line) or _kin(line, whole_vocabulary())):
+            long.append(line)
+        else:
+            if len(long) > 1 and len(_WORD.findall(joined := "\n".join(long).rstrip())) >= LONG:
+                whole[joined] = None
+            long = []
+    return [*out, *(x for x in whole if x not in out)]
 
 
 class Weights:
@@ -125,23 +154,37 @@ class Weights:
         return own, math.sqrt(sum(v * v for v in own.values()))
 
     @cached_property
-    def templates(self) -> list[tuple[str, dict[str, float], float]]:
-        return [(name, *self.vector(x, self.seen)) for name, texts in sorted(TEMPLATES.items()) for x in texts]
+    def templates(self) -> list[tuple[str, int, dict[str, float], float]]:
+        return [(name, k, *self.vector(x, self.seen)) for name, texts in sorted(TEMPLATES.items()) for k, x in enumerate(texts)]
+
+    @cached_property
+    def texts(self) -> list[tuple[str, dict[str, float], float]]:
+        return [(name, *self.vector(x, self.seen)) for name, x in sorted(TEXTS.items())]
 
 
 def best_match(texts: list[str], seen: dict[str, int], weights: Weights) -> tuple[str | None, float, int]:
-    """Template, cosine and length in characters of the best passage at or over the threshold."""
-    best: tuple[float, str | None, int] = (0.0, None, 0)
+    """Template, cosine and length in characters of the best passage at or over the threshold.
+
+    Whole texts go before notices.  The opening of the 2-clause licence also opens the 3-clause one, so it does not count
+    beside the latter's own clause."""
+    found: list[tuple[bool, float, str, int, int]] = []
     for text in texts:
         if "\n" not in text and _SPDX.search(text):
-            found = [(identified(text), 1.0)]
-        else:
-            own, length = weights.vector(text, seen)
-            found = [(name, sum(v * other[t] for t, v in own.items() if t in other) / (length * norm or 1)) for name, other, norm in weights.templates]
-        for name, cosine in found:
-            if name and cosine >= THRESHOLD and (cosine > best[0] + 1e-12 or abs(cosine - best[0]) <= 1e-12 and (name, -len(text)) < (best[1], -best[2])):
-                best = cosine, name, len(text)
-    return best[1], best[0], best[2]
+            found += [(False, 1.0, name, 0, len(text)) for name in [identified(text)] if name]
+            continue
+        own, length = weights.vector(text, seen)
+        cosine = lambda other, norm: sum(v * other[t] for t, v in own.items() if t in other) / (length * norm or 1)  # noqa: B023, E731
+        if sum(" " not in t for t in own) >= LONG // 2:
+            near, name = max(((cosine(other, norm), name) for name, other, norm in weights.texts), key=lambda x: x[0])
+            if near >= WHOLE and (name := titled(name, text)):
+                found.append((True, near, name, 0, len(text)))
+        found += [(False, c, name, k, len(text)) for name, k, other, norm in weights.templates if (c := cosine(other, norm)) >= THRESHOLD]
+    if any(name == "BSD-3-Clause" and k == 1 for _, _, name, k, _ in found):
+        found = [f for f in found if (f[2], f[3]) != ("BSD-2-Clause", 1)]
+    if not found:
+        return None, 0.0, 0
+    _, c, name, _, chars = min(found, key=lambda f: (not f[0], -round(f[1], 12), f[2], -f[4]))
+    return name, c, chars
 
 
 def parent(path: Column) -> Column:
@@ -193,11 +236,13 @@ def scan(files: DataFrame, idf_floor: float = 1.0) -> DataFrame:
     spark = files.sparkSession
     arrow = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("terms", pa.list_(pa.string())), ("passages", pa.list_(pa.string())), ("chars", pa.int64()), ("path", pa.string())])
 
+    named = re.compile(LICENSE_FILE)
+
     def read(ids: list, packed: list[str]) -> list:
         out = ([], [], [], [], [])
         for p in packed:
             path, _, text = p.partition("\n")
-            found = passages(text)
+            found = passages(text, bool(named.search(path)))
             out[0].append(uuid.uuid4().hex if found else None)
             out[1].append(sorted({t for x in found for t in terms(x)}))
             out[2].append(found)

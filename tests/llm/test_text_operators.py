@@ -148,6 +148,19 @@ def test_license_notice_among_ordinary_words(spark):
     assert got == {99: "MIT"}
 
 
+def test_whole_license_texts(spark):
+    texts = licenses.TEXTS
+    bsd = texts["BSD-3-Clause"].replace("<year> <owner>", "2021 Some One")
+    header = "\n".join(f" * {line}" for line in bsd.split("\n"))
+    rows = [(i, f"d{i}/LICENSE", texts[name]) for i, name in enumerate(sorted(texts))] + [(100, "x/LICENSE", bsd), (101, "x/y/z.c", "int a;"), (102, "y/a.c", f"/*\n{header}\n */\nint main(void) {{ return 0; }}\n")]
+    rows += [(103, "z/LICENSE", texts["GPL-3.0"].replace("GNU GENERAL", "GNU AFFERO GENERAL")), (104, "w/LICENSE", texts["CC-BY-SA-4.0"].replace("-ShareAlike", "").replace("ShareAlike", ""))]
+    rows += [(105, "v/LICENSE", "\n".join(bsd.split("\n")[2:7]) + "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.")]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [got[i]["license"] for i in range(len(texts))] == sorted(texts)
+    assert [got[i]["license"] for i in range(100, 106)] == ["BSD-3-Clause", "BSD-3-Clause", "BSD-3-Clause", "AGPL-3.0", "CC-BY-4.0", "BSD-3-Clause"]
+    assert (got[101]["origin"], got[101]["licensed_by"]) == ("inherited", "x/LICENSE")
+
+
 def test_every_license_line_is_found(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     path = F.concat(F.lit("x/"), F.col("doc_id").cast("string"))
