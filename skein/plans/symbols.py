@@ -87,6 +87,15 @@ def words_of(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(T.words_of(F.substring("text", 1, 200)), " ").alias("words"))
 
 
+WHOLE_WORDS = f"list_transform(list_filter({WORDS_SQL}, lambda w: w NOT IN ({STOPS_SQL})), lambda w: {STEM_SQL})"
+
+
+@query("words_of_texts", f"WITH d AS (SELECT doc_id AS id, text AS name FROM documents) SELECT id, array_to_string(list_sort(list_distinct({WHOLE_WORDS})), ' ') AS words FROM d")
+def words_of_texts(spark, sf_dir):
+    """``words_of`` over whole texts."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(T.words_of("text"), " ").alias("words"))
+
+
 @query("compact_names", f"{NAMED} SELECT id, lower(regexp_replace(name, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS compact FROM n")
 def compact_names(spark, sf_dir):
     return named(spark, sf_dir).select("id", T.compact_lower("name").alias("compact"))
