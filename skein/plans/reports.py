@@ -32,6 +32,20 @@ def call_graph(spark, sf_dir):
     return R.call_graph(calls, intervals(spark, sf_dir).filter("file_id < 20"), cap=18)
 
 
+@query(
+    "call_graph_all",
+    f"""WITH {INTERVALS}, c AS (SELECT event_id, user_id AS file_id, epoch_us(ts) // 1000000 AS line, 'd' || (19723 + event_id % 40) AS callee FROM events WHERE event_type = 'click'),
+e AS (SELECT event_id, any_value(c.callee) AS callee, arg_min(s.file_id || ':' || s.name || ':' || s.start_line, (s.end_line - s.start_line, s.start_line, s.name)) AS src FROM c JOIN intervals s ON c.file_id = s.file_id AND c.line BETWEEN s.start_line AND s.end_line GROUP BY 1),
+t AS (SELECT name AS callee, file_id || ':' || name || ':' || start_line AS dst, count(*) OVER (PARTITION BY name) AS n FROM intervals)
+SELECT src, dst, count(*) AS weight FROM e JOIN t USING (callee) WHERE n <= {R.MAX_TARGETS} AND src <> dst GROUP BY 1, 2""",
+)
+def call_graph_all(spark, sf_dir):
+    """``call_graph`` over every file, with the operator's own cap."""
+    e = events(spark, sf_dir).filter("event_type = 'click'")
+    calls = e.select(F.col("user_id").alias("file_id"), F.expr("us div 1000000").alias("line"), F.expr("concat('d', 19723 + event_id % 40)").alias("callee"))
+    return R.call_graph(calls, intervals(spark, sf_dir))
+
+
 @query("callers", f"WITH {EVENTS}, r AS (SELECT 'u' || (user_id % 10) AS path, event_type AS name, event_id % 20 AS line FROM ev), g AS (SELECT path, name, count(*) AS n, list_sort(list_distinct(list(line))) AS l FROM r WHERE name IN ('click', 'view') GROUP BY 1, 2), k AS (SELECT row_number() OVER (ORDER BY n DESC, path, name) AS rank, name || '@' || path || '×' || n || '(' || array_to_string(l, ',') || ')' AS text FROM g WHERE (SELECT count(*) FILTER (name NOT IN ('click', 'view')) > count(*) FILTER (name IN ('click', 'view')) FROM r)) SELECT rank, text FROM k WHERE rank <= 12")
 def callers(spark, sf_dir):
     refs = events(spark, sf_dir).select(F.expr("concat('u', user_id % 10)").alias("path"), F.col("event_type").alias("name"), F.expr("event_id % 20").alias("line"))

@@ -1,5 +1,7 @@
 """Queries that read all of their input."""
 
+import duckdb
+
 from skein import plans
 
 SF = "/root/testdata/sf0.001"
@@ -15,3 +17,11 @@ def test_words_after_the_first_characters(spark):
     assert got.keys() == docs.keys()
     cut = {r["id"]: r["words"].split(" ") for r in rows(spark, "words_of")}
     assert sum(len(got[i]) > len(cut[i]) for i in docs if len(docs[i]) > 1000) > 0
+
+
+def test_call_graph_of_every_file(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.01/events.parquet").filter("user_id BETWEEN 20 AND 60").write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got = plans.QUERIES["call_graph_all"](spark, str(tmp_path)).collect()
+    assert got and sorted((r["src"], r["dst"], r["weight"]) for r in got) == sorted(c.sql(plans.ORACLE_SQL["call_graph_all"]).fetchall())
