@@ -1,6 +1,7 @@
 """Queries that read all of their input."""
 
 import duckdb
+import pytest
 
 from skein import plans
 
@@ -25,3 +26,12 @@ def test_call_graph_of_every_file(spark, tmp_path):
     c.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
     got = plans.QUERIES["call_graph_all"](spark, str(tmp_path)).collect()
     assert got and sorted((r["src"], r["dst"], r["weight"]) for r in got) == sorted(c.sql(plans.ORACLE_SQL["call_graph_all"]).fetchall())
+
+
+@pytest.mark.parametrize(("name", "part"), [("resolve_packages_all", "resolve_packages"), ("resolve_namespaces_all", "resolve_namespaces")])
+def test_every_import_is_resolved(spark, name, part):
+    assert set(rows(spark, part)) < set(rows(spark, name))
+
+
+def test_types_of_every_declaration(spark):
+    assert rows(spark, "resolve_types_all")
