@@ -30,6 +30,12 @@ def exact_fold(spark, sf_dir):
     return Y.fold_to_exact(hits).select("symbol_id", "tier", "folded")
 
 
+@query("exact_fold_all", f"WITH {SYM}, h AS (SELECT *, CASE WHEN lower(name) = 'red ring' THEN 0 WHEN starts_with(lower(name), 'red ring') THEN 1 WHEN contains(lower(name), 'red ring') THEN 2 END AS tier FROM symbols), m AS (SELECT min(tier) AS least, count(*) FILTER (tier > 0) AS others FROM h) SELECT symbol_id, tier, CASE WHEN least = 0 THEN others ELSE 0 END AS folded FROM h, m WHERE tier IS NOT NULL AND (least > 0 OR tier = 0)")
+def exact_fold_all(spark, sf_dir):
+    """``exact_fold`` over every symbol."""
+    return Y.fold_to_exact(Y.find_symbols(symbols(spark, sf_dir), "red ring", [F.col("symbol_id")])).select("symbol_id", "tier", "folded")
+
+
 @query("kind_counts", f"WITH {SYM} SELECT container, kind, count(*) AS n FROM symbols GROUP BY 1, 2")
 def kind_counts(spark, sf_dir):
     return symbols(spark, sf_dir).groupBy("container", "kind").agg(F.count("*").alias("n"))
@@ -253,6 +259,14 @@ def user_path(spark, sf_dir):
     return J.by_suffix(want, f)
 
 
+@query("user_path_all", f"WITH {FILES}, w AS (SELECT CASE WHEN doc_id % 3 = 0 THEN path ELSE language || '/doc_' || doc_id || '.txt' END AS given FROM files) SELECT given, arg_min(path, (path <> given, length(path), path)) AS path FROM w JOIN files ON path = given OR ends_with(path, '/' || given) GROUP BY 1")
+def user_path_all(spark, sf_dir):
+    """``user_path`` for every path."""
+    f = files(spark, sf_dir)
+    short = F.concat("language", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return J.by_suffix(f.select(F.when(F.col("doc_id") % 3 == 0, F.col("path")).otherwise(short).alias("given")), f)
+
+
 @query("nearest", f"WITH {FILES}, m AS (SELECT 'src' || (doc_id % 3) || '/' || language || '/doc_' || (doc_id % 50) || '.txt' AS path FROM files), t AS (SELECT DISTINCT path FROM m), w AS (SELECT path AS importer, 'doc_' || (doc_id % 50) || '.txt' AS base FROM files), j AS (SELECT importer, base, t.path AS target, CASE WHEN split_part(importer, '/', 1) <> split_part(t.path, '/', 1) THEN 0 WHEN split_part(importer, '/', 2) <> split_part(t.path, '/', 2) THEN 1 ELSE 2 END AS shared FROM w JOIN t ON regexp_extract(t.path, '([^/]*)$', 1) = base WHERE importer <> t.path) SELECT importer, base, arg_min(target, (-shared, length(target), target)) AS target FROM j GROUP BY 1, 2")
 def nearest(spark, sf_dir):
     f = files(spark, sf_dir)

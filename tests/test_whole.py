@@ -35,3 +35,13 @@ def test_every_import_is_resolved(spark, name, part):
 
 def test_types_of_every_declaration(spark):
     assert rows(spark, "resolve_types_all")
+
+
+def test_every_path_is_looked_up(spark):
+    assert set(rows(spark, "user_path")) < set(rows(spark, "user_path_all"))
+
+
+def test_every_symbol_is_searched(spark):
+    names = [r["p_name"].lower() for r in spark.read.parquet(f"{SF}/part.parquet").collect()]
+    exact = sum(n == "red ring" for n in names)
+    assert len(rows(spark, "exact_fold_all")) == (exact or sum("red ring" in n for n in names))
