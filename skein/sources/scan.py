@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 
@@ -131,12 +132,20 @@ def ignore_rules(spark: SparkSession, lines: list[tuple[str, str]]) -> DataFrame
     return spark.createDataFrame(rows, "ord int, base string, regex string, negated boolean")
 
 
+@F.udf(StringType())
+def _detected(content):
+    from .charsets import text_of
+
+    return None if content is None else text_of(bytes(content))
+
+
 def decoded(content: Column | str) -> Column:
-    """Text by byte order mark, else UTF-8 if valid, else Latin-1; lone carriage returns become line feeds."""
+    """Text by byte order mark, else UTF-8 if valid, else by the likeliest character set; lone carriage returns become line
+    feeds."""
     c = F.col(content) if isinstance(content, str) else content
     h = F.hex(F.substring(c, 1, 3))
     utf8 = F.make_valid_utf8(c.cast("string"))
-    s = F.when(h.startswith("EFBBBF"), F.regexp_replace(utf8, "^\ufeff", "")).when(h.startswith("FFFE"), F.decode(F.substring(c, 3, 1 << 30), "UTF-16LE")).when(h.startswith("FEFF"), F.decode(F.substring(c, 3, 1 << 30), "UTF-16BE")).when(F.is_valid_utf8(c.cast("string")), utf8).otherwise(F.decode(c, "ISO-8859-1"))
+    s = F.when(h.startswith("EFBBBF"), F.regexp_replace(utf8, "^\ufeff", "")).when(h.startswith("FFFE"), F.decode(F.substring(c, 3, 1 << 30), "UTF-16LE")).when(h.startswith("FEFF"), F.decode(F.substring(c, 3, 1 << 30), "UTF-16BE")).when(F.is_valid_utf8(c.cast("string")), utf8).otherwise(_detected(F.when(~F.is_valid_utf8(c.cast("string")) & ~h.startswith("FFFE") & ~h.startswith("FEFF") & ~h.startswith("EFBBBF"), c)))
     return F.regexp_replace(s, "\r(?!\n)", "\n")
 
 

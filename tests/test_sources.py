@@ -22,6 +22,21 @@ def test_decoding(spark):
     assert [r[0] for r in df.select(S.decoded("c")).collect()] == ["a\nb", "é", "é", "é"]
 
 
+def test_decoding_of_other_character_sets(spark):
+    texts = {
+        "gbk": "# 读取文件并返回所有的行\nx = 1  # 如果没有找到就返回空值\n",
+        "big5": "# 讀取檔案並傳回所有的內容\nx = 1  # 如果沒有找到就結束程式\n",
+        "cp932": "# ファイルを読み込んで行を返します\nx = 1  # 見つからない場合は終了\n",
+        "euc_jp": "# ファイルを読み込んで行を返します\nx = 1  # 見つからない場合は終了\n",
+        "euc_kr": "# 파일을 읽어서 모든 줄을 반환합니다\nx = 1  # 찾지 못하면 종료\n",
+        "cp1251": "# Читает файл и возвращает все строки\nx = 1  # Если не найдено\n",
+        "koi8_r": "# Читает файл и возвращает все строки\nx = 1  # Если не найдено\n",
+        "latin-1": "# Données lues à l'été, größer für Élan et Ãlgo\nx = 1  # señor niño año\n",
+    }
+    df = spark.createDataFrame([(k, bytearray(t.encode(k))) for k, t in texts.items()], "k string, c binary")
+    assert {r["k"]: r["t"] for r in df.select("k", S.decoded("c").alias("t")).collect()} == texts
+
+
 def test_masks():
     assert X.blanked('x = "a # b"  # c\ny', "Python") == 'x = "     "     \ny'
     assert X.blanked("a /* b\n c */ d // e", "Go") == "a     \n      d     "
