@@ -4,13 +4,15 @@ A turn's content is a list of parts: text, image, audio or document.  A visitor
 text in which every attachment is a numbered placeholder; it records each attachment (kind, reference, placeholder,
 place in the formatted turn) and the tokens it will expand to.  The template marks each turn's start and role.  Control
 strings inside texts, placeholders included, are broken by a backslash after their first character, and backslashes are
-doubled, so that what is formatted can be read back exactly.
+doubled, so that what is formatted can be read back exactly.  Text parts that follow one another are escaped as one text:
+a control string cut across parts is broken too.
 
 Formatting is per turn and needs no shuffle.  Reading a conversation back is a sorted stream: turns are dealt by
-conversation and sorted, and one running digest is held, never a conversation.
+conversation and sorted, and one turn and one running digest are held, never a conversation.  The reader finds turns by
+the template's mark alone, wherever rows begin and end.
 
-Defined cases: a null text, role or reference is empty; unknown kinds of parts are an error; a turn with no parts is an
-empty turn; equal turn numbers are ordered by role, then formatted text; repeated rows are repeated turns; nulls in the
+Defined cases: a null text, role or reference is empty; a null kind is text; unknown kinds of parts are an error; null or
+no parts are an empty turn; an empty table gives no rows; columns beside conv_id, turn, role and parts are not read; equal turn numbers are ordered by role, then formatted text; repeated rows are repeated turns; nulls in the
 conversation id form one conversation; a null turn number comes first.
 """
 
@@ -26,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 TURN = "<s>"
 #: role -> what stands before and after its text, behind the turn mark.
 TEMPLATE = {
@@ -56,9 +60,10 @@ def unescape(text: str) -> str:
 
 @dataclass
 class Flattened:
-    """What the visitor gathers over the parts of one turn."""
+    """What the visitor gathers over the parts of one turn.  ``pending``: text that the next part may go on with."""
 
     text: list[str] = field(default_factory=list)
+    pending: list[str] = field(default_factory=list)
     chars: int = 0
     attachments: list[dict] = field(default_factory=list)
     tokens: int = 0
@@ -67,13 +72,19 @@ class Flattened:
         self.text.append(s)
         self.chars += len(s)
 
+    def close_text(self) -> None:
+        if self.pending:
+            self.add(escape("".join(self.pending)))
+            self.pending.clear()
+
     def visit(self, part: dict) -> None:
         getattr(self, f"visit_{part['kind'] or 'text'}")(part)
 
     def visit_text(self, part: dict) -> None:
-        self.add(escape(part["text"] or ""))
+        self.pending.append(part["text"] or "")
 
     def _attach(self, part: dict) -> None:
+        self.close_text()
         n = int(part["tokens"] or 0)
         self.attachments.append({"ordinal": len(self.attachments), "kind": part["kind"], "ref": part["ref"] or "", "offset": self.chars, "tokens": n})
         self.tokens += n
@@ -93,24 +104,75 @@ def format_turn(role: str, parts: list[dict]) -> tuple[str, int, int, Flattened]
     start = out.chars
     for part in parts:
         out.visit(part)
+    out.close_text()
     end = out.chars
     out.add(after)
     return "".join(out.text), start, end, out
 
 
+def _bounds(formatted: str) -> tuple[str, int, int]:
+    """Role of one formatted turn, and where its escaped text starts and ends."""
+    if not formatted.startswith(TURN):
+        raise ValueError("a turn starts with its mark")
+    n = len(TURN)
+    for role, (before, after) in TEMPLATE.items():
+        if formatted.startswith(before, n) and formatted.endswith(after):
+            return role, n + len(before), len(formatted) - len(after)
+    open_, middle, close = OTHER_ROLE
+    at = formatted.find(middle, n + len(open_))
+    if not formatted.startswith(open_, n) or at < 0 or not formatted.endswith(close):
+        raise ValueError("a turn has the marks of no role")
+    return unescape(formatted[n + len(open_) : at]), at + len(middle), len(formatted) - len(close)
+
+
 def read_turn(formatted: str) -> tuple[str, str]:
     """Role and text of one formatted turn; placeholders stay in the text as they are."""
-    body = formatted.removeprefix(TURN)
-    for role, (before, after) in TEMPLATE.items():
-        if body.startswith(before):
-            return role, unescape(body[len(before) : len(body) - len(after)])
-    role, _, rest = body[len(OTHER_ROLE[0]) :].partition(OTHER_ROLE[1])
-    return unescape(role), unescape(rest[: len(rest) - len(OTHER_ROLE[2])])
+    role, start, end = _bounds(formatted)
+    return role, unescape(formatted[start:end])
 
 
 def read_conversation(formatted: str) -> list[tuple[str, str]]:
     """(role, text) of each turn of a formatted conversation: the turn mark stands nowhere else."""
-    return [read_turn(TURN + t) for t in formatted.split(TURN)[1:]]
+    reader, out = Reader(), []
+    for turn in [*reader.feed(formatted), *reader.close()]:
+        out.append(read_turn(turn))
+    return out
+
+
+_KINDS = {mark: kind for kind, mark in PLACEHOLDERS.items()}
+
+
+def read_parts(formatted: str) -> tuple[str, list[tuple[str, str]]]:
+    """Role and parts of one formatted turn: ('text', what it says) and (kind, '') for a placeholder, in order.  Text parts
+    that followed one another come back as one, and empty ones not at all."""
+    role, start, end = _bounds(formatted)
+    out, at, body = [], start, formatted[:end]
+    for m in _MARK.finditer(body, start):
+        out += [("text", unescape(body[at : m.start()])), (_KINDS[m[0]], "")]
+        at = m.end()
+    return role, [p for p in [*out, ("text", unescape(body[at:]))] if p != ("text", "")]
+
+
+class Reader:
+    """Turns of a conversation handed in piece by piece, each from its mark to the next."""
+
+    def __init__(self) -> None:
+        self.held: list[str] = []
+
+    def feed(self, piece: str) -> Iterator[str]:
+        """The turns that ``piece`` closes.  A mark never stands across two pieces that end at ends of turns."""
+        goes_on, *begun = piece.split(TURN)
+        if goes_on and not self.held:
+            raise ValueError("a conversation starts with the turn mark")
+        self.held += [goes_on] if goes_on else []
+        for text in begun:
+            yield from self.close()
+            self.held = [TURN, text]
+
+    def close(self) -> Iterator[str]:
+        if self.held:
+            yield "".join(self.held)
+        self.held = []
 
 
 def as_parts(text: str | Column) -> Column:
@@ -134,6 +196,7 @@ def format_turns(turns: DataFrame, trained_roles: tuple[str, ...] = ("assistant"
             done = pd.DataFrame(rows, columns=["formatted", "loss_start", "loss_end", "expanded_tokens", "attachments"])
             yield pd.concat([batch[["conv_id", "turn", "role"]].reset_index(drop=True), done], axis=1)
 
+    small_batches(turns.sparkSession)
     return turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), "parts").mapInPandas(run, FORMATTED)
 
 
@@ -145,9 +208,16 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of each conversation, from its formatted turns alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, state, out = None, None, []
+        conv, state, reader, out = None, None, Reader(), []
+
+        def count(turns: Iterator[str]) -> None:
+            for text in turns:
+                role, said = read_turn(text)
+                state[0] += 1
+                state[1].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
 
         def closed() -> tuple:
+            count(reader.close())
             n, turns, loss_n, loss, chars = state
             return conv, n, turns.hexdigest(), loss_n, loss.hexdigest(), chars
 
@@ -161,9 +231,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
                     if state:
                         out.append(closed())
                     conv, state = conv_id, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, said = read_turn(text)
-                state[0] += 1
-                state[1].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+                count(reader.feed(text))
                 if end > start:
                     trained = unescape(text[start:end])
                     state[2] += len(trained)
@@ -175,6 +243,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             out.append(closed())
             yield flush()
 
+    small_batches(formatted.sparkSession)
     rows = formatted.select("conv_id", "turn", "role", "formatted", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
     return rows.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, DIGESTS)
 

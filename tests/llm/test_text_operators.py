@@ -243,6 +243,42 @@ def test_conversations_read_back(turns):
     assert chat.read_conversation(whole) == turns
 
 
+_CUT = st.lists(st.sampled_from(["<s>", "</s>", "<", "s>", "[IN", "ST]", "/", "[OUT]", "<<SYS>>", "\\", "|image|>", "<|aud", "io|>", "x", ""]), max_size=4).map("".join)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool"]), st.lists(st.one_of(_CUT, st.sampled_from([("image",), ("audio",), ("document",)])), max_size=6)), max_size=4))
+def test_control_strings_cut_across_parts_read_back(turns):
+    whole, want = "", []
+    for role, given_parts in turns:
+        parts = [{"kind": "text", "text": p, "ref": None, "tokens": 0} if isinstance(p, str) else {"kind": p[0], "text": None, "ref": "r", "tokens": 1} for p in given_parts]
+        text, start, end, got = chat.format_turn(role, parts)
+        whole += text
+        merged = []
+        for p in parts:
+            if p["kind"] != "text":
+                merged.append((p["kind"], ""))
+            elif p["text"]:
+                if merged and merged[-1][0] == "text":
+                    merged[-1] = ("text", merged[-1][1] + p["text"])
+                else:
+                    merged.append(("text", p["text"]))
+        assert chat.read_parts(text) == (role, merged)
+        assert [(a["kind"], text[a["offset"] :].startswith(chat.PLACEHOLDERS[a["kind"]])) for a in got.attachments] == [(k, True) for k, _ in merged if k != "text"]
+        want.append((role, "".join(t if k == "text" else chat.PLACEHOLDERS[k] for k, t in merged)))
+    assert chat.read_conversation(whole) == want
+
+
+def test_turns_are_found_by_their_marks(spark):
+    turns = [("user", "a <s> b"), ("assistant", "c</s>"), ("tool", "d")]
+    pieces = [chat.format_turn(r, [{"kind": "text", "text": t, "ref": None, "tokens": 0}])[0] for r, t in turns]
+    rows = [(1, 0, "user", pieces[0] + pieces[1], 0, 0), (1, 1, "tool", pieces[2], 0, 0)]
+    got = chat.read_back(spark.createDataFrame(rows, "conv_id long, turn long, role string, formatted string, loss_start long, loss_end long")).first()
+    assert (got["n_turns"], got["turns_sha256"]) == (3, hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest())
+    with pytest.raises(ValueError):
+        chat.read_conversation("no mark")
+
+
 def test_parts_become_placeholders():
     parts = [{"kind": "text", "text": "see <|image|> ", "ref": None, "tokens": 0}, {"kind": "image", "text": None, "ref": "a.png", "tokens": 256}, {"kind": "document", "text": None, "ref": "b.pdf", "tokens": 900}]
     text, start, end, got = chat.format_turn("user", parts)
