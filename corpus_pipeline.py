@@ -37,7 +37,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.drop_copies(docs, exact_dedup.DigestIndex(spark, scratch(spark, "digest-index")))
+    index = exact_dedup.DigestIndex(spark, scratch(spark, "digest-index"))
+    out = exact_dedup.drop_copies(docs, index)
+    index.forget(files=True)
+    return out
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

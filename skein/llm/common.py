@@ -70,6 +70,12 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """All columns of ``df`` as one struct, ``row``: names beside it cannot clash with theirs, whatever they are."""
+    quoted = ["`" + c.replace("`", "``") + "`" for c in df.columns]
+    return df.select(F.struct(*quoted).alias("row"))
+
+
 def crc_mod(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n``: the contract's folds."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, release, remove, scratch, small_batches, written
+from .common import map_text, packed, release, remove, scratch, small_batches, written
 from .components import components
 from .shingles import Bands, bitmaps, shingle_sets, signature
 from .signature_tree import candidates, spanning
@@ -226,10 +226,10 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's smallest, with all their columns.
+    """The rows of ``docs`` whose doc_id is their component's smallest, with all their columns, of any name and type.
 
     Rows that share a doc_id stay or go together.
     """
     found = jaccard_groups(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
+    return packed(docs).join(kept, F.col("row.doc_id").cast("bigint").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")

@@ -37,7 +37,10 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 
 @query("op5_exact_dedup", EXACT_DEDUP_SQL)
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.deduplicate(table(spark, sf_dir, "documents"), exact_dedup.DigestIndex(spark, scratch(spark, "digest-index")))
+    index = exact_dedup.DigestIndex(spark, scratch(spark, "digest-index"))
+    out = exact_dedup.deduplicate(table(spark, sf_dir, "documents"), index)
+    index.forget(files=True)
+    return out
 
 
 @query("op6_byte_bpe")

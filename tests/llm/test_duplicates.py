@@ -64,6 +64,7 @@ def test_index_remembers_and_repeats(spark):
     first = lambda d: sorted((r["doc_id"], r["keep_id"]) for r in exact_dedup.deduplicate(d, exact_dedup.DigestIndex(spark, path, buckets=4)).collect())
     assert first(df) == [(5, 5), (6, 6), (7, 6)] == first(df)
     exact_dedup.DigestIndex(spark, path, buckets=4).forget()
+    assert first(df) == [(5, 5), (6, 6), (7, 6)]
     assert first(later) == [(1, 5), (2, 2)]
     assert exact_dedup.DigestIndex(spark, path, buckets=4).read().count() == 3
     assert first(df.limit(0)) == []
@@ -76,10 +77,56 @@ def test_drop_copies_keeps_columns_and_one_row(spark):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [(1, "a", "k"), (3, "b", None), (3, "c", "q"), (None, "d", "k")]))
 
 
-def test_exact_plan_is_native(spark):
-    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
-    plan = exact_dedup.deduplicate(df, exact_dedup.DigestIndex(spark, scratch(spark, "t")))._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exact_plan_is_native(spark, monkeypatch):
+    plans = []
+    write = exact_dedup.written
+    monkeypatch.setattr(exact_dedup, "written", lambda df, path: (plans.append(plan_of(df)), write(df, path))[1])
+    df = spark.range(5).selectExpr("id as doc_id", "cast(id % 3 as string) as text")
+    out = exact_dedup.drop_copies(df, exact_dedup.DigestIndex(spark, scratch(spark, "t")))
+    assert out.count() == 3 and len(plans) >= 4
+    assert not re.search("Python|Pandas|Arrow", "".join([*plans, plan_of(out)]))
+
+
+def test_index_is_read_without_sort_or_shuffle_after_many_batches(spark):
+    path = scratch(spark, "t")
+    index = exact_dedup.DigestIndex(spark, path, buckets=4, most_runs=3)
+    for n in range(12):
+        df = spark.createDataFrame([(100 * n + k, f"t{n * 5 + k}") for k in range(9)], "doc_id long, text string")
+        got = {r["doc_id"]: r["keep_id"] for r in exact_dedup.deduplicate(df, index).collect()}
+        assert got == {100 * n + k: (100 * (n - 1) + k + 5 if n and k < 4 else 100 * n + k) for k in range(9)}
+    assert len(index.runs()) == 3 and index.read().count() == 11 * 5 + 9
+    before = spark.conf.get(exact_dedup._ORDERED, "false")
+    groups = spark.range(3).selectExpr("unhex(sha2(cast(id as string), 256)) as digest", "id as keep_id")
+    with exact_dedup._sorted_scans(spark):
+        plan = plan_of(index.unknown(groups, index.runs()))
+    assert spark.conf.get(exact_dedup._ORDERED, "false") == before
+    assert plan.count("SortMergeJoin") == len(index.runs()) and plan.count("Exchange") == plan.count("Sort ") == 1
+    dead = index.runs()[-1]
+    exact_dedup.remove(spark, f"{index._folder(dead)}/_SUCCESS")
+    assert dead not in index.runs()
+
+
+def test_buckets_follow_rows():
+    assert [exact_dedup.buckets_for(n) for n in (0, 1, 32_000_000, 32_000_001, 10**10)] == [16, 16, 16, 32, 8192]
+
+
+@pytest.mark.parametrize("drop", ["exact", "near"])
+def test_clashing_names_and_any_type(spark, drop):
+    names = ["_kept", "_id", "_sha", "_digest", "_k", "row", "id", "digest", "kept_id", "node", "salt", "component_id", "n", "a.b", "back`tick"]
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "a  b"), (3, None), (4, "c")], "doc_id long, text string")
+    for k, c in enumerate(names):
+        df = df.withColumn(c, F.lit(k))
+    df = df.withColumn("m", F.create_map(F.lit("x"), F.col("doc_id"))).withColumn("s", F.struct(F.lit(1).alias("row")))
+    run = {"exact": lambda: exact_dedup.drop_copies(df, exact_dedup.DigestIndex(spark, scratch(spark, "t"))), "near": lambda: jaccard_join.drop_near_copies(df)}[drop]
+    got = run()
+    assert got.schema.simpleString() == df.schema.simpleString()
+    rows = got.collect()
+    assert sorted(r["doc_id"] for r in rows) == ([1, 3, 4] if drop == "exact" else [1, 1, 3, 4])
+    assert all(r["m"] == {"x": r["doc_id"]} and [r[c] for c in names] == list(range(len(names))) for r in rows)
 
 
 # --- near ------------------------------------------------------------------
