@@ -96,14 +96,17 @@ def release() -> None:
         pass
 
 
-def map_text(df: DataFrame, f: Callable[[list, list[str]], list], schema: str, arrow: pa.Schema, id_col="doc_id", text_col="text") -> DataFrame:
-    """``f(ids, texts)`` over bounded slices of each Arrow batch; it returns one list a column.  A null text is empty."""
+def map_text(df: DataFrame, f: Callable, schema: str, arrow: pa.Schema, id_col="doc_id", text_col="text", per_task: bool = False) -> DataFrame:
+    """``f(ids, texts)`` over bounded slices of each Arrow batch; it returns one list a column.  A null text is empty.
+
+    ``per_task``: ``f()`` makes that function anew for each run of a task, so that it may remember what it has seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = f() if per_task else f
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
-                columns = f(part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()])
+                columns = g(part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k.type) for c, k in zip(columns, arrow, strict=True)], schema=arrow)
         release()
 

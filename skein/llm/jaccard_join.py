@@ -1,7 +1,7 @@
 """Operator 8: Jaccard join of documents over sets of word shingles, by blocks and signature trees.
 
-1. Each text becomes a set of shingle hashes, and of that only a row of fixed size stays: the set's size and signature,
-   a bitmap of its tokens and keys of min-hash bands.  Equal sets are one class from here on.
+1. Each text becomes a set of shingle hashes, and of that only a small row stays: the set's size, two hashes of it, a
+   bitmap of its tokens as wide as it is large, and keys of min-hash bands.  Rows with both hashes equal are one class.
 2. Classes that share a band's key form a block.  BANDS bands of ROWS minima let a pair at the threshold slip through
    with chance (1 - 0.75**2)**34 < 1e-12, and less above it.
 3. In each block a signature tree finds a forest of pairs that may link; it touches every class that has a possible
@@ -11,16 +11,20 @@
    its pairs are verified on the sets and components are formed again, as long as that finds links.  At last all pairs
    of different components that the bounds leave are verified, so that no link between them is left out.
 
-Blocks larger than CHUNK members are split into chunks that meet two by two.  Copies and near-copies are never expanded
-into all pairs: once connected, they are one component.
+Ids, keys and sizes are shuffled to form blocks; bitmaps go only to blocks of two classes or more.  Blocks larger than
+CHUNK members are split by ranges of sizes that may link, and what is still larger into chunks that meet two by two, so
+that no task gets a whole hot block.  Copies and near-copies are never expanded into all pairs: once connected, they are
+one component.
 
 Words: `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased.  A text of one to four words is one shingle; null and empty texts have
 none and link with nothing.  Of rows that repeat a doc_id, each is reported with its own text's component.  A null
-doc_id takes part and is never the smallest of a component that has another.  An empty table gives no rows.
+doc_id takes part and is never the smallest of a component that has another.  An empty table gives no rows.  Columns
+beside doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,98 +34,107 @@ from pyspark.sql import functions as F
 
 from .common import map_text, packed, release, remove, scratch, small_batches, written
 from .components import components
-from .shingles import Bands, bitmaps, shingle_sets, signature
+from .shingles import Bands, bitmap, shingle_sets, signature
 from .signature_tree import candidates, spanning
 
 PERCENT = 75
 BANDS, ROWS = 34, 2
-BITS = 4096
 SALTS = 64
-CHUNK = 4096
+CHUNK = 1024
 #: Rounds of forests at most, before all pairs that remain are verified.
 FORESTS = 4
 #: Ids that may be broadcast, once counted; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Classes whose bands a task remembers to have given already.
+REMEMBERED = 1_000_000
 
 _BANDS = Bands(BANDS, ROWS)
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("bitmap", pa.binary()), ("bands", pa.list_(pa.int64()))])
 _PAIR = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def _sketch(ids: list, texts: list[str]) -> list:
-    sets = shingle_sets(texts)
-    full = [s for s in sets if len(s)]
-    keys = iter(_BANDS.keys(full).view("i8")) if full else iter(())
-    maps = bitmaps(sets, BITS)
-    signs = [signature(s) if len(s) else (None, None) for s in sets]
-    return [
-        ids,
-        [len(s) for s in sets],
-        [s[0] for s in signs],
-        [s[1] for s in signs],
-        [m.tobytes() for m in maps],
-        [next(keys) if len(s) else None for s in sets],
-    ]
+def sketches(docs: DataFrame, node_bits: int = 64) -> DataFrame:
+    """doc_id, size, node and check (two hashes of the set) of every row.  The first row of a class that a task meets has
+    its bitmap and bands, too; a hot group of copies gives one such row a task, not one a copy."""
 
+    def make():
+        seen: set[tuple[int, int]] = set()
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, size, node and check (two hashes of the set), bitmap, bands of every row."""
-    return map_text(docs, _sketch, "doc_id long, size long, node long, check long, bitmap binary, bands array<long>", _SKETCH)
+        def sketch(ids: list, texts: list[str]) -> list:
+            sets = shingle_sets(texts)
+            signs, new = [], []
+            for k, s in enumerate(sets):
+                sign = signature(s) if len(s) else (None, None)
+                if len(s) and node_bits < 64:
+                    sign = sign[0] & (1 << node_bits) - 1, sign[1]
+                signs.append(sign)
+                if len(s) and sign not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(sign)
+                    new.append(k)
+            keys = dict(zip(new, _BANDS.keys([sets[k] for k in new]).view("i8"), strict=True)) if new else {}
+            return [ids, [len(s) for s in sets], [s[0] for s in signs], [s[1] for s in signs], [bitmap(s) if k in keys else None for k, s in enumerate(sets)], [keys.get(k) for k in range(len(sets))]]
+
+        return sketch
+
+    return map_text(docs, make, "doc_id long, size long, node long, check long, bitmap binary, bands array<long>", _SKETCH, per_task=True)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and its sorted hashes, for the wanted (doc_id, node)."""
+    """node and its sorted hashes, for the wanted (doc_id, check, node); a document's text tells which of them is its own."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    nodes = wanted.select(F.col("doc_id").alias("_id"), "node")
+    ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
     if wanted.count() <= BROADCAST_IDS:
-        nodes = F.broadcast(nodes)
-    chosen = texts.join(nodes, F.col("doc_id").eqNullSafe(F.col("_id"))).select(F.col("node").alias("doc_id"), "text")
-
-    def hashes(ids: list, texts: list[str]) -> list:
-        sets = [(i, s) for i, s in zip(ids, shingle_sets(texts), strict=True) if len(s) and signature(s)[0] == i]
-        return [[i for i, _ in sets], [s.tobytes() for _, s in sets]]
-
-    arrow = pa.schema([("node", pa.int64()), ("hashes", pa.binary())])
-    return map_text(chosen, hashes, "node long, hashes binary", arrow)
+        ids = F.broadcast(ids)
+    chosen = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+    def make():
+        seen: set[tuple] = set()  # a row that repeats gives its set once a task
+
+        def hashes(ids: list, texts: list[str]) -> list:
+            out = []
+            for i, s in zip(ids, shingle_sets(texts), strict=True):
+                if len(s) and (own := (i, signature(s)[1])) not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(own)
+                    out.append((*own, s.tobytes()))
+            return [[r[k] for r in out] for k in range(3)]
+
+        return hashes
+
+    arrow = pa.schema([("doc_id", pa.int64()), ("check", pa.int64()), ("hashes", pa.binary())])
+    read = map_text(chosen, make, "doc_id long, check long, hashes binary", arrow, per_task=True)
+    own = wanted.select(F.col("doc_id").alias("_id"), F.col("check").alias("_check"), "node")
+    if wanted.count() <= BROADCAST_IDS:
+        own = F.broadcast(own)
+    return read.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("check") == F.col("_check"))).select("node", "hashes")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (u, v) whose sets have 100 * common >= percent * union.
-
-    Pairs are dealt by u and a salt of v; a task holds one u's set at a time and streams those of its partners.
-    """
-    salted = pairs.select("u", "v", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int").alias("salt"))
-    hosts = salted.select("u", "salt").distinct().join(sets.withColumnRenamed("node", "u"), "u").select("u", "salt", F.lit(None).cast("bigint").alias("v"), "hashes")
-    guests = salted.join(sets.withColumnRenamed("node", "v"), "v").select("u", "salt", "v", "hashes")
+    """The pairs (u, v) whose sets have 100 * common >= percent * union.  Both joins are skewed where one class has many
+    partners; its set is one row, so that the partners' side can be split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, own = None, np.zeros(0, "u8")
         for batch in batches:
             us, vs, found = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for u, v, data in zip(us, vs, batch.column(2), strict=True):
-                tokens = np.frombuffer(data.as_buffer(), "u8")
-                if v is None:
-                    host, own = u, tokens.copy()
-                    continue
-                if u != host:
-                    continue
-                common = len(np.intersect1d(own, tokens, assume_unique=True))
-                if 100 * common >= percent * (len(own) + len(tokens) - common):
+            for u, v, x, y in zip(us, vs, batch.column(2), batch.column(3), strict=True):
+                a, b = np.frombuffer(x.as_buffer(), "u8"), np.frombuffer(y.as_buffer(), "u8")
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                if 100 * common >= percent * (len(a) + len(b) - common):
                     found.append((u, v))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=_PAIR)
         release()
 
-    dealt = hosts.unionByName(guests).repartition("u", "salt").sortWithinPartitions("u", "salt", F.col("v").asc_nulls_first())
-    return dealt.select("u", "v", "hashes").mapInArrow(run, "u long, v long")
+    side = lambda name, data: sets.select(F.col("node").alias(name), F.col("hashes").alias(data))
+    return pairs.select("u", "v").join(side("v", "b"), "v").join(side("u", "a"), "u").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-FOREST = 0
-
-
-def block_pairs(members: DataFrame, percent: int, per_pair: int | None) -> DataFrame:
-    """members: key, part, node, size, bitmap, component.  u, v, n: candidate pairs of all blocks (key, part) and how many
-    blocks gave them.  ``per_pair`` as in ``candidates``; FOREST asks for ``spanning``."""
+def block_pairs(members: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """members: key, part, node, size, bitmap, component.  u, v, n: pairs of all blocks (key, part), and how many blocks
+    gave them: a forest of each block, or all that the bounds leave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = None, []
@@ -130,9 +143,8 @@ def block_pairs(members: DataFrame, percent: int, per_pair: int | None) -> DataF
             nodes, sizes, maps, component = zip(*held, strict=True)
             held.clear()
             nodes = np.array(nodes, "i8")
-            maps = np.frombuffer(b"".join(maps), "u1").reshape(len(nodes), -1)
             given = maps, np.array(sizes, "i8"), np.array(component, "i8"), percent
-            got = np.array(spanning(*given) if per_pair == FOREST else candidates(*given, per_pair), "i8").reshape(-1, 2)
+            got = np.array(spanning(*given) if forest else candidates(*given), "i8").reshape(-1, 2)
             u, v = nodes[got[:, 0]], nodes[got[:, 1]]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], schema=_PAIR)
 
@@ -152,13 +164,25 @@ def block_pairs(members: DataFrame, percent: int, per_pair: int | None) -> DataF
     return dealt.select("key", "part", "node", "size", "bitmap", "component").mapInArrow(run, "u long, v long").groupBy("u", "v").agg(F.count("*").alias("n"))
 
 
-def _split_blocks(entries: DataFrame, chunk: int) -> DataFrame:
-    """entries: key, node, n (members of the key).  A part number for each block, or each two chunks of a large one."""
-    chunks = F.ceil(F.col("n") / chunk).cast("int")
+def _blocks(entries: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """entries: key, node, size, n (members of the key).  The same with keys of large blocks split by size: a range of sizes
+    is as wide as a link allows, and a block holds one range and the next."""
+    level = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.col("size").cast("int")
+    small = entries.filter(F.col("n") <= chunk)
+    large = entries.filter(F.col("n") > chunk).withColumn("range", F.explode(F.array(level - 1, level)))
+    large = large.withColumn("key", F.xxhash64("key", "range"))
+    sizes = large.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    return small.select("key", "node", "n").unionByName(large.drop("n").join(sizes, "key").select("key", "node", "n"))
+
+
+def _parts(entries: DataFrame, chunk: int) -> DataFrame:
+    """entries: key, node, n.  A part number for each block, or each two chunks of a large one."""
+    half = max(1, chunk // 2)
+    chunks = F.when(F.col("n") <= chunk, 1).otherwise(F.ceil(F.col("n") / half)).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     other = F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = entries.withColumn("chunks", chunks).withColumn("own", own).withColumn("other", other)
-    return rows.withColumn("part", F.least("own", "other") * F.col("chunks") + F.greatest("own", "other")).drop("chunks", "own", "other", "n")
+    return rows.withColumn("part", F.least("own", "other").cast("bigint") * F.col("chunks") + F.greatest("own", "other")).select("key", "part", "node")
 
 
 def _best_pairs(pairs: DataFrame) -> DataFrame:
@@ -168,7 +192,18 @@ def _best_pairs(pairs: DataFrame) -> DataFrame:
     return best.select(F.least("b.u", "v").alias("u"), F.greatest("b.u", "v").alias("v")).distinct()
 
 
-def jaccard_groups(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
+def _told_apart(rows: DataFrame, keep) -> DataFrame:
+    """``rows`` with nodes that stand for one set each: where two sets share a node, the second hash makes another."""
+    for n in range(8):
+        sets = rows.filter("size > 0").select("node", "check").distinct()
+        shared = sets.groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).filter("a != b").select("node", F.lit(True).alias("shared"))
+        if shared.isEmpty():
+            return rows
+        rows = keep(rows.join(shared, "node", "left").withColumn("node", F.when(F.col("shared"), F.xxhash64("node", "check", F.lit(n))).otherwise(F.col("node"))).drop("shared"), "sketches")
+    raise RuntimeError("two hashes do not tell the sets apart")
+
+
+def jaccard_groups(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK, node_bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     spark, made = docs.sparkSession, []
     small_batches(spark)
@@ -177,23 +212,22 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK)
         made.append(scratch(spark, f"jaccard-{label}"))
         return written(df, made[-1])
 
-    rows = keep(sketches(docs).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "sketches")
+    rows = _told_apart(keep(sketches(docs, node_bits).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "sketches"), keep)
     full = rows.filter("size > 0")
-    parts = full.groupBy("node", "salt").agg(F.min("doc_id").alias("least"))
-    classes = parts.groupBy("node").agg(F.min("least").alias("doc_id"))
-    classes = keep(classes, "classes")
-    firsts = full.join(classes, ["node", "doc_id"]).select("node", "doc_id", "size", "bitmap", "bands").dropDuplicates(["node"])
-    entries = firsts.select(F.explode("bands").alias("key"), "node")
-    shared_keys = entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    entries = keep(entries.join(shared_keys, "key"), "entries")
-    known = firsts.select("node", "doc_id", "size", "bitmap").join(entries.select("node").distinct(), "node", "left_semi")
-    known = keep(known, "sharing")
+    parts = full.groupBy("node", "salt").agg(F.min("doc_id").alias("least"), F.first("check").alias("check"), F.first("size").alias("size"))
+    classes = keep(parts.groupBy("node").agg(F.min("least").alias("doc_id"), F.first("check").alias("check"), F.first("size").alias("size")), "classes")
+    banded = full.filter("bands IS NOT NULL").select(F.explode("bands").alias("key"), "node", F.col("size").cast("int").alias("size"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).filter("a != b").select("key", "n")
+    entries = keep(_blocks(keep(banded.join(shared, "key"), "entries"), percent, chunk), "blocks")
+    sharing = entries.select("node").distinct()
+    maps = full.filter("bands IS NOT NULL").select("node", "bitmap").join(sharing, "node", "left_semi").dropDuplicates(["node"])
+    known = keep(classes.select("node", "doc_id", "check", "size").join(maps, "node"), "sharing")
     alone_yet = known.select("node", "size", "bitmap", F.col("node").alias("component"))
-    pairs = keep(block_pairs(_split_blocks(entries, chunk).join(alone_yet, "node"), percent, FOREST), "forest")
+    pairs = keep(block_pairs(_parts(entries, chunk).join(alone_yet, "node"), percent, True), "forest")
     partnered = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     known = keep(known.join(partnered, "node", "left_semi"), "partnered")
     entries = keep(entries.join(known.select("node"), "node", "left_semi"), "entries")
-    sets = keep(sets_of(docs, known.select("doc_id", "node")), "sets")
+    sets = keep(sets_of(docs, known.select("doc_id", "check", "node")), "sets")
 
     tried = keep(_best_pairs(pairs), "tried")
     links = keep(verify(tried, sets, percent), "links")
@@ -205,8 +239,8 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK)
         if mixed.isEmpty():
             break
         forest = n < FORESTS and not settled
-        members = _split_blocks(entries.join(mixed, "key", "left_semi"), chunk).join(state, "node")
-        pairs = keep(block_pairs(members, percent, FOREST if forest else None).join(tried, ["u", "v"], "left_anti").select("u", "v"), "pairs")
+        members = _parts(entries.join(mixed, "key", "left_semi"), chunk).join(state, "node")
+        pairs = keep(block_pairs(members, percent, forest).join(tried, ["u", "v"], "left_anti").select("u", "v"), "pairs")
         fresh = keep(verify(pairs, sets, percent), "links")
         tried, settled = tried.unionByName(pairs), fresh.isEmpty()
         if not settled:

@@ -121,12 +121,20 @@ class Bands:
             return out
 
 
-def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    """(len(sets), bits / 8) bytes: the bits of each set's hashes."""
-    flags = np.zeros((len(sets), bits), bool)
-    if sets:
-        flags[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), (np.concatenate(sets) % np.uint64(bits)).astype("i8")] = True
-    return np.packbits(flags, axis=1)
+LEAST_BITS, MOST_BITS = 128, 1 << 22
+
+
+def bits_for(size: int) -> int:
+    """The width of the bitmap of a set: the next power of two."""
+    return min(max(LEAST_BITS, 1 << max(size - 1, 0).bit_length()), MOST_BITS)
+
+
+def bitmap(tokens: np.ndarray, bits: int | None = None) -> bytes:
+    """The bits of a set's hashes modulo the width."""
+    bits = bits or bits_for(len(tokens))
+    flags = np.zeros(bits, bool)
+    flags[(tokens & np.uint64(bits - 1)).astype("i8")] = True
+    return np.packbits(flags).tobytes()
 
 
 def signature(tokens: np.ndarray) -> tuple[int, int]:

@@ -5,10 +5,15 @@ the OR of its children's bitmaps, the range of their sizes and the largest such
 share at most popcount(a AND b) + min(surplus) tokens; for two nodes this bounds every pair of leaves below them.  A
 pair of nodes is dropped when that bound, or the sizes alone, cannot give the wanted Jaccard similarity, or when all
 leaves below both are in one component already.
+
+A bitmap is as wide as its set is large, so that it prunes long texts as it does short ones.  Widths are powers of two:
+a wider bitmap is folded to a narrower one by OR, and sets of different widths meet at the narrower.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 FANOUT = 16
@@ -24,7 +29,7 @@ class Tree:
 
     def __init__(self, bitmaps: np.ndarray, sizes: np.ndarray, component: np.ndarray):
         words = np.ascontiguousarray(bitmaps).view("u8")
-        self.order = np.lexsort((*words.T[:2], sizes))
+        self.order = np.lexsort((*words.T[:2], sizes))  # a bitmap has 64 bits at least
         words, sizes = words[self.order], sizes[self.order].astype("i8")
         self.label = component[self.order].copy()
         surplus = sizes - np.bitwise_count(words).sum(1, dtype="i8")
@@ -94,24 +99,46 @@ class Tree:
                 stack.append((level - 1, i[real], j[real]))
 
 
-def spanning(bitmaps: np.ndarray, sizes: np.ndarray, component: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A forest of leaf pairs that may link: it touches every leaf that has a possible partner in another component."""
-    tree, out = Tree(bitmaps, sizes, component), []
-    for a, b in tree.pairs(percent):
-        out += tree.merge(a, b)
+def folded(maps: list[bytes], width: int) -> np.ndarray:
+    """(len(maps), width) bytes: wider bitmaps have their halves OR-combined until they are ``width`` bytes."""
+    out = np.zeros((len(maps), width), "u1")
+    for n, m in enumerate(maps):
+        out[n] = np.bitwise_or.reduce(np.frombuffer(m, "u1").reshape(-1, width), axis=0)
     return out
 
 
-def candidates(bitmaps: np.ndarray, sizes: np.ndarray, component: np.ndarray, percent: int, per_pair: int | None) -> list[tuple[int, int]]:
-    """Leaf pairs to verify: at most ``per_pair`` for each two components, or all that the bounds leave."""
-    tree, out = Tree(bitmaps, sizes, component), []
-    seen: dict[tuple[int, int], int] = {}
-    for a, b in tree.pairs(percent):
-        for i, j, x, y in zip(tree.order[a].tolist(), tree.order[b].tolist(), tree.label[a].tolist(), tree.label[b].tolist(), strict=True):
-            if per_pair is not None:
-                key = (min(x, y), max(x, y))
-                if seen.get(key, 0) >= per_pair:
-                    continue
-                seen[key] = seen.get(key, 0) + 1
-            out.append((i, j))
+def by_width(maps: list[bytes], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each width of bitmap: which sets have it or one so much wider that their sizes may still link, and their
+    bitmaps of that width.  Widths double as sizes do, so that every pair that may link meets in one of them."""
+    widths = np.array([len(m) for m in maps])
+    steps = 0
+    while (100 << steps) * percent < 10_000:
+        steps += 1
+    for width in np.unique(widths).tolist():
+        chosen = np.flatnonzero((widths >= width) & (widths <= width << max(steps, 1)))
+        if len(chosen) > 1:
+            yield chosen, folded([maps[k] for k in chosen.tolist()], width)
+
+
+def spanning(maps: list[bytes], sizes: np.ndarray, component: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A forest of pairs that may link: it touches every set that has a possible partner in another component."""
+    label, out = component.copy(), []
+    for chosen, bitmaps in by_width(maps, percent):
+        tree = Tree(bitmaps, sizes[chosen], label[chosen])
+        for a, b in tree.pairs(percent):
+            for i, j in tree.merge(a, b):
+                i, j = int(chosen[i]), int(chosen[j])
+                x, y = label[i], label[j]
+                label[label == max(x, y)] = min(x, y)
+                out.append((i, j))
     return out
+
+
+def candidates(maps: list[bytes], sizes: np.ndarray, component: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """All pairs of different components that the bounds leave."""
+    out = set()
+    for chosen, bitmaps in by_width(maps, percent):
+        tree = Tree(bitmaps, sizes[chosen], component[chosen])
+        for a, b in tree.pairs(percent):
+            out.update(zip(chosen[tree.order[a]].tolist(), chosen[tree.order[b]].tolist(), strict=True))
+    return list(out)

@@ -13,7 +13,7 @@ import corpus_pipeline
 from skein.llm import exact_dedup, jaccard_join, near_vectors, signature_tree
 from skein.llm.common import scratch
 from skein.llm.components import components
-from skein.llm.shingles import bitmaps, shingle_sets
+from skein.llm.shingles import Bands, bitmap, shingle_sets
 
 SF = "/root/testdata/sf0.01"
 
@@ -138,19 +138,45 @@ def test_shingle_sets_equal_brute_force():
     assert [len(s) for s in sets] == [len(shingles(t)) for t in texts]
 
 
-def test_signature_tree_loses_no_pair():
+def random_sets(rng, n, most):
+    base = rng.integers(0, 1 << 62, (6, most)).astype("u8")
+    return [np.unique(np.concatenate([base[k % 6][: rng.integers(most // 3, most)], rng.integers(0, 1 << 62, rng.integers(0, most // 5)).astype("u8")])) for k in range(n)]
+
+
+@pytest.mark.parametrize("most", [20, 200, 20_000])
+def test_signature_tree_loses_no_pair(most):
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 1 << 62, (6, 200)).astype("u8")
-    sets = [np.unique(np.concatenate([base[k % 6][: rng.integers(60, 200)], rng.integers(0, 1 << 62, rng.integers(0, 40)).astype("u8")])) for k in range(90)]
+    sets = random_sets(rng, 90, most)
     truth = {(i, j) for i in range(90) for j in range(i) if 100 * (c := len(np.intersect1d(sets[i], sets[j]))) >= 75 * (len(sets[i]) + len(sets[j]) - c)}
     sizes, own = np.array([len(s) for s in sets]), np.arange(90)
-    maps = bitmaps(sets, 1024)
-    got = {(max(p), min(p)) for p in signature_tree.candidates(maps, sizes, own, 75, None)}
+    maps = [bitmap(s) for s in sets]
+    got = {(max(p), min(p)) for p in signature_tree.candidates(maps, sizes, own, 75)}
     assert truth and truth <= got and len(got) < 90 * 89 / 2
     forest = signature_tree.spanning(maps, sizes, own, 75)
     assert groups(90, forest) == groups(90, got)
     halves = np.arange(90) % 2
-    assert {p for p in truth if halves[p[0]] != halves[p[1]]} <= {(max(p), min(p)) for p in signature_tree.candidates(maps, sizes, halves, 75, None)}
+    assert {p for p in truth if halves[p[0]] != halves[p[1]]} <= {(max(p), min(p)) for p in signature_tree.candidates(maps, sizes, halves, 75)}
+
+
+@pytest.mark.parametrize("size", [400, 2_000, 6_000, 20_000])
+def test_signature_tree_prunes_disjoint_sets_of_any_size(size):
+    rng = np.random.default_rng(size)
+    sets = [np.unique(rng.integers(0, 1 << 62, size).astype("u8")) for _ in range(40)]
+    assert signature_tree.candidates([bitmap(s) for s in sets], np.array([len(s) for s in sets]), np.arange(40), 75) == []
+
+
+def test_bands_miss_no_pair_at_the_threshold():
+    """Recall at the threshold itself: 20,000 pairs of similarity 0.75 to 0.76."""
+    rng = np.random.default_rng(9)
+    bands = Bands(jaccard_join.BANDS, jaccard_join.ROWS)
+    missed = 0
+    for _ in range(40):
+        pool = rng.integers(0, 1 << 63, (500, 140)).astype("u8")
+        a, b = bands.keys(list(pool[:, :120])), bands.keys(list(pool[:, 20:]))  # 100 common of 140
+        c, d = bands.keys(list(pool[:, :123])), bands.keys(list(pool[:, 17:]))  # 106 of 140: 0.757
+        missed += int((~(c == d).any(1)).sum())
+        assert (a == b).any(1).mean() > 0.99
+    assert missed == 0
 
 
 def near_rows(rng):
@@ -165,8 +191,8 @@ def near_rows(rng):
     return rows + ["", None, " \t", "one", "ONE", "a b", "A  b", "a b c", rows[0], rows[0].upper(), "w " * 30_000]
 
 
-@pytest.mark.parametrize("chunk", [jaccard_join.CHUNK, 3])
-def test_jaccard_groups_equal_brute_force(spark, chunk):
+@pytest.mark.parametrize(("chunk", "node_bits"), [(jaccard_join.CHUNK, 64), (4, 64), (64, 4)])
+def test_jaccard_groups_equal_brute_force(spark, chunk, node_bits):
     texts = near_rows(np.random.default_rng(chunk))
     ids = [int(x) for x in np.random.default_rng(1).permutation(len(texts)) * 7]
     order = np.argsort(ids)
@@ -174,7 +200,7 @@ def test_jaccard_groups_equal_brute_force(spark, chunk):
     of = groups(len(texts), near_links(sets))
     want = {ids[k]: (len(sets[n]), ids[order[of[n]]]) for n, k in enumerate(order)}
     df = spark.createDataFrame([(i, t, 0) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, component_id int")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_groups(df, chunk=chunk).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_groups(df, chunk=chunk, node_bits=node_bits).collect()}
     assert got == want
     kept = jaccard_join.drop_near_copies(df)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, (_, c) in want.items() if i == c}
