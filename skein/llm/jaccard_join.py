@@ -11,10 +11,11 @@
    its pairs are verified on the sets and components are formed again, as long as that finds links.  At last all pairs
    of different components that the bounds leave are verified, so that no link between them is left out.
 
-Ids, keys and sizes are shuffled to form blocks; bitmaps go only to blocks of two classes or more.  Blocks larger than
-CHUNK members are split by ranges of sizes that may link, and what is still larger into chunks that meet two by two, so
-that no task gets a whole hot block.  Copies and near-copies are never expanded into all pairs: once connected, they are
-one component.
+Ids, keys and sizes are shuffled to form blocks; bitmaps go only to blocks of two classes or more, and of blocks with the
+same members one is kept.  For forests a block larger than CHUNK members is cut at random into chunks, anew for each key,
+so that no task gets a whole hot block and no row is copied; its members count as partnered.  Only at last, if it still
+has several components, is it split by ranges of sizes that may link, and what is still larger into chunks that meet two
+by two.  Copies and near-copies are never expanded into all pairs: once connected, they are one component.
 
 Words: `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased.  A text of one to four words is one shingle; null and empty texts have
 none and link with nothing.  Of rows that repeat a doc_id, each is reported with its own text's component.  A null
@@ -41,8 +42,9 @@ PERCENT = 75
 BANDS, ROWS = 34, 2
 SALTS = 64
 CHUNK = 1024
-#: Rounds of forests at most, before all pairs that remain are verified.
-FORESTS = 4
+#: Rounds of forests at most, before all pairs that remain are verified; a round that adds less than one link to so many
+#: is the last.
+FORESTS, FEW_LINKS = 4, 20
 #: Ids that may be broadcast, once counted; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Classes whose bands a task remembers to have given already.
@@ -132,57 +134,89 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     return pairs.select("u", "v").join(side("v", "b"), "v").join(side("u", "a"), "u").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def block_pairs(members: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """members: key, part, node, size, bitmap, component.  u, v, n: pairs of all blocks (key, part), and how many blocks
-    gave them: a forest of each block, or all that the bounds leave."""
+def _by_block(dealt: DataFrame, columns: list[str], pairs_of) -> DataFrame:
+    """u, v: ``pairs_of`` the members of each block (key, part), which come as one list a column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = None, []
 
         def joined() -> pa.RecordBatch:
-            nodes, sizes, maps, component = zip(*held, strict=True)
+            given = dict(zip(columns, map(list, zip(*held, strict=True)), strict=True))
+            nodes, got = np.array(given["node"], "i8"), np.array(pairs_of(block[0], given), "i8").reshape(-1, 2)
             held.clear()
-            nodes = np.array(nodes, "i8")
-            given = maps, np.array(sizes, "i8"), np.array(component, "i8"), percent
-            got = np.array(spanning(*given) if forest else candidates(*given), "i8").reshape(-1, 2)
             u, v = nodes[got[:, 0]], nodes[got[:, 1]]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], schema=_PAIR)
 
         for batch in batches:
-            for key, part, node, size, bitmap, component in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, part) != block:
                     if len(held) > 1:
                         yield joined()
                     held.clear()
                     block = key, part
-                held.append((node, size, bitmap, component))
+                held.append(row)
         if len(held) > 1:
             yield joined()
         release()
 
-    dealt = members.repartition("key", "part").sortWithinPartitions("key", "part", "node")
-    return dealt.select("key", "part", "node", "size", "bitmap", "component").mapInArrow(run, "u long, v long").groupBy("u", "v").agg(F.count("*").alias("n"))
+    sorted_ = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "node")
+    return sorted_.select("key", "part", *columns).mapInArrow(run, "u long, v long")
 
 
-def _blocks(entries: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """entries: key, node, size, n (members of the key).  The same with keys of large blocks split by size: a range of sizes
-    is as wide as a link allows, and a block holds one range and the next."""
-    level = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.col("size").cast("int")
-    small = entries.filter(F.col("n") <= chunk)
-    large = entries.filter(F.col("n") > chunk).withColumn("range", F.explode(F.array(level - 1, level)))
-    large = large.withColumn("key", F.xxhash64("key", "range"))
-    sizes = large.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    return small.select("key", "node", "n").unionByName(large.drop("n").join(sizes, "key").select("key", "node", "n"))
+def forest_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """members: key, part, node, size, bitmap, component.  u, v, n: pairs of a forest of each block, and how many blocks
+    gave them."""
+
+    def forest(key: int, m: dict) -> list:
+        return spanning(m["bitmap"], np.array(m["size"], "i8"), np.array(m["component"], "i8"), percent)
+
+    return _by_block(members, ["node", "size", "bitmap", "component"], forest).groupBy("u", "v").agg(F.count("*").alias("n"))
+
+
+def all_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """members: those of ``_meetings`` with size, bitmap, component and keys (all that the node has).  u, v: all pairs that
+    the bounds leave.  A pair is given by the smallest of the keys that its two have in common, and there once."""
+
+    def once(key: int, m: dict) -> list:
+        keys, home = [set(k) for k in m["keys"]], m["home"]
+        found = candidates(m["bitmap"], np.array(m["size"], "i8"), np.array(m["component"], "i8"), percent)
+        return [(i, j) for i, j in found if not (m["high"][i] and m["high"][j]) and (m["own"][i] != m["own"][j] or not m["across"][i]) and home[i] == min(keys[i] & keys[j])]
+
+    return _by_block(members, ["node", "size", "bitmap", "component", "keys", "home", "high", "own", "across"], once)
 
 
-def _parts(entries: DataFrame, chunk: int) -> DataFrame:
-    """entries: key, node, n.  A part number for each block, or each two chunks of a large one."""
+def _once(entries: DataFrame) -> DataFrame:
+    """entries: key, node, size, n.  Of keys with the same members only the smallest stays."""
+    of = lambda k: F.sum(F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1 << 31))).alias(f"h{k}")
+    members = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), of(1), of(2), of(3))
+    kept = members.groupBy("n", "a", "b", "h1", "h2", "h3").agg(F.min("key").alias("key")).select("key")
+    return entries.join(kept, "key", "left_semi")
+
+
+def _chunks(entries: DataFrame, chunk: int) -> DataFrame:
+    """key, part, node: each member of a block in one chunk of it, drawn by key and node."""
+    chunks = F.ceil(F.col("n") / chunk)
+    return entries.withColumn("part", F.pmod(F.xxhash64("node", "key"), chunks)).select("key", "part", "node")
+
+
+def _meetings(entries: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """key, part, node such that each two members that may link meet.  Large blocks are split by size, where a range is as
+    wide as a link allows and a block holds one range and the next; what is still large into chunks that meet two by two.
+
+    home: the key before it was split; high: the member's size is in the upper of the two ranges; own: its chunk; across:
+    whether the part is one of two chunks.  Two high members meet in another block too, two of a chunk in the chunk's own."""
+    level = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.col("size").cast("int")
+    small = entries.filter(F.col("n") <= chunk).select("key", F.lit(0).cast("bigint").alias("part"), "node", F.col("key").alias("home"), F.lit(False).alias("high"), F.lit(0).alias("own"), F.lit(False).alias("across"))
+    large = entries.filter(F.col("n") > chunk).withColumn("range", F.explode(F.array(level - 1, level)))
+    large = large.select(F.xxhash64("key", "range").alias("key"), "node", F.col("key").alias("home"), (level > F.col("range")).alias("high"))
+    ranged = large.join(large.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
     half = max(1, chunk // 2)
     chunks = F.when(F.col("n") <= chunk, 1).otherwise(F.ceil(F.col("n") / half)).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     other = F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = entries.withColumn("chunks", chunks).withColumn("own", own).withColumn("other", other)
-    return rows.withColumn("part", F.least("own", "other").cast("bigint") * F.col("chunks") + F.greatest("own", "other")).select("key", "part", "node")
+    rows = ranged.withColumn("chunks", chunks).withColumn("own", own).withColumn("other", other)
+    part = F.least("own", "other").cast("bigint") * F.col("chunks") + F.greatest("own", "other")
+    return small.unionByName(rows.select("key", part.alias("part"), "node", "home", "high", "own", (F.col("own") != F.col("other")).alias("across")))
 
 
 def _best_pairs(pairs: DataFrame) -> DataFrame:
@@ -218,32 +252,49 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK,
     classes = keep(parts.groupBy("node").agg(F.min("least").alias("doc_id"), F.first("check").alias("check"), F.first("size").alias("size")), "classes")
     banded = full.filter("bands IS NOT NULL").select(F.explode("bands").alias("key"), "node", F.col("size").cast("int").alias("size"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).filter("a != b").select("key", "n")
-    entries = keep(_blocks(keep(banded.join(shared, "key"), "entries"), percent, chunk), "blocks")
+    entries = keep(_once(keep(banded.join(shared, "key"), "entries")), "blocks")
     sharing = entries.select("node").distinct()
     maps = full.filter("bands IS NOT NULL").select("node", "bitmap").join(sharing, "node", "left_semi").dropDuplicates(["node"])
     known = keep(classes.select("node", "doc_id", "check", "size").join(maps, "node"), "sharing")
     alone_yet = known.select("node", "size", "bitmap", F.col("node").alias("component"))
-    pairs = keep(block_pairs(_parts(entries, chunk).join(alone_yet, "node"), percent, True), "forest")
-    partnered = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    pairs = keep(forest_pairs(_chunks(entries, chunk).join(alone_yet, "node"), percent), "forest")
+    touched = lambda df: df.select(F.col("u").alias("node")).union(df.select("v"))
+    partnered = touched(pairs).union(entries.filter(F.col("n") > chunk).select("node")).distinct()
     known = keep(known.join(partnered, "node", "left_semi"), "partnered")
     entries = keep(entries.join(known.select("node"), "node", "left_semi"), "entries")
-    sets = keep(sets_of(docs, known.select("doc_id", "check", "node")), "sets")
+
+    def more_sets(pairs: DataFrame, sets: DataFrame | None) -> DataFrame:
+        """``sets`` and those of the classes in ``pairs`` that it lacks."""
+        wanted = known.select("doc_id", "check", "node").join(touched(pairs).distinct(), "node", "left_semi")
+        wanted = keep(wanted if sets is None else wanted.join(sets.select("node"), "node", "left_anti"), "wanted")
+        if sets is not None and wanted.isEmpty():
+            return sets
+        new = keep(sets_of(docs, wanted), "sets")
+        return new if sets is None else sets.unionByName(new)
 
     tried = keep(_best_pairs(pairs), "tried")
+    sets = more_sets(pairs, None)
     links = keep(verify(tried, sets, percent), "links")
     found, settled = components(links), False
-    for n in range(FORESTS + 2):
+    for n in range(FORESTS + 1):
         state = keep(known.select("node", "size", "bitmap").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "state")
         mixed = entries.join(state.select("node", "component"), "node").groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("key")
         mixed = keep(mixed, "mixed")
         if mixed.isEmpty():
             break
         forest = n < FORESTS and not settled
-        members = _parts(entries.join(mixed, "key", "left_semi"), chunk).join(state, "node")
-        pairs = keep(block_pairs(members, percent, forest).join(tried, ["u", "v"], "left_anti").select("u", "v"), "pairs")
+        still = entries.join(mixed, "key", "left_semi")
+        if forest:
+            given = forest_pairs(_chunks(still, chunk).join(state, "node"), percent)
+        else:
+            keys = still.groupBy("node").agg(F.collect_set("key").alias("keys"))  # at most one a band
+            given = all_pairs(_meetings(still, percent, chunk).join(state.join(keys, "node"), "node"), percent)
+        pairs = keep(given.select("u", "v").join(tried, ["u", "v"], "left_anti"), "pairs")
+        sets = more_sets(pairs, sets)
         fresh = keep(verify(pairs, sets, percent), "links")
-        tried, settled = tried.unionByName(pairs), fresh.isEmpty()
-        if not settled:
+        tried, n_fresh = tried.unionByName(pairs), fresh.count()
+        settled = n_fresh * FEW_LINKS < links.count()
+        if n_fresh:
             links = links.unionByName(fresh)
             found = components(links)
         if not forest:

@@ -121,12 +121,12 @@ class Bands:
             return out
 
 
-LEAST_BITS, MOST_BITS = 128, 1 << 22
+LEAST_BITS, MOST_BITS = 256, 1 << 22
 
 
 def bits_for(size: int) -> int:
-    """The width of the bitmap of a set: the next power of two."""
-    return min(max(LEAST_BITS, 1 << max(size - 1, 0).bit_length()), MOST_BITS)
+    """The width of the bitmap of a set: the next power of two over three bits a token."""
+    return min(max(LEAST_BITS, 1 << (3 * size).bit_length()), MOST_BITS)
 
 
 def bitmap(tokens: np.ndarray, bits: int | None = None) -> bytes:

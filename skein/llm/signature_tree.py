@@ -120,8 +120,40 @@ def by_width(maps: list[bytes], percent: int) -> Iterator[tuple[np.ndarray, np.n
             yield chosen, folded([maps[k] for k in chosen.tolist()], width)
 
 
+#: Up to so many sets are compared without a tree: it would have one inner node.
+FEW = 8
+
+
+def few(maps: list[bytes], sizes: list[int], component: list[int], percent: int, forest: bool) -> list[tuple[int, int]]:
+    """``spanning`` or ``candidates`` of a few sets, by the same bounds on pairs of leaves."""
+    bits, label, out = [int.from_bytes(m) for m in maps], list(component), []
+    for i in range(len(maps)):
+        for j in range(i):
+            a, b = sizes[i], sizes[j]
+            if label[i] == label[j] or 100 * a < percent * b or 100 * b < percent * a:
+                continue
+            x, y, narrow = bits[i], bits[j], min(len(maps[i]), len(maps[j]))
+            x, y = _narrowed(x, len(maps[i]), narrow), _narrowed(y, len(maps[j]), narrow)
+            most = (x & y).bit_count() + min(a - x.bit_count(), b - y.bit_count())
+            if (100 + percent) * most >= percent * (a + b):
+                out.append((i, j))
+                if forest:
+                    old, new = max(label[i], label[j]), min(label[i], label[j])
+                    label = [new if x == old else x for x in label]
+    return out
+
+
+def _narrowed(x: int, width: int, narrow: int) -> int:
+    while width > narrow:
+        width //= 2
+        x = (x >> 8 * width) | (x & (1 << 8 * width) - 1)
+    return x
+
+
 def spanning(maps: list[bytes], sizes: np.ndarray, component: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A forest of pairs that may link: it touches every set that has a possible partner in another component."""
+    if len(maps) <= FEW:
+        return few(maps, sizes.tolist(), component.tolist(), percent, True)
     label, out = component.copy(), []
     for chosen, bitmaps in by_width(maps, percent):
         tree = Tree(bitmaps, sizes[chosen], label[chosen])
@@ -136,6 +168,8 @@ def spanning(maps: list[bytes], sizes: np.ndarray, component: np.ndarray, percen
 
 def candidates(maps: list[bytes], sizes: np.ndarray, component: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """All pairs of different components that the bounds leave."""
+    if len(maps) <= FEW:
+        return few(maps, sizes.tolist(), component.tolist(), percent, False)
     out = set()
     for chosen, bitmaps in by_width(maps, percent):
         tree = Tree(bitmaps, sizes[chosen], component[chosen])
