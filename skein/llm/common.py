@@ -76,6 +76,18 @@ def packed(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*quoted).alias("row"))
 
 
+def told_apart(rows: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``rows`` with nodes that stand for one thing each.  node and check are two hashes of it; where things of different
+    checks share a node, both hashes make another.  Rows without a node stay.  ``keep`` writes what was made anew."""
+    for n in range(8):
+        things = rows.filter("node IS NOT NULL").select("node", "check").distinct()
+        shared = things.groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).filter("a != b").select("node", F.lit(True).alias("shared"))
+        if shared.isEmpty():
+            return rows
+        rows = keep(rows.join(shared, "node", "left").withColumn("node", F.when(F.col("shared"), F.xxhash64("node", "check", F.lit(n))).otherwise(F.col("node"))).drop("shared"), "told-apart")
+    raise RuntimeError("two hashes do not tell things apart")
+
+
 def crc_mod(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n``: the contract's folds."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n

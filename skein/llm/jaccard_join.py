@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, packed, release, remove, scratch, small_batches, written
+from .common import map_text, packed, release, remove, scratch, small_batches, told_apart, written
 from .components import components
 from .shingles import Bands, bitmap, shingle_sets, signature
 from .signature_tree import candidates, spanning
@@ -226,17 +226,6 @@ def _best_pairs(pairs: DataFrame) -> DataFrame:
     return best.select(F.least("b.u", "v").alias("u"), F.greatest("b.u", "v").alias("v")).distinct()
 
 
-def _told_apart(rows: DataFrame, keep) -> DataFrame:
-    """``rows`` with nodes that stand for one set each: where two sets share a node, the second hash makes another."""
-    for n in range(8):
-        sets = rows.filter("size > 0").select("node", "check").distinct()
-        shared = sets.groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).filter("a != b").select("node", F.lit(True).alias("shared"))
-        if shared.isEmpty():
-            return rows
-        rows = keep(rows.join(shared, "node", "left").withColumn("node", F.when(F.col("shared"), F.xxhash64("node", "check", F.lit(n))).otherwise(F.col("node"))).drop("shared"), "sketches")
-    raise RuntimeError("two hashes do not tell the sets apart")
-
-
 def jaccard_groups(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK, node_bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     spark, made = docs.sparkSession, []
@@ -246,7 +235,7 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK,
         made.append(scratch(spark, f"jaccard-{label}"))
         return written(df, made[-1])
 
-    rows = _told_apart(keep(sketches(docs, node_bits).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "sketches"), keep)
+    rows = told_apart(keep(sketches(docs, node_bits).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "sketches"), keep)
     full = rows.filter("size > 0")
     parts = full.groupBy("node", "salt").agg(F.min("doc_id").alias("least"), F.first("check").alias("check"), F.first("size").alias("size"))
     classes = keep(parts.groupBy("node").agg(F.min("least").alias("doc_id"), F.first("check").alias("check"), F.first("size").alias("size")), "classes")

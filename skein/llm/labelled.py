@@ -15,8 +15,9 @@ SAMPLE_ROWS = 8_000
 def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, text, label of at most ``rows`` labelled documents outside the held-out fold.
 
-    The ids broadcast are at most ``rows``; what is found is dealt anew over the cores.  Labels other than 0 and 1 are left out; of several for a document the
-    largest counts.
+    The ids broadcast are at most ``rows``; of rows that repeat an id the least text counts, so that texts are as few.  What
+    is found is dealt anew over the cores.  Labels other than 0 and 1 are left out; of several for a document the largest
+    counts.
     """
     chosen = (
         labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod("doc_id", folds) != held_out))
@@ -25,7 +26,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    once = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    return once.repartition(docs.sparkSession.sparkContext.defaultParallelism)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:

@@ -7,9 +7,14 @@ with whole licence texts; such a match goes before those of notices.  An SPDX he
 passage, also licenses its directory.  Files without a licence take that of the nearest ancestor directory that has
 one, by joins on directory paths.
 
+A notice that names another version than a licence has does not count for it.  A text under the title of a licence counts
+only as a whole: if no whole text is near, or another licence's is as near, it has none, whatever notices it quotes.
+
 Of several licence files of a directory the one with the highest cosine counts, then the first path; of several
 passages of a file the highest cosine, then the template's name.  Null and empty texts have no passage.  A null path
-is the empty path and inherits from the root only.  Rows that repeat are each reported.
+is the empty path and inherits from the root only.  Rows that repeat are each reported; a path is returned
+as it is.  Columns beside doc_id, path and text are not read.  An empty table gives no rows.  Files are dealt by directory
+and a salt, so that a flat corpus is not one task's.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ import re
 import uuid
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -32,6 +38,10 @@ from .license_texts import TEXTS
 THRESHOLD = 0.5
 #: Cosine from which a text is a whole licence text, and the fewest words it can have.
 WHOLE, LONG = 0.9, 50
+#: How much nearer a whole text must be than that of any other licence.
+MARGIN = 0.005
+#: Words from which a text under the title of a licence is taken for a whole licence text.
+TITLED_WORDS = 300
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([._-][^/]*)?$"
 
 #: Customary notices and opening words of common licences.
@@ -90,10 +100,30 @@ def template_terms() -> frozenset[str]:
     return frozenset(t for texts in TEMPLATES.values() for x in [*texts, *TEXTS.values()] for t in terms(x))
 
 
+_TITLE = re.compile(r"^\W*(?:the |a )?(?!.*\b(?:under|licensed|released|dual)\b)[^\n]{0,60}?\b(?:public |documentation )?licen[cs]e\b\W*(?:,? *version[^\n]*)?$", re.IGNORECASE)
+_VERSION = re.compile(r"(?:\bversion |\bversion\s+|\bv\.? ?|(?<=[a-z]) )(\d+(?:\.\d+)?)(?![\w-]|\.\d)", re.IGNORECASE)
+
+
+def own_title(text: str) -> bool:
+    """The first line that says something is the title of a licence, and a long text follows."""
+    first = next((line for line in text.split("\n") if line.strip()), "")
+    return len(first) < 90 and bool(_TITLE.match(first.strip())) and len(_WORD.findall(text)) >= TITLED_WORDS
+
+
+def same_version(name: str, text: str) -> bool:
+    """The text names the version of the licence ``name``, or none at all; a licence without versions has any."""
+    own = re.search(r"-(\d+\.\d+)$", name)
+    said = {v.removesuffix(".0") for v in _VERSION.findall(text)}
+    return not own or not said or own[1].removesuffix(".0") in said
+
+
 def titled(name: str, text: str) -> str | None:
     """The licence of a text that is nearest to the whole text of ``name``, where near texts of other licences are not in TEXTS."""
     low = text.lower()
-    if name == "GPL-3.0" and "affero" in low[:300]:
+    head = low[:300]
+    if name.startswith("GPL") and ("lesser general" in head or "library general" in head) or not same_version(name, head):
+        return None
+    if name == "GPL-3.0" and "affero" in head:
         return "AGPL-3.0"
     if name == "CC-BY-SA-4.0":
         shared, sold, derived = "sharealike" in low, "noncommercial" not in low, "noderivatives" not in low
@@ -121,6 +151,8 @@ def passages(text: str, named: bool = False) -> list[str]:
     goes on in the words of whole texts or without words, and the text itself if its file is named like a licence file."""
     if not _CUE.search(text):
         return [text] if named and text.strip() else []
+    if own_title(text):
+        return [text]
     out, run, long = [], [], []
     whole = {text: None} if named else {}
     for line in [*text.split("\n"), None]:
@@ -175,16 +207,17 @@ def best_match(texts: list[str], seen: dict[str, int], weights: Weights) -> tupl
         own, length = weights.vector(text, seen)
         cosine = lambda other, norm: sum(v * other[t] for t, v in own.items() if t in other) / (length * norm or 1)  # noqa: B023, E731
         if sum(" " not in t for t in own) >= LONG // 2:
-            near, name = max(((cosine(other, norm), name) for name, other, norm in weights.texts), key=lambda x: x[0])
-            if near >= WHOLE and (name := titled(name, text)):
+            (near, name), (next_, _) = sorted(((cosine(other, norm), name) for name, other, norm in weights.texts), reverse=True)[:2]
+            if near >= WHOLE and near - next_ >= MARGIN and (name := titled(name, text)):
                 found.append((True, near, name, 0, len(text)))
-        found += [(False, c, name, k, len(text)) for name, k, other, norm in weights.templates if (c := cosine(other, norm)) >= THRESHOLD]
+        if not own_title(text):
+            found += [(False, c, name, k, len(text)) for name, k, other, norm in weights.templates if (c := cosine(other, norm)) >= THRESHOLD and same_version(name, text)]
     if any(name == "BSD-3-Clause" and k == 1 for _, _, name, k, _ in found):
         found = [f for f in found if (f[2], f[3]) != ("BSD-2-Clause", 1)]
     if not found:
         return None, 0.0, 0
     _, c, name, _, chars = min(found, key=lambda f: (not f[0], -round(f[1], 12), f[2], -f[4]))
-    return name, c, chars
+    return name, round(c, 9), chars  # sums of other orders are ties still
 
 
 def parent(path: Column) -> Column:
@@ -241,7 +274,8 @@ def scan(files: DataFrame, idf_floor: float = 1.0) -> DataFrame:
     def read(ids: list, packed: list[str]) -> list:
         out = ([], [], [], [], [])
         for p in packed:
-            path, _, text = p.partition("\n")
+            n, _, rest = p.partition(":")
+            path, text = rest[: int(n)], rest[int(n) :]
             found = passages(text, bool(named.search(path)))
             out[0].append(uuid.uuid4().hex if found else None)
             out[1].append(sorted({t for x in found for t in terms(x)}))
@@ -250,7 +284,8 @@ def scan(files: DataFrame, idf_floor: float = 1.0) -> DataFrame:
             out[4].append(path)
         return [ids, *out]
 
-    packed = files.select("doc_id", F.concat(F.translate(F.coalesce(F.col("path"), F.lit("")), "\n", " "), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    path = F.coalesce(F.col("path"), F.lit(""))
+    packed = files.select("doc_id", F.concat(F.length(path).cast("string"), F.lit(":"), path, F.coalesce("text", F.lit(""))).alias("text"))
     rows = written(map_text(packed, read, "doc_id long, key string, terms array<string>, passages array<string>, chars long, path string", arrow), scratch(spark, "licence-passages"))
     n = rows.count()
     in_passages = rows.filter("key IS NOT NULL").select("key", F.explode("terms").alias("term"))
@@ -261,8 +296,20 @@ def scan(files: DataFrame, idf_floor: float = 1.0) -> DataFrame:
     salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = in_passages.withColumn("salt", (F.crc32("key") % SALTS).cast("int"))
     seen = dealt.join(salted, ["term", "salt"]).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("seen"))
-    match = F.udf(lambda found, seen: best_match(found, seen or {}, weights), "struct<license:string,cosine:double,length:int>")
-    spoken = rows.filter("key IS NOT NULL").join(seen, "key", "left").select("doc_id", "path", "chars", match("passages", "seen").alias("m")).select("doc_id", "path", "chars", "m.*").filter("license IS NOT NULL")
+    matched = pa.schema([("doc_id", pa.int64()), ("path", pa.string()), ("chars", pa.int64()), ("license", pa.string()), ("cosine", pa.float64()), ("length", pa.int64())])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id, path, chars, found, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                name, cosine, length = best_match(found, dict(counts or ()), weights)
+                if name:
+                    out.append((doc_id, path, chars, name, cosine, length))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), matched, strict=True)], schema=matched)
+
+    spoken = rows.filter("key IS NOT NULL").join(seen, "key", "left").select("doc_id", "path", "chars", "passages", "seen")
+    spoken = spoken.mapInArrow(match, "doc_id long, path string, chars long, license string, cosine double, length long")
     spoken = written(spoken, scratch(spark, "licence-matches"))
     of_directory = (
         spoken.filter(F.col("path").rlike(LICENSE_FILE) | (2 * F.col("length") >= F.col("chars")))
@@ -275,9 +322,10 @@ def scan(files: DataFrame, idf_floor: float = 1.0) -> DataFrame:
     inherited = above.join(of_directory, "at").groupBy("directory").agg(F.min(F.struct("up", "license", "licensed_by")).alias("near")).select("directory", "near.license", "near.licensed_by")
     own = spoken.select("doc_id", "path", "license", F.round("cosine", 6).alias("cosine")).groupBy("doc_id", "path").agg(F.min(F.struct(-F.col("cosine"), "license")).alias("b"))
     own = own.select("doc_id", "path", F.col("b.license").alias("own"), (-F.col("b.col1")).alias("cosine"))
-    files_in = rows.select("doc_id", "path", parent(F.col("path")).alias("directory"))
+    files_in = rows.select("doc_id", "path", parent(F.col("path")).alias("directory"), F.pmod(F.xxhash64("doc_id", "path"), F.lit(SALTS)).cast("int").alias("salt"))
+    inherited = inherited.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     with_own = files_in.join(own.withColumnRenamed("doc_id", "_d").withColumnRenamed("path", "_p"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("path") == F.col("_p")), "left").drop("_d", "_p")
-    out = with_own.join(inherited, "directory", "left")
+    out = with_own.join(inherited, ["directory", "salt"], "left")
     by_own = F.col("own").isNotNull()
     return out.select(
         "doc_id",

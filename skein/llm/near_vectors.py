@@ -1,9 +1,9 @@
 """Operator 7: near-duplicate embeddings by tiled comparison in PCA order.
 
-Vectors with equal labels are compared by cosine in double precision.  Equal vectors are one class with a weight.  The
-classes' unit vectors are rotated so that leading dimensions carry most of the spread, ordered by the first, and cut
-into tiles of a fixed number of rows.  Tiles of one label whose ranges of the first dimension are too far apart for any
-link are never paired.  A pair of tiles accumulates leading dimensions first; what the others can add is bounded by the
+Vectors with equal labels are compared by cosine in double precision.  Equal vectors are one class with a weight, told by
+two hashes.  The classes' unit vectors are rotated so that leading dimensions carry most of the spread, ordered by the
+first, and cut into tiles of a fixed number of rows.  Tiles of one label whose ranges of the first dimension are too far
+apart for any link are never paired: ranges meet in bands of that dimension, dealt by a salt.  A pair of tiles accumulates leading dimensions first; what the others can add is bounded by the
 product of the suffix norms, and pairs that cannot reach the threshold stop there.  Pairs that pass are computed anew
 from the vectors as given.
 
@@ -11,8 +11,11 @@ The rotation is fitted on a bounded sample; it orders dimensions and never decid
 links a row and a spanning forest of its links, so what leaves a task grows with rows and not with pairs.  Every class
 of a label meets every other that can link, whatever their number: a hot label is many tiles on many tasks.
 
-Null labels, and vectors that are null, zero or hold null or non-finite components, link with nothing.  Vectors of
-unlike lengths do not link.  Rows that repeat a vec_id are vectors of their own with that id.
+Defined cases: labels may have any type that can be compared and written as text; 0.0 and -0.0 are equal, and so are NaN
+and NaN.  Null labels, and vectors that are null, empty, zero or hold null or non-finite components, link with nothing.
+Vectors of unlike lengths do not link.  Very large and very small components are scaled by a power of two first, so that no
+square overflows or vanishes.  Rows that repeat a vec_id are vectors of their own with that id.  Columns beside vec_id,
+embedding and label are not read.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,13 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import remove, scratch, told_apart, written
 from .components import components
 
 THRESHOLD = 0.98
 TILE_ROWS = 2048
-PCA_ROWS = 10_000
+#: Vectors and components that the rotation is fitted on at most, and the longest vectors that are rotated.
+PCA_ROWS, PCA_NUMBERS, PCA_WIDTH = 10_000, 8_000_000, 4096
 SALTS = 64
+#: Tasks over which the tiles of one label and band meet.
+TILE_SALTS = 16
 #: Leading dimensions after which pairs are stopped, then stopped again.
 STEPS = (8, 24)
 
@@ -84,8 +90,13 @@ def _by_row(rows: np.ndarray, columns: np.ndarray) -> tuple[list[int], list[np.n
 
 
 def fit_rotation(classes: DataFrame, rows: int = PCA_ROWS) -> dict[int, np.ndarray]:
-    """For each length of vectors, the principal axes of at most ``rows`` unit vectors, widest first."""
-    chosen = classes.select("node", "vector").orderBy(F.xxhash64("node"), "node").limit(rows).collect()
+    """For each length of vectors, the principal axes of at most ``rows`` unit vectors, widest first; longer vectors than
+    PCA_WIDTH have none and stay as they are."""
+    short = classes.filter(F.size("vector") <= PCA_WIDTH)
+    widest = short.agg(F.max(F.size("vector"))).first()[0]
+    if not widest:
+        return {}
+    chosen = short.select("node", "vector").orderBy(F.xxhash64("node"), "node").limit(min(rows, max(1, PCA_NUMBERS // widest))).collect()
     out = {}
     for n in {len(r["vector"]) for r in chosen}:
         a = np.array([r["vector"] for r in chosen if len(r["vector"]) == n], float)
@@ -97,8 +108,8 @@ def fit_rotation(classes: DataFrame, rows: int = PCA_ROWS) -> dict[int, np.ndarr
 def _tiles(classes: DataFrame, rotations: dict[int, np.ndarray], rows: int) -> DataFrame:
     """One row a tile: label, width, tile, low, high (of the first dimension), nodes, weights, vectors."""
     unit = lambda n: rotations.get(n, np.eye(n))
-    first_schema = pa.schema([("node", pa.int64()), ("label", pa.int64()), ("width", pa.int32()), ("weight", pa.int64()), ("first", pa.float64()), ("data", pa.binary())])
-    tile_schema = pa.schema([("label", pa.int64()), ("width", pa.int32()), ("tile", pa.int64()), ("low", pa.float64()), ("high", pa.float64()), ("nodes", pa.binary()), ("weights", pa.binary()), ("data", pa.binary())])
+    first_schema = pa.schema([("node", pa.int64()), ("label", pa.string()), ("width", pa.int32()), ("weight", pa.int64()), ("first", pa.float64()), ("data", pa.binary())])
+    tile_schema = pa.schema([("label", pa.string()), ("width", pa.int32()), ("tile", pa.int64()), ("low", pa.float64()), ("high", pa.float64()), ("nodes", pa.binary()), ("weights", pa.binary()), ("data", pa.binary())])
 
     def rotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,32 +137,50 @@ def _tiles(classes: DataFrame, rotations: dict[int, np.ndarray], rows: int) -> D
         if held:
             yield tile()
 
-    placed = classes.select("node", "label", "weight", "vector").mapInArrow(rotate, "node long, label long, width int, weight long, first double, data binary")
+    placed = classes.select("node", "label", "weight", "vector").mapInArrow(rotate, "node long, label string, width int, weight long, first double, data binary")
+    placed = written(placed, scratch(classes.sparkSession, "vector-places"))  # the range partitioner reads it twice
     ranged = placed.repartitionByRange("label", "width", "first").sortWithinPartitions("label", "width", "first", "node")
-    return ranged.mapInArrow(cut, "label long, width int, tile long, low double, high double, nodes binary, weights binary, data binary")
+    return ranged.mapInArrow(cut, "label string, width int, tile long, low double, high double, nodes binary, weights binary, data binary")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile_rows: int = TILE_ROWS) -> DataFrame:
     """vectors: vec_id, embedding, label.  Returns vec_id, n_links, component_id, kept for every row."""
-    spark = vectors.sparkSession
+    spark, made = vectors.sparkSession, []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        made.append(scratch(spark, label))
+        return written(df, made[-1])
+
     doubles = F.col("embedding").cast("array<double>")
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("bigint").alias("label"), doubles.alias("vector"))
+    label = F.col("label")
+    if vectors.schema["label"].dataType.typeName() in ("float", "double"):
+        label = label + F.lit(0.0)  # -0.0 is 0.0
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), label.cast("string").alias("label"), doubles.alias("vector"))
     usable = F.coalesce(F.col("label").isNotNull() & (F.size("vector") > 0) & finite & F.exists("vector", lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("usable", usable).withColumn("vector", F.when(F.col("usable"), F.transform("vector", lambda x: x + F.lit(0.0))))
-    rows = rows.withColumn("node", F.when(F.col("usable"), F.xxhash64("label", "vector"))).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int"))
-    rows = written(rows, scratch(spark, "vectors"))
+    largest = F.array_max(F.transform("vector", F.abs))
+    power = F.least(F.greatest(F.floor(F.log2(largest)), F.lit(-1022)), F.lit(1022))
+    scale = F.when((largest > 1e100) | (largest < 1e-100), F.pow(F.lit(2.0), -power)).otherwise(1.0)
+    rows = rows.withColumn("usable", usable).withColumn("scale", scale).withColumn("vector", F.when(F.col("usable"), F.transform("vector", lambda x: x * F.col("scale") + F.lit(0.0)))).drop("scale")
+    node = lambda k: F.when(F.col("usable"), F.xxhash64(F.lit(k), "label", "vector"))
+    rows = rows.withColumn("node", node(0)).withColumn("check", node(1)).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int"))
+    rows = told_apart(keep(rows, "vectors"), keep)
     good = rows.filter("usable")
     parts = good.groupBy("node", "salt").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("vector").alias("vector"))
     classes = parts.groupBy("node").agg(F.min("least").alias("least"), F.sum("weight").alias("weight"), F.first("label").alias("label"), F.first("vector").alias("vector"))
-    classes = written(classes, scratch(spark, "vector-classes"))
+    classes = keep(classes, "vector-classes")
     rotations = fit_rotation(classes)
-    tiles = written(_tiles(classes, rotations, tile_rows), scratch(spark, "vector-tiles"))
+    tiles = keep(_tiles(classes, rotations, tile_rows), "vector-tiles")
     reach = float(np.sqrt(2 - 2 * threshold)) + 1e-6
-    key = [F.col("label"), F.col("width"), F.col("tile"), F.col("low"), F.col("high")]
-    left, right = (tiles.select(*[c.alias(f"{side}_{name}") for c, name in zip(key, ("label", "width", "tile", "low", "high"), strict=True)]) for side in "ab")
-    near = (F.col("a_label") == F.col("b_label")) & (F.col("a_width") == F.col("b_width")) & (F.col("a_tile") <= F.col("b_tile")) & (F.col("a_low") <= F.col("b_high") + reach) & (F.col("b_low") <= F.col("a_high") + reach)
-    pairs = left.join(right, near).select("a_tile", "b_tile")
+    band = lambda x: F.floor(x / reach).cast("int")
+    low, high = F.col("low") - reach / 2, F.col("high") + reach / 2
+    placed = tiles.select("label", "width", "tile", low.alias("low"), high.alias("high")).withColumn("band", F.explode(F.sequence(band(F.col("low")), band(F.col("high")))))
+    left = placed.withColumn("salt", F.pmod(F.xxhash64("tile"), F.lit(TILE_SALTS)).cast("int"))
+    right = placed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(TILE_SALTS - 1))))
+    left, right = (df.select("label", "width", "band", "salt", F.col("tile").alias(f"{s}_tile"), F.col("low").alias(f"{s}_low"), F.col("high").alias(f"{s}_high")) for s, df in (("a", left), ("b", right)))
+    begins = F.greatest("a_low", "b_low")
+    near = (F.col("a_tile") <= F.col("b_tile")) & (begins <= F.least("a_high", "b_high")) & (F.col("band") == band(begins))  # in the first band of both, once
+    pairs = left.join(right, ["label", "width", "band", "salt"]).filter(near).select("a_tile", "b_tile")
     side = lambda s: tiles.select(F.col("tile").alias(f"{s}_tile"), F.struct("width", "nodes", "weights", "data").alias(s))
     work = pairs.join(side("a"), "a_tile").join(side("b"), "b_tile").select("a_tile", "b_tile", "a", "b").repartition(F.xxhash64("a_tile", "b_tile"))
     found_schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
@@ -179,14 +208,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile_rows:
                     ends = nx if same else np.concatenate([nx, ny])
                     yield pa.RecordBatch.from_arrays([pa.array(ends[e[:, 0]]), pa.array(np.zeros(len(e), "i8")), pa.array(ends[e[:, 1]])], schema=found_schema)
 
-    found = written(work.mapInArrow(link, "node long, links long, other long"), scratch(spark, "vector-links"))
+    found = keep(work.mapInArrow(link, "node long, links long, other long"), "vector-links")
     counts = found.filter("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.filter("other IS NOT NULL").select(F.col("node").alias("u"), F.col("other").alias("v")))
     joined = classes.select("node", "least", "weight").join(roots, "node", "left").join(counts, "node", "left")
     joined = joined.select("node", "least", "weight", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    settled = written(joined.join(least, "component").select("node", (F.col("links") + F.col("weight") - 1).alias("n_links"), "component_id"), scratch(spark, "vector-components"))
+    settled = keep(joined.join(least, "component").select("node", (F.col("links") + F.col("weight") - 1).alias("n_links"), "component_id"), "vector-components")
     by_salt = parts.select("node", "salt").join(settled, "node")
     linked = good.select("vec_id", "node", "salt").join(by_salt, ["node", "salt"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter("NOT usable").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    out = keep(linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), "vector-groups")
+    remove(spark, *made[:-1])
+    return out

@@ -5,7 +5,8 @@ than a window) is packed best-fit decreasing: a segment tree over the remaining
 window.  Pieces, not texts, are shuffled.  Each partition packs its own pieces in bounded chunks, so no window spans
 two tasks and nothing is gathered in one place.
 
-Null and empty texts are one end id.  The string of a special token inside a text is ordinary text.  Rows with the same doc_id are separate documents.  An empty table gives no rows.
+Null and empty texts are one end id.  The string of a special token
+inside a text is that token, as the tokenizers library reads it.  Rows with the same doc_id are separate documents.  An empty table gives no rows.
 Other columns of the input are not read.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -44,7 +46,7 @@ class TextEncoder:
     """Whole texts to packed ids (little-endian unsigned 32-bit), by a file of the tokenizers library.
 
     For a byte-level BPE with the usual split, texts are split here and the library's model merges each new pre-token;
-    any other tokenizer encodes whole texts.
+    texts that hold the string of an added token, and any other tokenizer, are left to the library whole.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -52,11 +54,12 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
         made = json.loads(self.tokenizer.to_str())
         pre = made["pre_tokenizer"] or {}
         by_piece = made["model"]["type"] == "BPE" and not made["normalizer"] and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.cache = PieceCache(self._piece) if by_piece else None
+        added = sorted(t["content"] for t in made.get("added_tokens") or [])
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.merge = self.tokenizer.model.tokenize
         self.alphabet = dict(enumerate(printable_bytes()))
 
@@ -66,8 +69,12 @@ class TextEncoder:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         if self.cache is None:
-            return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return [b"".join(self.cache.values_of(t)) for t in texts]
+            return [self._whole(t) for t in texts]
+        return [self._whole(t) if self.added and self.added.search(t) else b"".join(self.cache.values_of(t)) for t in texts]
+
+    def _whole(self, text: str) -> bytes:
+        """By the library's own reading, which knows the strings of added tokens."""
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def encoder(tokenizer_file: str) -> TextEncoder:

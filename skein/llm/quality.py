@@ -6,7 +6,9 @@ the pooled one and toward its diagonal; the shrinkage is chosen by cross-validat
 is a logistic function of the difference of the classes' log densities, from Mahalanobis lengths by Cholesky factors
 that the fit keeps.
 
-Null and empty texts are measured as texts of no words.  With fewer than ten labelled rows of either class the score is
+Defined cases: null and empty texts are measured as texts of no words.  Each row is scored, rows that repeat alike; a null
+doc_id is not held out.  Columns beside doc_id and text are not read, whatever their names.  An empty table gives no rows.
+With fewer than ten labelled rows of either class the score is
 the share of good labels (1 without any).  Only the fit looks at a sample, of a bounded number of labelled rows.
 """
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, chat, exact_dedup, jaccard_join, licenses, near_vectors, packing, quality, token_counts, toxicity
-from .common import scratch, spread, table
+from .common import scratch, spread, table, written
 
 QUERIES = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -85,8 +85,18 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of ``documents`` after a history that ends with them: every document came with its spaces folded, was revised
+    to its text, came once more by mistake and was taken off again; the first batch was handed in twice."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = spread(table(spark, sf_dir, "documents")).withColumn("folded", F.regexp_replace("text", r"\s+", " "))
+    counts = written(token_counts.counted(docs, ranks, "text", "folded"), scratch(spark, "token-counts"))
+    delta = lambda tokens, sign: token_counts.signed(counts, ranks, tokens, sign)
     ledger = token_counts.Ledger(spark, scratch(spark, "token-ledger"))
-    ledger.commit("documents", token_counts.inserts(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    ledger.commit("came", delta("other_tokens", 1))
+    ledger.commit("revised", delta("other_tokens", -1).unionByName(delta("tokens", 1)))
+    ledger.commit("mistake", delta("tokens", 1))
+    ledger.commit("came", delta("other_tokens", 1))
+    ledger.commit("taken-off", delta("tokens", -1))
     return ledger.totals()
 
 

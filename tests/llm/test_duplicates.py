@@ -256,6 +256,20 @@ def test_vectors_equal_brute_force(spark, tile):
     assert near_vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("kind", "labels"), [("double", [0.5, 0.7, 0.5, -0.0, 0.0, None]), ("string", ["x", "1", "x", "01", "01", None]), ("boolean", [True, False, True, False, False, None])])
+def test_vector_labels_of_any_type(spark, kind, labels):
+    df = spark.createDataFrame([(i, [1.0, 2.0], v) for i, v in enumerate(labels)], f"vec_id long, embedding array<double>, label {kind}").withColumn("node", F.lit(1)).withColumn("check", F.lit(1))
+    got = {r["vec_id"]: r["component_id"] for r in near_vectors.near_duplicates(df).collect()}
+    want = {i: min(j for j, v in enumerate(labels) if v is not None and v == label) if label is not None else i for i, label in enumerate(labels)}
+    assert got == want
+
+
+def test_very_large_and_very_small_vectors_link(spark):
+    df = spark.createDataFrame([(k, [x * s, 2 * x * s], 1) for k, (x, s) in enumerate([(1.0, 1.0), (1.01, 1e200), (1.0, 1e-200), (3.0, 1e300), (1.0, 5e-324)])] + [(9, [2e200, -1e200], 1)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["component_id"] for r in near_vectors.near_duplicates(df).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 9: 9}
+
+
 # --- pipeline --------------------------------------------------------------
 
 
