@@ -1,13 +1,21 @@
 """Change tracking over batches of rows: snapshot differences, coalescing, quiet periods, freshness, guards.
 
-Folds that a later row can undo (a block that is not recorded, a denial that resets) are ordered folds over one key's
-rows, as array expressions in the JVM; everything else is windows and joins.
+Folds that a later row can undo (a block that is not recorded, a denial that resets) are streams: rows are dealt by key,
+sorted, and folded in Arrow batches with the state of one key at a time, so that a key's history may be of any length.
+Everything else is windows and joins.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
+
+from ..session import bounded_batches
 
 # Fixed values.
 REPEAT_MAX, RATE_MAX, GUARD_WINDOW_US = 3, 300, 600_000_000
@@ -40,29 +48,71 @@ def quiet_periods(events: DataFrame, key: str, us: str, gap_us: int) -> DataFram
     return runs.groupBy(key, "_run").agg(F.min(us).alias("started"), F.max(us).alias("ended"), F.count("*").alias("n")).drop("_run")
 
 
+def folded(rows: DataFrame, key: list[str], order: list[str], start: Callable, schema: list[tuple[str, str]]) -> DataFrame:
+    """key columns and what ``start()`` makes of each key's rows in order.  ``start`` gives two functions: ``step(row)``, a
+    list of results for the columns after the key, and ``end()``, the results that are left.  ``schema``: their columns."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
+    rest = [c for c in rows.columns if c not in key]
+    arrow = [kinds[t] for _, t in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, step, end = None, None, None
+        key_types = None
+        for batch in batches:
+            key_types = [batch.schema.field(c).type for c in key]
+            out = []
+            for k, row in zip(zip(*(batch.column(c).to_pylist() for c in key), strict=True), zip(*(batch.column(c).to_pylist() for c in rest), strict=True), strict=True):
+                if step is None or k != at:
+                    out += [(*at, *r) for r in end()] if end else []
+                    at, (step, end) = k, start()
+                out += [(*k, *r) for r in step(*row)]
+            if out:
+                yield batch_of(out, key_types)
+        if end and (left := [(*at, *r) for r in end()]):
+            yield batch_of(left, key_types)
+
+    def batch_of(out: list[tuple], key_types: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [*key_types, *arrow], strict=True)], names=[*key, *(n for n, _ in schema)])
+
+    bounded_batches(rows.sparkSession)
+    types = {"long": LongType(), "int": IntegerType(), "boolean": BooleanType(), "string": StringType()}
+    result = StructType([*(StructField(c, rows.schema[c].dataType) for c in key), *(StructField(n, types[t]) for n, t in schema)])
+    return rows.select(*key, *rest).repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, result)
+
+
 def debounced(events: DataFrame, key: str, us: str, quiet_us: int, longest_us: int) -> DataFrame:
     """Batches that close after ``quiet_us`` without an event, or ``longest_us`` after their first: key, started, n."""
-    start = F.struct(F.array().cast("array<struct<started:bigint,last:bigint,n:bigint>>").alias("done"))
-    times = F.array_sort(F.collect_list(us))
 
-    def step(state: Column, t: Column) -> Column:
-        done = state["done"]
-        last = F.get(done, F.size(done) - 1)
-        open_ = (F.size(done) > 0) & (t - last["last"] <= quiet_us) & (t - last["started"] < longest_us)
-        grown = F.struct(last["started"].alias("started"), t.alias("last"), (last["n"] + 1).alias("n"))
-        fresh = F.struct(t.alias("started"), t.alias("last"), F.lit(1).cast("bigint").alias("n"))
-        return F.struct(F.when(open_, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(fresh))).alias("done"))
+    def start():
+        now: list[int] = []  # started, ended, n of the open batch
 
-    folded = events.groupBy(key).agg(times.alias("t")).select(key, F.aggregate("t", start, step)["done"].alias("d"))
-    return folded.select(key, F.explode("d").alias("b")).select(key, "b.started", F.col("b.last").alias("ended"), "b.n")
+        def step(t: int) -> list:
+            if now and t - now[1] <= quiet_us and t - now[0] < longest_us:
+                now[1:] = t, now[2] + 1
+                return []
+            done, now[:] = [tuple(now)] if now else [], (t, t, 1)
+            return done
+
+        return step, lambda: [tuple(now)] if now else []
+
+    return folded(events.select(key, F.col(us).cast("bigint").alias(us)), [key], [us], start, [("started", "long"), ("ended", "long"), ("n", "long")])
 
 
 def throttled(events: DataFrame, key: str, us: str, gap_us: int) -> DataFrame:
     """Moments at which a key is applied: the first event, then the first at least ``gap_us`` after the last moment."""
-    times = F.array_sort(F.collect_list(us))
-    none = F.array().cast("array<bigint>")
-    step = lambda done, t: F.when((F.size(done) == 0) | (t - F.element_at(F.concat(F.array(F.lit(-(1 << 62))), done), -1) >= gap_us), F.concat(done, F.array(t))).otherwise(done)
-    return events.groupBy(key).agg(F.aggregate(times, none, step).alias("a")).select(key, F.explode("a").alias("applied"))
+
+    def start():
+        last: list[int] = []
+
+        def step(t: int) -> list:
+            if last and t - last[0] < gap_us:
+                return []
+            last[:] = [t]
+            return [(t,)]
+
+        return step, lambda: []
+
+    return folded(events.select(key, F.col(us).cast("bigint").alias(us)), [key], [us], start, [("applied", "long")])
 
 
 def barrier(age_s: Column, distrusted: Column, suspects: Column, window_s: int = FRESH_WINDOW_S, inline: int = MAX_INLINE) -> Column:
@@ -79,19 +129,20 @@ def unsettled(age_s: Column) -> Column:
 def repeat_guard(calls: DataFrame, key: list[str], us: str, most: int = REPEAT_MAX, window_us: int = GUARD_WINDOW_US) -> DataFrame:
     """key, us, prior, blocked for each call.  A call with ``most`` recorded runs in the half-open window is blocked, and
     a blocked call is not recorded."""
-    times = F.array_sort(F.collect_list(us))
-    kind = "struct<kept:array<bigint>,out:array<struct<us:bigint,prior:int,blocked:boolean>>>"
-    start = F.struct(F.array().alias("kept"), F.array().alias("out")).cast(kind)
 
-    def step(s: Column, t: Column) -> Column:
-        kept = F.filter(s["kept"], lambda x: t - x < window_us)
-        prior = F.size(kept)
-        blocked = prior >= most
-        row = F.struct(t.alias("us"), prior.alias("prior"), blocked.alias("blocked"))
-        return F.struct(F.when(blocked, kept).otherwise(F.concat(kept, F.array(t))).alias("kept"), F.concat(s["out"], F.array(row)).alias("out"))
+    def start():
+        kept: list[int] = []  # at most ``most`` recorded runs
 
-    folded = calls.groupBy(*key).agg(F.aggregate(times, start, step)["out"].alias("o"))
-    return folded.select(*key, F.explode("o").alias("r")).select(*key, "r.*")
+        def step(t: int) -> list:
+            del kept[: bisect_right(kept, t - window_us)]
+            prior = len(kept)
+            if prior < most:
+                kept.append(t)
+            return [(t, prior, prior >= most)]
+
+        return step, lambda: []
+
+    return folded(calls.select(*key, F.col(us).cast("bigint").alias("_us")), key, ["_us"], start, [("us", "long"), ("prior", "int"), ("blocked", "boolean")])
 
 
 def rate_guard(calls: DataFrame, us: str, id_: str, most: int = RATE_MAX, window_us: int = GUARD_WINDOW_US) -> DataFrame:
@@ -122,29 +173,33 @@ def burst_guard(calls: DataFrame, session: str, us: str, kind: str, periods: dic
     A kind in ``periods`` counts calls no further apart than its period; at its limit the call is denied, all counters go
     back and a silence begins.  Other kinds are neutral.
     """
-    kinds = list(periods)
-    counters = F.array(*[F.struct(F.lit(None).cast("bigint").alias("at"), F.lit(0).alias("n")) for _ in kinds])
-    state = "struct<c:array<struct<at:bigint,n:int>>,denied:bigint,out:array<struct<us:bigint,id:bigint,kind:string,decision:string>>>"
-    start = F.struct(counters.alias("c"), F.lit(None).cast("bigint").alias("denied"), F.array().alias("out")).cast(state)
-
-    def step(s: Column, e: Column) -> Column:
-        t, place = e["us"], F.array_position(F.array(*map(F.lit, kinds)), e["kind"]).cast("int")
-        is_reset, silent = e["kind"] == reset_kind, F.coalesce(t - s["denied"] < silence_us, F.lit(False))
-        period = F.element_at(F.array(*[F.lit(periods[k]) for k in kinds]), F.greatest(place, F.lit(1)))
-        limit = F.element_at(F.array(*[F.lit(limits[k]) for k in kinds]), F.greatest(place, F.lit(1)))
-        old = F.element_at(s["c"], F.greatest(place, F.lit(1)))
-        n = F.when(F.coalesce(t - old["at"] <= period, F.lit(False)), old["n"] + 1).otherwise(1)
-        counting = ~is_reset & ~silent & (place > 0)
-        deny = counting & (n >= limit)
-        decision = F.when(is_reset, "reset").when(silent, "silenced").when(deny, "deny").when(counting, "allow").otherwise("neutral")
-        grown = F.transform(s["c"], lambda c, i: F.when(i + 1 == place, F.struct(t.alias("at"), n.alias("n"))).otherwise(c))
-        c = F.when(is_reset | deny, counters).when(counting, grown).otherwise(s["c"])
-        denied = F.when(is_reset, F.lit(None).cast("bigint")).when(deny, t).otherwise(s["denied"])
-        row = F.struct(t.alias("us"), e["id"].alias("id"), e["kind"].alias("kind"), decision.alias("decision"))
-        return F.struct(c.alias("c"), denied.alias("denied"), F.concat(s["out"], F.array(row)).alias("out")).cast(state)
-
-    rows = calls.groupBy(session).agg(F.array_sort(F.collect_list(F.struct(F.col(us).alias("us"), F.col("id").cast("bigint").alias("id"), F.col(kind).alias("kind")))).alias("e"))
-    return rows.select(session, F.explode(F.aggregate("e", start, step)["out"]).alias("r")).select(session, "r.*")
+
+    def start():
+        counters: dict[str, tuple[int, int]] = {}
+        denied: list[int] = []
+
+        def step(t: int, id_: int, what: str) -> list:
+            if what == reset_kind:
+                counters.clear()
+                denied.clear()
+                return [(t, id_, what, "reset")]
+            if denied and t - denied[0] < silence_us:
+                return [(t, id_, what, "silenced")]
+            if what not in periods:
+                return [(t, id_, what, "neutral")]
+            at, n = counters.get(what, (t - periods[what] - 1, 0))
+            n = n + 1 if t - at <= periods[what] else 1
+            if n >= limits[what]:
+                counters.clear()
+                denied[:] = [t]
+                return [(t, id_, what, "deny")]
+            counters[what] = t, n
+            return [(t, id_, what, "allow")]
+
+        return step, lambda: []
+
+    rows = calls.select(session, F.col(us).cast("bigint").alias("_us"), F.col("id").cast("bigint").alias("_id"), F.col(kind).alias("_kind"))
+    return folded(rows, [session], ["_us", "_id", "_kind"], start, [("us", "long"), ("id", "long"), ("kind", "string"), ("decision", "string")])
 
 
 def send_once(rows: DataFrame, agent: str, key: list[str], order: list[str]) -> DataFrame:

@@ -93,20 +93,22 @@ def personalised(nodes: DataFrame, edges: DataFrame, signals: DataFrame) -> Data
 def closure(edges: DataFrame, start: DataFrame, reverse: bool = False, most_rounds: int = 10_000) -> DataFrame:
     """node, distance of all nodes reachable from ``start`` (node), without the start itself.
 
-    Rounds follow the frontier: new nodes are joined, known ones taken off.  ``reverse``: who reaches the start.
+    Rounds follow the frontier: new nodes are joined, known ones taken off.  Each frontier is written once; the known
+    nodes are their union, which is written anew only every ``CHECKPOINT_EVERY`` rounds, to bound the plan.  ``reverse``:
+    who reaches the start.  A graph deeper than ``most_rounds`` is an error, never a shorter answer.
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
     steps = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
-    known = start.select("node", F.lit(0).alias("distance")).distinct()
-    frontier = known
+    known = frontier = start.select("node", F.lit(0).alias("distance")).distinct()
     for k in range(1, most_rounds + 1):
         fresh = frontier.join(steps, "node").select(F.col("next").alias("node")).distinct().join(known, "node", "left_anti")
         fresh = checkpointed(fresh.withColumn("distance", F.lit(k)))
         if fresh.isEmpty():
-            break
-        known = checkpointed(known.unionByName(fresh))
-        frontier = fresh
-    return known.filter("distance > 0")
+            return known.filter("distance > 0")
+        known, frontier = known.unionByName(fresh), fresh
+        if k % CHECKPOINT_EVERY == 0:
+            known = checkpointed(known)
+    raise RuntimeError(f"the graph is deeper than {most_rounds} rounds")
 
 
 def carried_closure(reexports: DataFrame, start: DataFrame, depth: int = 8) -> DataFrame:

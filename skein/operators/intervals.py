@@ -7,8 +7,14 @@ that width.  A point looks into one bin for each scale that occurs, at most 63 o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+from ..session import bounded_batches
 
 CONTAINERS = ("Class", "Interface", "Struct", "Enum", "Trait", "Module")
 
@@ -56,10 +62,10 @@ def strictly_contains(a: str, b: str) -> Column:
     return around & (~equal | (c(a, "kind").isin(*CONTAINERS) & ~c(b, "kind").isin(*CONTAINERS)))
 
 
-def containment(intervals: DataFrame) -> DataFrame:
-    """All pairs (outer, inner) of one file where outer strictly contains inner."""
+def containment(intervals: DataFrame, inside: DataFrame | None = None) -> DataFrame:
+    """All pairs (outer, inner) of one file where outer strictly contains inner; ``inside``: the inner ones asked for."""
     outer = _binned(intervals).alias("o")
-    inner = _probing(intervals, "start_line", levels_of(intervals)).alias("i")
+    inner = _probing(intervals if inside is None else inside, "start_line", levels_of(intervals)).alias("i")
     same = (F.col("o.file_id") == F.col("i.file_id")) & (F.col("o._level") == F.col("i._level")) & (F.col("o._bin") == F.col("i._bin"))
     pick = lambda side: F.struct(*[F.col(f"{side}.{n}") for n in ("name", "kind", "start_line", "end_line")])
     return outer.join(inner, same & strictly_contains("o", "i")).select(F.col("i.file_id").alias("file_id"), pick("o").alias("outer"), pick("i").alias("inner"))
@@ -67,12 +73,33 @@ def containment(intervals: DataFrame) -> DataFrame:
 
 def parents(intervals: DataFrame) -> DataFrame:
     """file_id, name, kind, start_line, end_line, parent, depth: the innermost strict container of each interval (null
-    and 0 without one) and the number of containers."""
-    span = F.col("outer.end_line") - F.col("outer.start_line")
-    best = containment(intervals).groupBy("file_id", "inner").agg(F.min(F.struct(span.alias("span"), -F.col("outer.start_line"), F.col("outer.name").alias("name"))).alias("b"), F.count("*").alias("depth"))
-    found = best.select("file_id", "inner.*", F.col("b.name").alias("parent"), "depth")
-    rows = intervals.select("file_id", "name", "kind", "start_line", "end_line")
-    return rows.join(found, ["file_id", "name", "kind", "start_line", "end_line"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    and 0 without one) and the number of containers.
+
+    A sweep over each file's intervals in order, outer ones first, with a stack of those that are still open: what is held
+    is as deep as the nesting, and no pair of an interval and a container is ever made into a row.
+    """
+    columns = ["file_id", "name", "kind", "start_line", "end_line"]
+    rows = intervals.select(*columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, open_ = None, []
+        for batch in batches:
+            parent, depth = [], []
+            for file_id, name, kind, start, end in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if file_id != file:
+                    file, open_ = file_id, []
+                open_ = [o for o in open_ if o[1] >= start]
+                holder = kind in CONTAINERS
+                around = [o for o in open_ if o[1] >= end and ((o[0], o[1]) != (start, end) or (o[3] and not holder))]
+                parent.append(min(around, key=lambda o: (o[1] - o[0], -o[0], o[2]))[2] if around else None)
+                depth.append(len(around))
+                open_.append((start, end, name, holder))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parent, pa.string()), pa.array(depth, pa.int64())], names=[*columns, "parent", "depth"])
+
+    swept = rows.repartition("file_id").sortWithinPartitions("file_id", "start_line", F.desc("end_line"), F.desc(F.col("kind").isin(*CONTAINERS)), "name")
+    schema = StructType([*rows.schema.fields, StructField("parent", StringType()), StructField("depth", LongType())])
+    bounded_batches(intervals.sparkSession)
+    return swept.mapInArrow(run, schema)
 
 
 def name_path(intervals: DataFrame, pattern: str, substring: bool = False) -> DataFrame:
@@ -85,7 +112,7 @@ def name_path(intervals: DataFrame, pattern: str, substring: bool = False) -> Da
     if wants_container:
         rows = rows.filter(F.col("kind").isin(*CONTAINERS))
     keys = ["file_id", "name", "kind", "start_line", "end_line"]
-    chains = containment(intervals).filter(F.col("inner.name").isNotNull()).groupBy("file_id", "inner").agg(F.array_sort(F.collect_list(F.struct((F.col("outer.start_line") - F.col("outer.end_line")).alias("s"), F.lower("outer.name").alias("n")))).alias("c"))
+    chains = containment(intervals, rows).filter(F.col("inner.name").isNotNull()).groupBy("file_id", "inner").agg(F.array_sort(F.collect_list(F.struct((F.col("outer.start_line") - F.col("outer.end_line")).alias("s"), F.lower("outer.name").alias("n")))).alias("c"))
     chains = chains.select("file_id", "inner.*", F.transform("c", lambda x: x["n"]).alias("chain"))
     out = rows.select(*keys).join(chains, keys, "left").withColumn("chain", F.coalesce("chain", F.array().cast("array<string>")))
     if not above:

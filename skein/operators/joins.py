@@ -22,11 +22,17 @@ def fold_edges(edges: DataFrame, keys: tuple[str, ...] = ("src", "dst"), weight:
 
 
 def division(have: DataFrame, need: DataFrame, item: str, group: str, owner: str) -> DataFrame:
-    """(group, owner) where the owner has every item that the group needs.  have: owner, item; need: group, item."""
+    """(group, owner) where the owner has every item that the group needs.  have: owner, item; need: group, item.
+
+    Owners with the same needed items are one set, and sets are divided: an item that very many owners have is joined
+    once for each distinct set that holds it, not once an owner."""
     wanted = need.select(group, item).distinct()
     sizes = wanted.groupBy(group).agg(F.count("*").alias("_need"))
-    got = have.select(owner, item).distinct().join(wanted, item).groupBy(group, owner).agg(F.count("*").alias("_have"))
-    return got.join(sizes, group).filter("_have = _need").select(group, owner)
+    held = have.select(owner, item).join(wanted.select(item).distinct(), item, "left_semi")
+    owners = held.groupBy(owner).agg(F.array_sort(F.collect_set(item)).alias("_set"))
+    got = owners.select("_set").distinct().withColumn(item, F.explode("_set")).join(wanted, item).groupBy(group, "_set").agg(F.count("*").alias("_have"))
+    fits = got.join(sizes, group).filter("_have = _need").select(group, "_set")
+    return owners.join(fits, "_set").select(group, owner)
 
 
 def longest_prefix(specs: DataFrame, modules: DataFrame, spec: str = "spec", name: str = "name") -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +45,9 @@ def callers(references: DataFrame, test: Column, most: int = CALLERS) -> DataFra
     return top_per_group(kept.withColumn("_g", F.lit(0)), ["_g"], [F.desc("n"), F.col("path"), F.col("name")], most).select("rank", "text")
 
 
-def implementors(found: DataFrame, group: str, owner: str) -> DataFrame:
-    """One row a group: the number of owners and the first ten of them, in order."""
-    first = top_per_group(found, [group], [F.col(owner)], 10).groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(owner)), lambda x: x.cast("string")), ",").alias("first"))
+def implementors(found: DataFrame, group: str, owner: str, shown: int = 10) -> DataFrame:
+    """One row a group: the number of owners and the first ``shown`` of them, in order."""
+    first = top_per_group(found, [group], [F.col(owner)], shown).groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(owner)), lambda x: x.cast("string")), ",").alias("first"))
     return found.groupBy(group).agg(F.count("*").alias("n")).join(first, group)
 
 
@@ -85,17 +85,21 @@ def reused(imports: DataFrame, before: DataFrame, key: list[str], value: str) ->
     return imports.join(before.select(*key, value).withColumn("_had", F.lit(True)), key, "left").withColumn("fresh", F.col("_had").isNull()).drop("_had")
 
 
-def bootstrap(values: DataFrame, value: str, resamples: int = 20_000, seed: int = 7) -> DataFrame:
-    """n, mean, low, high: the mean of paired differences and the 2.5 and 97.5 percentiles of resampled means.
+#: Least draws of 0 to 1 that give a weight of 1, 2, ...: the distribution function of a Poisson variable of mean 1.
+POISSON = [round(math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)), 12) for k in range(8)]
 
-    The values are one figure a pair; they are ordered first, so that the seed gives the same interval on any cluster."""
 
-    def interval(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, rng = np.sort(pdf[value].to_numpy(float)), np.random.default_rng(seed)
-        if not len(x):
-            return pd.DataFrame({"n": [0], "mean": [np.nan], "low": [np.nan], "high": [np.nan]})
-        means = np.concatenate([x[rng.integers(0, len(x), (min(500, resamples - at), len(x)))].mean(1) for at in range(0, resamples, 500)])
-        low, high = np.percentile(means, [2.5, 97.5])
-        return pd.DataFrame({"n": [len(x)], "mean": [x.mean()], "low": [low], "high": [high]})
+def bootstrap(values: DataFrame, value: str, id_: str, resamples: int = 20_000, salt: str = "") -> DataFrame:
+    """n, mean, low, high: the mean of paired differences and the 2.5 and 97.5 percentiles of resampled means.
 
-    return values.select(value).filter(F.col(value).isNotNull()).groupBy().applyInPandas(interval, "n long, mean double, low double, high double")
+    A Poisson bootstrap: in each resample a pair has a weight drawn by a digest of its id and the resample's number, so
+    the same pairs give the same interval on any cluster, and no task holds more than its own pairs.  Null values are
+    left out; with no pair, or none drawn, there is no interval."""
+    rows = values.filter(F.col(value).isNotNull()).select(F.col(id_).cast("string").alias("id"), F.col(value).cast("double").alias("x"))
+    drawn = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    u = F.conv(F.substring(F.md5(F.concat("id", F.lit(f"{salt}:"), F.col("k").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    weight = sum(((F.col("u") >= x).cast("int") for x in POISSON), F.lit(0))
+    sums = drawn.withColumn("u", u).withColumn("w", weight).groupBy("k").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("x")).alias("s")).filter("w > 0")
+    ends = sums.agg(F.percentile(F.col("s") / F.col("w"), F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
+    whole = rows.agg(F.count("*").alias("n"), F.avg("x").alias("mean"))
+    return whole.crossJoin(F.broadcast(ends)).select("n", "mean", F.get("p", F.lit(0)).alias("low"), F.get("p", F.lit(1)).alias("high"))

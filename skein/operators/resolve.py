@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import bounded_batches
 from .joins import first_match
 
 
@@ -189,6 +190,7 @@ def candidates(imports: DataFrame, roots: dict[str, list[str]] | None = None) ->
                 rows += [(path, language, spec, n, c) for n, c in enumerate(dict.fromkeys(filter(None, tries)))]
             yield pd.DataFrame(rows, columns=["path", "language", "spec", "priority", "candidate"])
 
+    bounded_batches(imports.sparkSession)
     return imports.select("path", "language", "spec").distinct().mapInPandas(run, "path string, language string, spec string, priority int, candidate string")
 
 

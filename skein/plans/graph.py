@@ -28,16 +28,20 @@ query("edge_fold", f"WITH {TRADE} SELECT src, dst, weight FROM trade")(lambda sp
 def rank_sql(edges: str, graph: str, restart: str = "1.0 / n") -> str:
     return f"""WITH RECURSIVE {edges}, {NODES},
 base AS (SELECT id, {restart} AS restart FROM nodes),
-links AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM {graph}),
-dangling AS (SELECT id FROM nodes WHERE id NOT IN (SELECT src FROM links)),
-r AS (
-  SELECT 0 AS k, id, restart::DOUBLE AS score FROM base
+{RANK.format(r="r", base="base", graph=graph, links="links", dangling="dangling")}
+SELECT node, round(score, 9) AS score FROM r_done"""
+
+
+RANK = """{links} AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM {graph}),
+{dangling} AS (SELECT id FROM nodes WHERE id NOT IN (SELECT src FROM {links})),
+{r} AS (
+  SELECT 0 AS k, id, restart::DOUBLE AS score FROM {base}
   UNION ALL
-  SELECT (SELECT max(k) FROM r) + 1 AS k, b.id, 0.15 * b.restart + 0.85 * (coalesce(f.flow, 0) + coalesce((SELECT sum(score) FROM r WHERE id IN (SELECT id FROM dangling)), 0) * b.restart)
-  FROM base b LEFT JOIN (SELECT l.dst, sum(r.score * l.share) AS flow FROM r JOIN links l ON l.src = r.id GROUP BY 1) f ON f.dst = b.id
-  WHERE (SELECT max(k) FROM r) < 40
-)
-SELECT id AS node, round(score, 9) AS score FROM r WHERE k = 40"""
+  SELECT (SELECT max(k) FROM {r}) + 1 AS k, b.id, 0.15 * b.restart + 0.85 * (coalesce(f.flow, 0) + coalesce((SELECT sum(score) FROM {r} WHERE id IN (SELECT id FROM {dangling})), 0) * b.restart)
+  FROM {base} b LEFT JOIN (SELECT l.dst, sum({r}.score * l.share) AS flow FROM {r} JOIN {links} l ON l.src = {r}.id GROUP BY 1) f ON f.dst = b.id
+  WHERE (SELECT max(k) FROM {r}) < 40
+),
+{r}_done AS (SELECT id AS node, score FROM {r} WHERE k = 40)"""
 
 
 @query("pagerank", rank_sql(TRADE, "trade"))
@@ -50,11 +54,21 @@ def pagerank_sparse(spark, sf_dir):
     return G.pagerank(nodes(spark, sf_dir), G.adjacency(thin(file_graph(spark, sf_dir)))).select("node", F.round("score", 9).alias("score"))
 
 
-@query("personalised_rank", rank_sql(THIN + ", boosted AS (SELECT src, dst, weight * CASE WHEN src IN (3, 7) THEN 50 ELSE 1 END AS weight FROM thin)", "boosted", "(CASE WHEN id IN (3, 7) THEN 50.0 ELSE 1.0 END) / (sum(CASE WHEN id IN (3, 7) THEN 50.0 ELSE 1.0 END) OVER ())"))
+SIGNALS = "CASE WHEN node IN (3, 7) THEN 50.0 WHEN node = 5 THEN 10.0 ELSE 1.0 END * CASE WHEN node % 4 = 1 THEN 100.0 * (1 + ln(2.0)) ELSE 1.0 END"
+PERSONAL = f"""WITH RECURSIVE {THIN}, {NODES}, base AS (SELECT id, 1.0 / n AS restart FROM nodes),
+{RANK.format(r="r", base="base", graph="thin", links="links", dangling="dangling")},
+boosted AS (SELECT src, dst, weight * CASE WHEN src IN (3, 7) THEN 50 ELSE 1 END AS weight FROM thin),
+masses AS (SELECT node AS id, score * {SIGNALS} AS mass FROM r_done), own AS (SELECT id, mass / sum(mass) OVER () AS restart FROM masses),
+{RANK.format(r="p", base="own", graph="boosted", links="plinks", dangling="pdangling")}
+SELECT node, round(score, 9) AS score FROM p_done"""
+
+
+@query("personalised_rank", PERSONAL)
 def personalised_rank(spark, sf_dir):
-    context = nodes(spark, sf_dir).filter(F.col("node").isin(3, 7))
-    restart = nodes(spark, sf_dir).withColumn("mass", F.when(F.col("node").isin(3, 7), 50.0).otherwise(1.0))
-    return G.pagerank(nodes(spark, sf_dir), G.adjacency(thin(file_graph(spark, sf_dir)), context), restart).select("node", F.round("score", 9).alias("score"))
+    n = F.col("node")
+    hit = n % 4 == 1
+    signals = nodes(spark, sf_dir).select("node", F.when(hit, 2).otherwise(0).alias("strength"), F.when(hit, 2).otherwise(0).alias("hits"), (n == 5).alias("stem_match"), n.isin(3, 7).alias("mentioned"))
+    return G.personalised(nodes(spark, sf_dir), thin(file_graph(spark, sf_dir)), signals).select("node", F.round("score", 9).alias("score"))
 
 
 FIRST = "(SELECT min(dst) FROM thin WHERE src = 0)"
@@ -110,4 +124,4 @@ def tier_order(spark, sf_dir):
     e = thin(file_graph(spark, sf_dir))
     tiers = e.filter("src = 0").select(F.col("dst").alias("node"), F.lit(0).alias("tier")).union(e.filter("dst = 0").select("src", F.lit(1))).union(nodes(spark, sf_dir).select("node", F.lit(3)))
     best = tiers.groupBy("node").agg(F.min("tier").alias("tier"))
-    return S.top_per_group(best.withColumn("_g", F.lit(0)), ["_g"], [F.col("tier"), F.col("node")], 1 << 30).select("node", "tier", "rank")
+    return S.total_rank(best, [F.col("tier"), F.col("node")]).select("node", "tier", "rank")

@@ -10,7 +10,7 @@ from ..sources.tables import events, files, intervals, table
 from .registry import EVENTS, FILES, INTERVALS, query
 from .symbols import points
 
-POINTS = "points AS (SELECT event_id, user_id AS file_id, epoch_us(ts) // 1000000 + 1800 AS line FROM events WHERE event_type = 'error')"
+POINTS = "points AS (SELECT event_id, user_id AS file_id, epoch_us(ts) // 1000000 + 1800 AS line FROM events)"
 
 
 @query("merged_bodies", f"WITH {INTERVALS}, {POINTS}, b AS (SELECT event_id, any_value(p.file_id) AS file_id, any_value(p.line) AS line, arg_min((i.name, i.start_line, i.end_line), (i.end_line - i.start_line, i.start_line, i.name)) AS b FROM points p JOIN intervals i ON p.file_id = i.file_id AND p.line BETWEEN i.start_line AND i.end_line AND i.end_line - i.start_line >= 2 GROUP BY 1) SELECT file_id, b[1] AS name, count(*) AS hits, min(line) AS first, b[3] - b[2] + 1 < 20000 AS shown FROM b GROUP BY file_id, b")
@@ -20,29 +20,15 @@ def merged_bodies(spark, sf_dir):
 
 @query(
     "call_graph",
-    f"""WITH {INTERVALS}, c AS (SELECT event_id, user_id AS file_id, epoch_us(ts) // 1000000 AS line, 'd' || (19723 + event_id % 40) AS callee FROM events WHERE event_type = 'click' AND user_id < 20),
-s AS (SELECT * FROM intervals WHERE file_id < 20),
-e AS (SELECT event_id, any_value(c.callee) AS callee, arg_min(s.file_id || ':' || s.name || ':' || s.start_line, (s.end_line - s.start_line, s.start_line, s.name)) AS src FROM c JOIN s ON c.file_id = s.file_id AND c.line BETWEEN s.start_line AND s.end_line GROUP BY 1),
-t AS (SELECT name AS callee, file_id || ':' || name || ':' || start_line AS dst, count(*) OVER (PARTITION BY name) AS n FROM s)
-SELECT src, dst, count(*) AS weight FROM e JOIN t USING (callee) WHERE n <= 18 AND src <> dst GROUP BY 1, 2""",
-)
-def call_graph(spark, sf_dir):
-    e = events(spark, sf_dir).filter("event_type = 'click' AND user_id < 20")
-    calls = e.select(F.col("user_id").alias("file_id"), F.expr("us div 1000000").alias("line"), F.expr("concat('d', 19723 + event_id % 40)").alias("callee"))
-    return R.call_graph(calls, intervals(spark, sf_dir).filter("file_id < 20"), cap=18)
-
-
-@query(
-    "call_graph_all",
-    f"""WITH {INTERVALS}, c AS (SELECT event_id, user_id AS file_id, epoch_us(ts) // 1000000 AS line, 'd' || (19723 + event_id % 40) AS callee FROM events WHERE event_type = 'click'),
+    f"""WITH {INTERVALS}, c AS (SELECT event_id, user_id AS file_id, epoch_us(ts) // 1000000 AS line, 'r' || (event_id % 120) AS callee FROM events WHERE event_type = 'click'),
 e AS (SELECT event_id, any_value(c.callee) AS callee, arg_min(s.file_id || ':' || s.name || ':' || s.start_line, (s.end_line - s.start_line, s.start_line, s.name)) AS src FROM c JOIN intervals s ON c.file_id = s.file_id AND c.line BETWEEN s.start_line AND s.end_line GROUP BY 1),
 t AS (SELECT name AS callee, file_id || ':' || name || ':' || start_line AS dst, count(*) OVER (PARTITION BY name) AS n FROM intervals)
 SELECT src, dst, count(*) AS weight FROM e JOIN t USING (callee) WHERE n <= {R.MAX_TARGETS} AND src <> dst GROUP BY 1, 2""",
 )
-def call_graph_all(spark, sf_dir):
-    """``call_graph`` over every file, with the operator's own cap."""
+def call_graph(spark, sf_dir):
+    """Over every file, with the operator's own cap: runs of late numbers are in few files."""
     e = events(spark, sf_dir).filter("event_type = 'click'")
-    calls = e.select(F.col("user_id").alias("file_id"), F.expr("us div 1000000").alias("line"), F.expr("concat('d', 19723 + event_id % 40)").alias("callee"))
+    calls = e.select(F.col("user_id").alias("file_id"), F.expr("us div 1000000").alias("line"), F.expr("concat('r', event_id % 120)").alias("callee"))
     return R.call_graph(calls, intervals(spark, sf_dir))
 
 
@@ -86,8 +72,18 @@ def reused_lookups(spark, sf_dir):
     return R.reused(d.select("doc_id"), d.filter("doc_id % 4 != 0"), ["doc_id"], "n_chars").select("doc_id", "n_chars", "fresh")
 
 
-@query("bootstrap_interval")
+DRAW = "('0x' || substr(md5(user_id || ':' || k), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+@query(
+    "bootstrap_interval",
+    f"""WITH a AS (SELECT user_id, avg(value) AS v FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT user_id, avg(value) AS v FROM events WHERE event_type = 'view' GROUP BY 1),
+d AS (SELECT user_id, a.v - b.v AS d FROM a JOIN b USING (user_id)), u AS (SELECT k, d, {DRAW} AS u FROM d, range(1000) r(k)),
+w AS (SELECT k, d, ({" + ".join(f"(u >= {x!r})::INT" for x in R.POISSON)}) AS w FROM u), m AS (SELECT k, sum(w * d) / sum(w) AS mean FROM w GROUP BY 1 HAVING sum(w) > 0)
+SELECT (SELECT count(*) FROM d) AS n, (SELECT round(avg(d), 6) FROM d) AS mean, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m""",
+)
 def bootstrap_interval(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     arm = lambda kind, name: e.filter(F.col("event_type") == kind).groupBy("user_id").agg(F.avg("value").alias(name))
-    return R.bootstrap(arm("click", "a").join(arm("view", "b"), "user_id").select((F.col("a") - F.col("b")).alias("d")), "d")
+    pairs = arm("click", "a").join(arm("view", "b"), "user_id").select("user_id", (F.col("a") - F.col("b")).alias("d"))
+    return R.bootstrap(pairs, "d", "user_id", resamples=1_000).select("n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])

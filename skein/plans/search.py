@@ -81,10 +81,12 @@ def grouped_roles(spark, sf_dir):
     return S.grouped_by_role(hits(spark, sf_dir), F.when(p.endswith("7.txt"), "test").when(p.contains("/de/"), "doc").otherwise("prod"))
 
 
-@query("broad_rank", f"WITH {HITS} SELECT path, line_no, CASE WHEN path LIKE '%7.txt' THEN 2 WHEN line LIKE 'Licensed%' THEN 0 ELSE 1 END AS class FROM hits ORDER BY class, path, line_no LIMIT 12")
+@query("broad_rank", f"WITH {HITS}, m AS (SELECT regexp_replace(path, '\\.txt$', CASE WHEN doc_id % 3 = 0 THEN '_test.py' WHEN doc_id % 3 = 1 THEN '.md' ELSE '.py' END) AS path, line_no, CASE WHEN line_no % 2 = 0 THEN 'def license(x):' ELSE line END AS line FROM (SELECT *, regexp_extract(path, 'doc_(\\d+)', 1)::INT AS doc_id FROM hits)) SELECT path, line_no, CASE WHEN path LIKE '%.md' OR path LIKE '%_test.py' THEN 2 WHEN line_no % 2 = 0 THEN 0 ELSE 1 END AS class FROM m ORDER BY class, path, line_no LIMIT 12")
 def broad_rank(spark, sf_dir):
-    cls = F.when(F.col("path").endswith("7.txt"), 2).when(F.col("line").startswith("Licensed"), 0).otherwise(1)
-    return hits(spark, sf_dir).select("path", "line_no", cls.alias("class")).orderBy("class", "path", "line_no").limit(12)
+    n = F.regexp_extract("path", r"doc_(\d+)", 1).cast("int") % 3
+    path = F.concat(F.regexp_replace("path", r"\.txt$", ""), F.when(n == 0, "_test.py").when(n == 1, ".md").otherwise(".py"))
+    rows = hits(spark, sf_dir).select(path.alias("path"), "line_no", F.when(F.col("line_no") % 2 == 0, "def license(x):").otherwise(F.col("line")).alias("line"))
+    return S.broad_rank(rows, "license").select("path", "line_no", "class")
 
 
 @query("wide_summary", f"WITH {HITS}, d AS (SELECT 'dir' AS level, {DIR} AS key, count(*) AS hits FROM hits GROUP BY 2 ORDER BY hits DESC, key LIMIT 10), f AS (SELECT 'file' AS level, path AS key, count(*) AS hits FROM hits GROUP BY 2 ORDER BY hits DESC, key LIMIT 15) SELECT * FROM d UNION ALL SELECT * FROM f")

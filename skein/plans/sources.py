@@ -110,52 +110,23 @@ def resolve_python(spark, sf_dir):
     return R.resolve(imports, p.select("path")).select("path", "spec", "target")
 
 
-@query("resolve_packages", "WITH f AS (SELECT 'pkg' || (p_partkey % 20) || '/f' || p_partkey || '.go' AS path, p_partkey AS k FROM part) SELECT a.path, 'example.com/m/pkg' || ((a.k + 1) % 20) AS spec, b.path AS target FROM f a JOIN f b ON b.k % 20 = (a.k + 1) % 20 WHERE a.k < 40")
+@query("resolve_packages", "WITH f AS (SELECT 'pkg' || (p_partkey % 20) || '/f' || p_partkey || '.go' AS path, p_partkey AS k FROM part) SELECT a.path, 'example.com/m/pkg' || ((a.k + 1) % 20) AS spec, b.path AS target FROM f a JOIN f b ON b.k % 20 = (a.k + 1) % 20")
 def resolve_packages(spark, sf_dir):
-    p = table(spark, sf_dir, "part").selectExpr("p_partkey", "concat('pkg', p_partkey % 20, '/f', p_partkey, '.go') as path")
-    imports = p.filter("p_partkey < 40").selectExpr("path", "concat('example.com/m/pkg', (p_partkey + 1) % 20) as spec")
-    modules = spark.createDataFrame([("example.com/m", ""), ("example.com", "vendor")], "name string, dir string")
-    return R.resolve_packages(imports, p.select("path"), modules)
-
-
-@query("resolve_namespaces", "SELECT c_custkey || '.cs' AS path, c_mktsegment AS spec, s_suppkey || '.cs' AS target FROM customer JOIN supplier ON s_nationkey % 5 = c_nationkey % 5 AND s_nationkey < 10 WHERE c_nationkey < 3 AND c_custkey <> s_suppkey AND c_mktsegment = ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'][1 + s_nationkey % 5]")
-def resolve_namespaces(spark, sf_dir):
-    spaces = F.array(*map(F.lit, ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")))
-    name = lambda c: F.concat(F.col(c).cast("string"), F.lit(".cs"))
-    declared = table(spark, sf_dir, "supplier").filter("s_nationkey < 10").select(F.element_at(spaces, F.col("s_nationkey") % 5 + 1).alias("spec"), name("s_suppkey").alias("target"), (F.col("s_nationkey") % 5).alias("k"))
-    imports = table(spark, sf_dir, "customer").filter("c_nationkey < 3").filter(F.col("c_mktsegment") == F.element_at(spaces, F.col("c_nationkey") % 5 + 1)).select(name("c_custkey").alias("path"), F.col("c_mktsegment").alias("spec"))
-    return R.resolve_namespaces(imports, declared)
-
-
-@query("resolve_types", "WITH d AS (SELECT p_name AS spec, min(p_partkey) AS t, count(*) AS n FROM part WHERE p_size < 3 AND p_type = 'PROMO' GROUP BY 1) SELECT c_custkey || '.cs' AS path, spec, t || '.cs' AS target FROM customer JOIN part ON p_partkey = c_custkey JOIN d ON spec = p_name WHERE n = 1 AND c_custkey <> t")
-def resolve_types(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    name = lambda c: F.concat(F.col(c).cast("string"), F.lit(".cs"))
-    declared = part.filter("p_size < 3 AND p_type = 'PROMO'").select(F.col("p_name").alias("spec"), name("p_partkey").alias("target"))
-    imports = table(spark, sf_dir, "customer").join(part, F.col("p_partkey") == F.col("c_custkey")).select(name("c_custkey").alias("path"), F.col("p_name").alias("spec"))
-    return R.resolve_types(imports, declared)
-
-
-@query("resolve_packages_all", "WITH f AS (SELECT 'pkg' || (p_partkey % 20) || '/f' || p_partkey || '.go' AS path, p_partkey AS k FROM part) SELECT a.path, 'example.com/m/pkg' || ((a.k + 1) % 20) AS spec, b.path AS target FROM f a JOIN f b ON b.k % 20 = (a.k + 1) % 20")
-def resolve_packages_all(spark, sf_dir):
-    """``resolve_packages`` of every import."""
     p = table(spark, sf_dir, "part").selectExpr("p_partkey", "concat('pkg', p_partkey % 20, '/f', p_partkey, '.go') as path")
     modules = spark.createDataFrame([("example.com/m", ""), ("example.com", "vendor")], "name string, dir string")
     return R.resolve_packages(p.selectExpr("path", "concat('example.com/m/pkg', (p_partkey + 1) % 20) as spec"), p.select("path"), modules)
 
 
-@query("resolve_namespaces_all", "SELECT c_custkey || '.cs' AS path, c_mktsegment AS spec, s_suppkey || '.cs' AS target FROM customer JOIN supplier ON c_mktsegment = ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'][1 + s_nationkey % 5] WHERE c_custkey <> s_suppkey")
-def resolve_namespaces_all(spark, sf_dir):
-    """``resolve_namespaces`` of every import and declaration."""
+@query("resolve_namespaces", "SELECT c_custkey || '.cs' AS path, c_mktsegment AS spec, s_suppkey || '.cs' AS target FROM customer JOIN supplier ON c_mktsegment = ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'][1 + s_nationkey % 5] WHERE c_custkey <> s_suppkey")
+def resolve_namespaces(spark, sf_dir):
     spaces = F.array(*map(F.lit, ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")))
     name = lambda c: F.concat(F.col(c).cast("string"), F.lit(".cs"))
     declared = table(spark, sf_dir, "supplier").select(F.element_at(spaces, F.col("s_nationkey") % 5 + 1).alias("spec"), name("s_suppkey").alias("target"))
     return R.resolve_namespaces(table(spark, sf_dir, "customer").select(name("c_custkey").alias("path"), F.col("c_mktsegment").alias("spec")), declared)
 
 
-@query("resolve_types_all", "WITH d AS (SELECT p_name AS spec, min(p_partkey) AS t, count(*) AS n FROM part GROUP BY 1) SELECT 'use/' || c_custkey || '.cs' AS path, spec, t || '.cs' AS target FROM customer JOIN part ON p_partkey = c_custkey JOIN d ON spec = p_name WHERE n = 1")
-def resolve_types_all(spark, sf_dir):
-    """``resolve_types`` of every import and declaration; importers are other files than the declaring ones."""
+@query("resolve_types", "WITH d AS (SELECT p_name AS spec, min(p_partkey) AS t, count(*) AS n FROM part GROUP BY 1) SELECT 'use/' || c_custkey || '.cs' AS path, spec, t || '.cs' AS target FROM customer JOIN part ON p_partkey = c_custkey JOIN d ON spec = p_name WHERE n = 1")
+def resolve_types(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     declared = part.select(F.col("p_name").alias("spec"), F.concat(F.col("p_partkey").cast("string"), F.lit(".cs")).alias("target"))
     imports = table(spark, sf_dir, "customer").join(part, F.col("p_partkey") == F.col("c_custkey")).select(F.concat(F.lit("use/"), F.col("c_custkey").cast("string"), F.lit(".cs")).alias("path"), F.col("p_name").alias("spec"))

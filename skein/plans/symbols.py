@@ -24,15 +24,8 @@ def symbol_rank(spark, sf_dir):
     return S.top_per_group(top.withColumn("_g", F.lit(0)), ["_g"], [F.col("tier"), *order], 25).select("symbol_id", "name", "tier", "rank")
 
 
-@query("exact_fold", f"WITH {SYM}, h AS (SELECT *, CASE WHEN lower(name) = 'red ring' THEN 0 WHEN starts_with(lower(name), 'red ring') THEN 1 WHEN contains(lower(name), 'red ring') THEN 2 END AS tier FROM symbols WHERE symbol_id % 7 <> 0), m AS (SELECT min(tier) AS least, count(*) FILTER (tier > 0) AS others FROM h) SELECT symbol_id, tier, CASE WHEN least = 0 THEN others ELSE 0 END AS folded FROM h, m WHERE tier IS NOT NULL AND (least > 0 OR tier = 0)")
+@query("exact_fold", f"WITH {SYM}, h AS (SELECT *, CASE WHEN lower(name) = 'red ring' THEN 0 WHEN starts_with(lower(name), 'red ring') THEN 1 WHEN contains(lower(name), 'red ring') THEN 2 END AS tier FROM symbols), m AS (SELECT min(tier) AS least, count(*) FILTER (tier > 0) AS others FROM h) SELECT symbol_id, tier, CASE WHEN least = 0 THEN others ELSE 0 END AS folded FROM h, m WHERE tier IS NOT NULL AND (least > 0 OR tier = 0)")
 def exact_fold(spark, sf_dir):
-    hits = Y.find_symbols(symbols(spark, sf_dir).filter("symbol_id % 7 != 0"), "red ring", [F.col("symbol_id")])
-    return Y.fold_to_exact(hits).select("symbol_id", "tier", "folded")
-
-
-@query("exact_fold_all", f"WITH {SYM}, h AS (SELECT *, CASE WHEN lower(name) = 'red ring' THEN 0 WHEN starts_with(lower(name), 'red ring') THEN 1 WHEN contains(lower(name), 'red ring') THEN 2 END AS tier FROM symbols), m AS (SELECT min(tier) AS least, count(*) FILTER (tier > 0) AS others FROM h) SELECT symbol_id, tier, CASE WHEN least = 0 THEN others ELSE 0 END AS folded FROM h, m WHERE tier IS NOT NULL AND (least > 0 OR tier = 0)")
-def exact_fold_all(spark, sf_dir):
-    """``exact_fold`` over every symbol."""
     return Y.fold_to_exact(Y.find_symbols(symbols(spark, sf_dir), "red ring", [F.col("symbol_id")])).select("symbol_id", "tier", "folded")
 
 
@@ -88,17 +81,11 @@ def stems(spark, sf_dir):
     return files(spark, sf_dir).select(words.alias("word")).distinct().select("word", T.stem(F.col("word")).alias("stem"))
 
 
-@query("words_of", f"WITH d AS (SELECT doc_id AS id, substr(text, 1, 200) AS name FROM documents) SELECT id, array_to_string(list_sort(list_distinct(list_transform(list_filter({WORDS_SQL}, lambda w: w NOT IN ({STOPS_SQL})), lambda w: {STEM_SQL}))), ' ') AS words FROM d")
-def words_of(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(T.words_of(F.substring("text", 1, 200)), " ").alias("words"))
-
-
 WHOLE_WORDS = f"list_transform(list_filter({WORDS_SQL}, lambda w: w NOT IN ({STOPS_SQL})), lambda w: {STEM_SQL})"
 
 
-@query("words_of_texts", f"WITH d AS (SELECT doc_id AS id, text AS name FROM documents) SELECT id, array_to_string(list_sort(list_distinct({WHOLE_WORDS})), ' ') AS words FROM d")
-def words_of_texts(spark, sf_dir):
-    """``words_of`` over whole texts."""
+@query("words_of", f"WITH d AS (SELECT doc_id AS id, text AS name FROM documents) SELECT id, array_to_string(list_sort(list_distinct({WHOLE_WORDS})), ' ') AS words FROM d")
+def words_of(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(T.words_of("text"), " ").alias("words"))
 
 
@@ -139,12 +126,11 @@ def task_hits(spark, sf_dir):
     return Y.task_hits(symbols(spark, sf_dir), "where is the hot gear smallBolt handled")
 
 
-POINTS = "points AS (SELECT event_id, user_id AS file_id, epoch_us(ts) // 1000000 + 1800 AS line FROM events WHERE event_type = 'error')"
+POINTS = "points AS (SELECT event_id, user_id AS file_id, epoch_us(ts) // 1000000 + 1800 AS line FROM events)"
 
 
 def points(spark, sf_dir):
-    e = events(spark, sf_dir).filter("event_type = 'error'")
-    return e.select("event_id", F.col("user_id").alias("file_id"), F.expr("us div 1000000 + 1800").alias("line"))
+    return events(spark, sf_dir).select("event_id", F.col("user_id").alias("file_id"), F.expr("us div 1000000 + 1800").alias("line"))
 
 
 ENCLOSE = "SELECT event_id, arg_min(name, (end_line - start_line, start_line, name)) AS name, min(end_line - start_line) AS span FROM points p JOIN intervals i ON p.file_id = i.file_id AND p.line BETWEEN i.start_line AND i.end_line"
@@ -188,12 +174,12 @@ def first_lines(spark, sf_dir):
 
 # --- joins -----------------------------------------------------------------
 
-CALLS = "calls AS (SELECT l_suppkey AS src, p_name || p_brand AS callee FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity < 5), targets AS (SELECT p_partkey AS dst, p_name || p_brand AS callee FROM part)"
+CALLS = "calls AS (SELECT l_suppkey AS src, p_name || p_brand AS callee FROM lineitem JOIN part ON l_partkey = p_partkey), targets AS (SELECT p_partkey AS dst, p_name || p_brand AS callee FROM part)"
 
 
 def calls_and_targets(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", "p_brand").alias("callee"))
-    items = table(spark, sf_dir, "lineitem").filter("l_quantity < 5").select("l_suppkey", "l_partkey")
+    items = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
     calls = items.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("src"), "callee")
     return calls, part.select(F.col("p_partkey").alias("dst"), "callee")
 
@@ -251,17 +237,8 @@ def unresolved(spark, sf_dir):
     return J.unresolved(imports, J.first_match(candidates(spark, sf_dir), f, ["path"]), ["path"])
 
 
-@query("user_path", f"WITH {FILES}, w AS (SELECT CASE WHEN doc_id % 3 = 0 THEN path ELSE language || '/doc_' || doc_id || '.txt' END AS given FROM files WHERE doc_id % 5 = 0) SELECT given, arg_min(path, (path <> given, length(path), path)) AS path FROM w JOIN files ON path = given OR ends_with(path, '/' || given) GROUP BY 1")
+@query("user_path", f"WITH {FILES}, w AS (SELECT CASE WHEN doc_id % 3 = 0 THEN path ELSE language || '/doc_' || doc_id || '.txt' END AS given FROM files) SELECT given, arg_min(path, (path <> given, length(path), path)) AS path FROM w JOIN files ON path = given OR ends_with(path, '/' || given) GROUP BY 1")
 def user_path(spark, sf_dir):
-    f = files(spark, sf_dir)
-    short = F.concat("language", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    want = f.filter("doc_id % 5 = 0").select(F.when(F.col("doc_id") % 3 == 0, F.col("path")).otherwise(short).alias("given"))
-    return J.by_suffix(want, f)
-
-
-@query("user_path_all", f"WITH {FILES}, w AS (SELECT CASE WHEN doc_id % 3 = 0 THEN path ELSE language || '/doc_' || doc_id || '.txt' END AS given FROM files) SELECT given, arg_min(path, (path <> given, length(path), path)) AS path FROM w JOIN files ON path = given OR ends_with(path, '/' || given) GROUP BY 1")
-def user_path_all(spark, sf_dir):
-    """``user_path`` for every path."""
     f = files(spark, sf_dir)
     short = F.concat("language", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return J.by_suffix(f.select(F.when(F.col("doc_id") % 3 == 0, F.col("path")).otherwise(short).alias("given")), f)
@@ -288,7 +265,7 @@ def semi_join(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").join(promo, "l_partkey", "left_semi").groupBy("l_suppkey").agg(F.count("*").alias("n"))
 
 
-@query("anti_join", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("anti_join", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def anti_join(spark, sf_dir):
-    buyers = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    buyers = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf_dir, "customer").join(buyers, "c_custkey", "left_anti").select("c_custkey", "c_name")

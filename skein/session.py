@@ -41,3 +41,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="skein-checkpoints-"))
     return df.checkpoint()
+
+
+#: Rows and bytes of an Arrow batch: it stands several times in the memory of executor and worker.
+BATCH_ROWS, BATCH_BYTES = 10_000, 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's limits of Arrow batches, unless smaller ones hold; the setting stays, as plans are lazy."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    if not size.isdigit() or not 0 < int(size) <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

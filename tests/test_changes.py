@@ -59,6 +59,22 @@ def test_denial_resets_and_silences(spark):
 def test_bootstrap_interval_holds_the_mean(spark):
     from skein.operators.reports import bootstrap
 
-    df = spark.createDataFrame([(float(x),) for x in range(50)] + [(None,)], "d double")
-    a, b = (bootstrap(p, "d", resamples=2_000).first() for p in (df, df.repartition(7)))
-    assert a == b and a["n"] == 50 and a["mean"] == 24.5 and a["low"] < 24.5 < a["high"]
+    df = spark.createDataFrame([(n, float(n)) for n in range(50)] + [(99, None)], "id long, d double")
+    a, b = (bootstrap(p, "d", "id", resamples=2_000).first() for p in (df, df.repartition(7)))
+    assert abs(a["low"] - b["low"]) < 1e-9 and a["n"] == 50 and a["mean"] == 24.5
+    assert 19 < a["low"] < 22 < 27 < a["high"] < 30  # 24.5 and two standard errors of 2.06
+    none = bootstrap(df.limit(0), "d", "id", resamples=10).first()
+    assert none["n"] == 0 and none["low"] is None
+
+
+def test_folds_of_long_histories_and_several_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        df = spark.range(20_000).selectExpr("cast(id % 10 = 3 as int) as k", "id * 10 as us")
+        d = {(r["k"], r["started"]): r["n"] for r in C.debounced(df, "k", "us", 100, 1_000).collect()}
+        assert sum(d.values()) == 20_000 and sum(n for (k, _), n in d.items() if k) == 2_000
+        assert C.throttled(df, "k", "us", 1_000).filter("k = 0").count() == len(range(0, 20_000, 100))
+        blocked = C.repeat_guard(df.filter("k = 1"), ["k"], "us", most=3, window_us=1_000)
+        assert blocked.count() == 2_000 and blocked.filter("blocked").count() == 2_000 - 600
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

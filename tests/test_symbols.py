@@ -18,6 +18,15 @@ def test_parents_of_nested_symbols(spark):
     assert got[("count", 15)] == ("Parser", 1)
 
 
+def test_parents_equal_brute_force_where_intervals_cross(spark):
+    rnd = random.Random(8)
+    rows = sorted({(rnd.randrange(4), f"s{n}", rnd.choice(["Class", "Method"]), a := rnd.randrange(1, 60), a + rnd.choice([0, 2, 9, 30])) for n in range(160)})
+    got = {(r["file_id"], r["name"]): (r["parent"], r["depth"]) for r in I.parents(spark.createDataFrame(rows, "file_id int, name string, kind string, start_line int, end_line int")).collect()}
+    for f, name, kind, s, e in rows:
+        around = [(b - a, -a, n) for g, n, k, a, b in rows if g == f and a <= s and b >= e and ((a, b) != (s, e) or (k == "Class" and kind == "Method"))]
+        assert got[f, name] == (min(around)[2] if around else None, len(around))
+
+
 def test_name_paths(spark):
     find = lambda p, **k: {(r["name"], r["start_line"]) for r in I.name_path(nested(spark), p, **k).collect()}
     assert find("parser") == {("Parser", 10)}
