@@ -126,11 +126,31 @@ def mentions_path(text: Column | str, path: Column | str) -> Column:
 
 
 def is_test_path(x: Column | str) -> Column:
-    return _c(x).rlike(r"(?i)(^|/)(tests?|testing|spec|__tests__)(/|$)|(^|/)test_[^/]*$|[_.-](test|spec)s?\.[^/.]+$")
+    """A file that a broad listing puts last: tests, mocks and fixtures, documents, examples, scripts, vendored code."""
+    return _c(x).rlike(r"(?i)test|spec|mock|fixture|__snapshots__|e2e|(^|/)(docs?|examples?|scripts|vendor|third_party)/|(^|/)probe")
+
+
+def is_test_caller(path: Column | str, caller: Column | str) -> Column:
+    """Test code by its file or by the caller's name."""
+    by_file = _c(path).rlike(r"(?i)(_test|\.test|\.spec)\.[^/]*$|(^|/)test_[^/]*$|(^|/)tests?/|__tests__/")
+    return by_file | _c(caller).rlike(r"^(Test|test_|Benchmark)")
 
 
 def is_doc_path(x: Column | str) -> Column:
-    return _c(x).rlike(r"(?i)(^|/)docs?/|\.(md|mdx|rst|adoc|txt)$|(^|/)(readme|changelog|license)[^/]*$")
+    """Prose: by extension, by a docs directory, or a .txt of a customary name."""
+    return _c(x).rlike(r"(?i)\.(md|mdx|rst|adoc)$|(^|/)docs?/|(^|/)(readme|notes|changelog|changes|license|authors|todo|contributing|history|news|install)(\.[^/]*)?\.txt$")
+
+
+#: Extensions and directories of test data.
+DATA_EXTENSIONS = "json jsonl yaml yml toml csv tsv xml txt golden snap ini proto hex".split()
+DATA_DIRS = "test tests testdata fixtures fixture vectors golden snapshots __snapshots__ spec data testvectors".split()
+
+
+def is_data_fixture(x: Column | str) -> Column:
+    """A data file in a directory of test data."""
+    p = F.lower(_c(x))
+    ext = F.regexp_extract(p, r"\.([^.]*)$", 1)
+    return ext.isin(DATA_EXTENSIONS) & F.arrays_overlap(F.split(p, "/"), F.array(*map(F.lit, DATA_DIRS)))
 
 
 # --- patterns (made on the driver) -----------------------------------------
@@ -219,30 +239,141 @@ def anchor(signature: Column | str, path: Column | str, line: Column | str) -> C
     return F.concat(one_line(signature), F.lit("  @"), _c(path), F.lit(":"), _c(line).cast("string"))
 
 
-def hit_role(line: Column | str, name: str) -> Column:
-    """What a hit on a name is: comment, string, def, store, use."""
-    x = F.trim(_c(line))
-    quoted = re.escape(name)
+_MODIFIERS = r"(pub\(crate\)|pub|export|default|async|public|private|protected|static|final|abstract|unsafe)"
+_DEFINES = r"(fn|func|def|function|class|struct|enum|trait|interface|type|impl|const|let|var|mod|module)"
+
+
+def is_definition_line(line: Column | str) -> Column:
+    """The line declares something, behind any modifiers."""
+    return _c(line).rlike(rf"^\s*({_MODIFIERS}\s+)*{_DEFINES} ")
+
+
+def is_comment_line(line: Column | str) -> Column:
+    """The line is a comment and nothing else."""
+    return _c(line).rlike(r"^\s*(//|/\*|\*/|<!--|--|\"\"\"|\*( |$)|#( |#|!|$))")
+
+
+def _begins_word(keys: list[str]) -> str:
+    """A Java regex: a key that starts with a letter stands at a word's or a camel hump's start, others stand anywhere."""
+    quote = lambda k: re.escape(k).replace("\\ ", " ")
+    words = "|".join(quote(k) for k in keys if k[0].isalnum())
+    signs = "|".join(quote(k) for k in keys if not k[0].isalnum())
+    at_word = rf"(?:(?<![A-Za-z0-9])|(?<=[a-z])(?=[A-Z]))(?i:{words})" if words else ""
+    return "|".join(x for x in (at_word, f"(?i:{signs})" if signs else "") if x)
+
+
+#: Beginnings of words that tell a hit's role.
+ASSERTS = ["assert", "expect", "require.", "require(", "want", "equal", "eq!(", "should", "tobe", "toequal", "t.error", "t.fatal", "== ", "!= ", "verify("]
+LOADS = ["load", "read", "open", "getenv", "environ", "env::var", "lookup", "parse", "config", "fetch", "get(", ".get ", "unmarshal", "decode", "from_str", "require(", "import "]
+BINDS = ["const ", "static ", "#define", " := ", "let ", "var "]
+LITERALS = ["= \"", "=\"", ": \""]
+
+
+def hit_role(line: Column | str, test: Column | bool = False, masked: Column | str | None = None) -> Column:
+    """What the line of a hit is: comment; assert or ref in tests; def, load or use elsewhere.  ``masked``: the line with
+    its strings blanked, where words are looked for; literals are looked for in the line itself."""
+    x = _c(line) if masked is None else _c(masked)
+    test = F.lit(test) if isinstance(test, bool) else test
     return (
-        F.when(x.rlike(r"^(//|#|/\*|\*|--|;)"), "comment")
-        .when(x.rlike(rf"([\"'`])[^\"'`]*{quoted}[^\"'`]*\1"), "string")
-        .when(x.rlike(rf"\b(def|fn|func|function|class|struct|interface|trait|enum|type|const|let|var|val)\s+{quoted}\b"), "def")
-        .when(x.rlike(rf"\b{quoted}\s*(:[^=]*)?=[^=]"), "store")
+        F.when(is_comment_line(x), "comment")
+        .when(test, F.when(x.rlike(_begins_word(ASSERTS)), "assert").otherwise("ref"))
+        .when(is_definition_line(x), "def")
+        .when(x.rlike(_begins_word(LOADS)), "load")
+        .when(x.rlike(_begins_word(BINDS)) | _c(line).rlike(_begins_word(LITERALS)), "def")
         .otherwise("use")
     )
 
 
+#: Words beside "count" that make it a verb.
+COUNT_LEADS = "to and then please just also can you i we need want should must".split()
+COUNT_TAILS = "of the all how each every occurrences usages calls lines files matches per by in total".split()
+
+
 def task_class(task: Column | str) -> Column:
-    """refs, count, rename or other, by what a task asks for."""
+    """refs, count, rename or other, by what a task asks for; "count" counts as a verb only."""
     t = F.lower(_c(task))
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, r"[^a-z0-9_]+", " ")), F.lit(" "))
+    counting = rf"^ count(s|ing)? | ({'|'.join(COUNT_LEADS)}) count(s|ing)? | count(s|ing)? ({'|'.join(COUNT_TAILS)}) "
     return (
-        F.when(t.rlike(r"\b(call ?sites?|callers?|usages?|references?|who (calls|uses)|where .* used)\b"), "refs")
-        .when(t.rlike(r"\b(how many|count|number of)\b"), "count")
-        .when(t.rlike(r"\brename\b"), "rename")
+        F.when(words.rlike(" (callers?|usages?|references|who calls|called by) ") | t.rlike("谁调用|调用方|引用"), "refs")
+        .when(words.rlike(f"{counting}| (how many|number of) ") | t.rlike("多少|统计|每个目录|分布|调用次数"), "count")
+        .when(words.rlike(" (rename|renaming) ") | t.rlike("重命名|改名|批量改|替换"), "rename")
         .otherwise("other")
     )
 
 
+# --- queries ---------------------------------------------------------------
+
+
+def looks_like_regex(query: Column | str) -> Column:
+    q, n = _c(query), F.length(_c(query))
+    inside = q.rlike(r"\||\.\*|\.\+|\\[bsdw]|\(\?")
+    return inside | (q.startswith("^") & (n > 1)) | (q.endswith("$") & (n > 1) & ~q.endswith("\\$"))
+
+
+def looks_like_code(query: Column | str) -> Column:
+    """A call or a signature, not a regex: an identifier before the first parenthesis, or an arrow or block after one."""
+    q = _c(query)
+    starts = q.startswith("(") & q.rlike(r"=>|\) ?\{")
+    called = q.rlike(r"^[^(]*[\p{L}\p{N}_]\s*\(")
+    return ~looks_like_regex(q) & ~q.rlike(r"\\[()]") & q.contains("(") & (starts | (~q.startswith("(") & called))
+
+
+#: Extensions of code.
+CODE_EXTENSIONS = "al c clj cljs cpp cs cshtml csx dart elm ex exs fs fsx go groovy h hpp hs java jl js jsx kt kts lean lua m matlab nf php proto py r razor rb rs scala sol svelte swift ts tsx vb vue zig".split()
+
+
+def looks_like_path(query: Column | str) -> Column:
+    """A path of a file system rather than a symbol: absolute with another separator, a drive, a home, a backslash, a
+    trailing slash, or a last segment with an extension of code."""
+    q = F.regexp_replace(F.trim(_c(query)), r"^(\./)+", "")
+    code = F.lower(F.regexp_extract(F.regexp_extract(q, r"([^/]*)$", 1), r"\.([A-Za-z0-9]+)$", 1)).isin(CODE_EXTENSIONS)
+    rooted = q.rlike(r"^[/\\]")
+    rest = F.substring(q, 2, 1 << 20)
+    absolute = (rest != "") & (rest.rlike(r"[/\\]") | q.endswith("/") | code)
+    return (q != "") & (q != "*") & F.when(rooted, absolute).otherwise(q.rlike(r"^~[/\\]|^[A-Za-z]:[/\\]|\\|/$") | code)
+
+
+#: Words of declarations that people put before a name.
+QUERY_KEYWORDS = "struct class func fn def function method interface enum trait type impl record".split()
+
+
+def symbol_query(raw: Column | str) -> Column:
+    """A name as people write it, as a name path: words of declarations go, unless nothing else is left; ``::`` and ``.``
+    become ``/``, and a leading ``::`` anchors at the top."""
+    tokens = F.filter(F.split(_c(raw), r"\s+"), lambda t: t != "")
+    named = F.filter(tokens, lambda t: ~F.lower(t).isin(QUERY_KEYWORDS))
+    kept = F.array_join(F.when((F.size(tokens) > 1) & (F.size(named) > 0), named).otherwise(tokens), " ")
+    parts = F.filter(F.split(kept, r"::|\."), lambda t: t != "")
+    path = F.concat(F.when(kept.startswith("::"), "/").otherwise(""), F.array_join(parts, "/"))
+    return F.when(~kept.contains("/") & (F.size(parts) > 1), path).otherwise(kept)
+
+
+def utf16_column(line: Column | str, characters: Column) -> Column:
+    """The column in UTF-16 units of the place behind so many characters of the line."""
+    head = F.substr(_c(line), F.lit(1), characters)
+    return F.length(head) + F.regexp_count(head, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+
+
+def decorated(line: Column | str, kind: Column | str, container: Column | str, signature: Column | str, most: int = 24) -> Column:
+    """The line with ``[kind in container]``; a kind that the signature starts with is not said again, and long container
+    names are cut."""
+    kind, holder = F.lower(_c(kind)), _c(container)
+    obvious = F.regexp_like(F.lower(F.ltrim(_c(signature))), F.concat(F.lit("^"), kind, F.lit(r"\s")))
+    short = F.when(F.length(holder) > most, F.concat(F.substr(holder, F.lit(1), F.lit(most - 1)), F.lit("…"))).otherwise(holder)
+    said = F.when(obvious & holder.isNull(), "").when(obvious, F.concat(F.lit("  [in "), short, F.lit("]"))).when(holder.isNull(), F.concat(F.lit("  ["), kind, F.lit("]")))
+    return F.concat(_c(line), F.coalesce(said, F.concat(F.lit("  ["), kind, F.lit(" in "), short, F.lit("]"))))
+
+
+#: From the worst.
+SEVERITIES = ("error", "warning", "information", "hint")
+
+
+def at_least(severity: Column | str, floor: str) -> Column:
+    """The severity is the floor's or a worse one; unknown ones are none."""
+    return F.array_position(F.array(*map(F.lit, SEVERITIES[: SEVERITIES.index(floor) + 1])), F.lower(_c(severity))) > 0
+
+
 CONFIDENCE_NOTES = {
     "Exact": "checked by a language server",
     "Scoped": "from the index, within the importing files",

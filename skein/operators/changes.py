@@ -121,6 +121,28 @@ def barrier(age_s: Column, distrusted: Column, suspects: Column, window_s: int =
     return F.when(distrusted, "Degrade").when((age_s <= window_s) & (n == 0), "Fresh").when(n <= inline, "Repair").otherwise("Degrade")
 
 
+#: How long an answer waits for a verification, and how long a watcher goes without a whole scan.
+WAIT_S, SAFETY_S, DISTRUST_S = 2, 1800, 60
+
+
+def barrier_answer(decision: Column, verified_after_s: Column) -> Column:
+    """fresh, repaired or stale: what a query is told behind the barrier.  A repair is done in line; where none of the
+    suspects could be checked, the answer waits for a verification, for WAIT_S at most."""
+    return F.when(decision == "Fresh", "fresh").when(decision == "Repair", "repaired").when(F.coalesce(verified_after_s <= WAIT_S, F.lit(False)), "fresh").otherwise("stale")
+
+
+def safety_wait(configured_s: Column, distrusted: Column) -> Column:
+    """Seconds until the next whole scan: DISTRUST_S at most while the log is distrusted; 0 switches scans off otherwise."""
+    return F.when(~distrusted, configured_s).when(configured_s == 0, DISTRUST_S).otherwise(F.least(configured_s, F.lit(DISTRUST_S)))
+
+
+def verified(suspects: DataFrame, found: DataFrame, started: int, finished: int) -> DataFrame:
+    """path, at: the suspects that stay after a verification that ran from ``started`` to ``finished``, the new watermark.
+    Paths noted while it ran stay, and what it found and was not applied yet is suspect too: both right after it."""
+    late = suspects.filter(F.col("at") > started).select("path")
+    return late.union(found.select("path")).distinct().withColumn("at", F.lit(finished + 1).cast("bigint"))
+
+
 def unsettled(age_s: Column) -> Column:
     """A modification time too close to now, or a little ahead of it, does not prove that nothing changed."""
     return ((age_s >= 0) & (age_s < UNSETTLED_S)) | ((age_s < 0) & (age_s >= -FUTURE_S))

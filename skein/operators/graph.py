@@ -135,3 +135,34 @@ def near(edges: DataFrame, origin: DataFrame) -> DataFrame:
     """Neighbours, either way, of the origin nodes, with the weight between."""
     both = edges.select(F.col("src").alias("node"), F.col("dst").alias("near"), "weight").union(edges.select("dst", "src", "weight"))
     return both.join(origin.select("node").distinct(), "node", "left_semi").groupBy("near").agg(F.sum("weight").alias("weight"))
+
+
+def ranked_closure(reached: DataFrame, scores: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """reached: node.  By score, then path, then the line of the file's first symbol, then id, with their ``rank``."""
+    from .search import total_rank
+
+    first = symbols.groupBy(F.col("file_id").alias("node")).agg(F.min("start_line").alias("first_line"))
+    rows = reached.select("node").join(scores.select("node", "score"), "node", "left").join(files.select(F.col("file_id").alias("node"), "path"), "node").join(first, "node", "left")
+    rows = rows.select("node", "path", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("first_line", F.lit(0)).alias("first_line"))
+    return total_rank(rows, [F.round("score", 12).desc(), F.col("path"), F.col("first_line"), F.col("node")])
+
+
+def fingerprint(files: DataFrame, edges: DataFrame) -> str:
+    """What rank depends on: ids and paths of files, and import edges, in any order."""
+    f = files.agg(F.count("*"), F.sum(F.xxhash64("file_id", "path").cast("decimal(38,0)"))).first()
+    e = edges.agg(F.count("*"), F.sum(F.xxhash64("src", "dst", "weight").cast("decimal(38,0)"))).first()
+    return "-".join(str(x or 0) for x in (*f, *e)).replace("--", "-n")
+
+
+def cached_rank(folder: str, files: DataFrame, edges: DataFrame, keep: int = 4) -> DataFrame:
+    """``pagerank`` of the import edges, kept in the folder under the graph's fingerprint; the newest ``keep`` stay."""
+    spark = files.sparkSession
+    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    own = f"{folder.rstrip('/')}/{fingerprint(files, edges)}"
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path(f"{own}/_SUCCESS")):
+        pagerank(files.select(F.col("file_id").cast("bigint").alias("node")), adjacency(edges)).write.mode("overwrite").parquet(own)
+        held = sorted(fs.listStatus(path(folder)), key=lambda s: (s.getModificationTime(), s.getPath().getName()))
+        for old in held[:-keep]:
+            fs.delete(old.getPath(), True)
+    return spark.read.parquet(own)

@@ -101,3 +101,31 @@ def header_pairs(files: DataFrame) -> DataFrame:
     met = tries.join(found, "candidate")
     best = met.groupBy("header").agg(F.min("priority").alias("priority"))
     return met.join(best, ["header", "priority"]).select("header", "source")
+
+
+def prefix_seek(files: DataFrame, prefix: str) -> DataFrame:
+    """Files whose path starts with the prefix; the range is pushed to the scan."""
+    return files.filter(F.col("path").startswith(prefix))
+
+
+def dir_listing(files: DataFrame, directories: DataFrame) -> DataFrame:
+    """dir, path: the files that lie directly in each directory; '' is the root."""
+    return files.select(T.dir_of("path").alias("dir"), "path").join(directories.select("dir").distinct(), "dir")
+
+
+def files_named(files: DataFrame, names: DataFrame) -> DataFrame:
+    """base, path: the files of each base name."""
+    return files.select(T.base_of("path").alias("base"), "path").join(names.select("base").distinct(), "base")
+
+
+def override_lookup(imports: DataFrame, overrides: DataFrame) -> DataFrame:
+    """imports: path, declared_in, name.  overrides: ord, declared_in, name, target.  Each import with its manifest's first
+    override of that name."""
+    first = overrides.groupBy("declared_in", "name").agg(F.min_by("target", "ord").alias("target"))
+    return imports.join(first, ["declared_in", "name"]).select("path", "declared_in", "name", "target")
+
+
+def redetected(reads: DataFrame, changed: DataFrame) -> DataFrame:
+    """resolver: those that have read a changed path (path) or listed the directory it lies in (path, ending in /)."""
+    touched = changed.select("path").union(changed.select(F.concat(T.dir_of("path"), F.lit("/"))))
+    return reads.join(touched.distinct(), "path", "left_semi").select("resolver").distinct()

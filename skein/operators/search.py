@@ -103,7 +103,7 @@ def top_groups(hits: DataFrame, groups: int, rows: int) -> DataFrame:
 
 
 def role_of(path: Column) -> Column:
-    return F.when(T.is_test_path(path), "test").when(T.is_doc_path(path), "doc").otherwise("prod")
+    return F.when(T.is_doc_path(path), "doc").when(T.is_test_path(path), "test").otherwise("prod")
 
 
 def grouped_by_role(hits: DataFrame, role: Column, rows: int = 6) -> DataFrame:
@@ -114,13 +114,26 @@ def grouped_by_role(hits: DataFrame, role: Column, rows: int = 6) -> DataFrame:
     return counts.join(first, ["role", "path"])
 
 
-def broad_rank(hits: DataFrame, name: str, size: int = 12) -> DataFrame:
+def broad_rank(hits: DataFrame, size: int = 12) -> DataFrame:
     """Definition lines first, then others, tests and documents last; within a class by path and line."""
     low = T.is_test_path(F.col("path")) | T.is_doc_path(F.col("path"))
-    cls = F.when(low, 2).when(T.hit_role("line", name) == "def", 0).otherwise(1)
+    cls = F.when(low, 2).when(T.is_definition_line("line"), 0).otherwise(1)
     return hits.withColumn("class", cls).orderBy("class", "path", "line_no").limit(size)
 
 
+#: Hits from which references are counted by file, and files shown outside and inside tests.
+WIDE_REFERENCES, PROD_FILES, TEST_FILES = 150, 25, 15
+
+
+def reference_groups(references: DataFrame, test: Column, most: int = WIDE_REFERENCES) -> DataFrame:
+    """test, path, hits, rank: counts by file with most hits first, the first 25 files outside tests and 15 in them, if
+    there are more than ``most`` references; no row otherwise, as then each is listed."""
+    total = references.agg((F.count("*") > most).alias("_wide"))
+    n = references.withColumn("test", test).groupBy("test", "path").agg(F.count("*").alias("hits"))
+    ranked = n.withColumn("rank", F.row_number().over(Window.partitionBy("test").orderBy(F.desc("hits"), "path")))
+    return ranked.filter(F.col("rank") <= F.when(F.col("test"), TEST_FILES).otherwise(PROD_FILES)).crossJoin(F.broadcast(total)).filter("_wide").drop("_wide")
+
+
 def digest(hits: DataFrame) -> DataFrame:
     """One row: lines, files, the three files with most hits and the first three hits."""
     files = hits.groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").limit(3)
@@ -150,13 +163,24 @@ def budget_prefix(df: DataFrame, order: list[str], chars: Column, limit: int) ->
     return first.withColumn("tokens", T.token_estimate(running)).filter(F.col("tokens") <= limit).drop("_chars")
 
 
-def context_windows(hits: DataFrame, around: int) -> DataFrame:
-    """Ranges of ``around`` lines on each side, merged where they touch: path, first_line, last_line, hits."""
+def adaptive_context(total: int, requested: int | None = None, most: int = 10) -> int:
+    """Lines shown on each side of a hit: three for up to five hits, one for up to twenty, none beyond."""
+    if requested is not None:
+        return min(requested, most)
+    return 3 if total <= 5 else 1 if total <= 20 else 0
+
+
+def context_windows(hits: DataFrame, around: int, files: DataFrame | None = None) -> DataFrame:
+    """Ranges of ``around`` lines on each side, merged where they touch: path, first_line, last_line, hits.  ``files``
+    (path, text): no range runs past its file's end."""
     w = Window.partitionBy("path").orderBy("line_no")
     fresh = F.col("line_no") - F.lag("line_no").over(w) > 2 * around + 1
     island = F.sum(F.when(F.coalesce(fresh, F.lit(True)), 1).otherwise(0)).over(w)
     ranges = hits.withColumn("island", island).groupBy("path", "island").agg(F.min("line_no").alias("a"), F.max("line_no").alias("b"), F.count("*").alias("hits"))
-    return ranges.select("path", F.greatest(F.col("a") - around, F.lit(1)).alias("first_line"), (F.col("b") + around).alias("last_line"), "hits")
+    out = ranges.select("path", F.greatest(F.col("a") - around, F.lit(1)).alias("first_line"), (F.col("b") + around).alias("last_line"), "hits")
+    if files is None:
+        return out
+    return out.join(files.select("path", T.loc("text").alias("_loc")), "path").withColumn("last_line", F.least("last_line", "_loc")).drop("_loc")
 
 
 def body(files: DataFrame, path: str, start: int, end: int) -> DataFrame:

@@ -86,7 +86,7 @@ def broad_rank(spark, sf_dir):
     n = F.regexp_extract("path", r"doc_(\d+)", 1).cast("int") % 3
     path = F.concat(F.regexp_replace("path", r"\.txt$", ""), F.when(n == 0, "_test.py").when(n == 1, ".md").otherwise(".py"))
     rows = hits(spark, sf_dir).select(path.alias("path"), "line_no", F.when(F.col("line_no") % 2 == 0, "def license(x):").otherwise(F.col("line")).alias("line"))
-    return S.broad_rank(rows, "license").select("path", "line_no", "class")
+    return S.broad_rank(rows).select("path", "line_no", "class")
 
 
 @query("wide_summary", f"WITH {HITS}, d AS (SELECT 'dir' AS level, {DIR} AS key, count(*) AS hits FROM hits GROUP BY 2 ORDER BY hits DESC, key LIMIT 10), f AS (SELECT 'file' AS level, path AS key, count(*) AS hits FROM hits GROUP BY 2 ORDER BY hits DESC, key LIMIT 15) SELECT * FROM d UNION ALL SELECT * FROM f")

@@ -139,17 +139,21 @@ def header_pairs(spark, sf_dir):
     return J.header_pairs(p.filter("path IS NOT NULL").select("path"))
 
 
-@query("hit_roles", "SELECT p_partkey, ['comment', 'string', 'def', 'store', 'use'][1 + p_partkey % 5] AS role FROM part")
+ROLE_LINES = ["// calls go_on here", "assert go_on == 3", "  pub async fn go_on(a int) {", "x = readFile(go_on)", "thread(go_on)", "const go_on = 3", "name: \"go_on\"", "y(go_on)", "# go_on", "#go_on", "want = go_on", "spread.go_on"]
+
+
+@query("hit_roles", "SELECT p_partkey, ['comment', 'use', 'def', 'load', 'use', 'def', 'def', 'use', 'comment', 'use', 'use', 'use'][1 + p_partkey % 12] AS role, ['comment', 'assert', 'ref', 'ref', 'ref', 'ref', 'ref', 'ref', 'comment', 'ref', 'assert', 'ref'][1 + p_partkey % 12] AS in_tests FROM part")
 def hit_roles(spark, sf_dir):
-    texts = ("// calls go_on here", "x = \"go_on\"", "  func go_on(a int) {", "go_on = 3", "y(go_on)")
-    line = F.element_at(F.array(*map(F.lit, texts)), (F.col("p_partkey") % 5 + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", T.hit_role(line, "go_on").alias("role"))
+    line = F.element_at(F.array(*map(F.lit, ROLE_LINES)), (F.col("p_partkey") % len(ROLE_LINES) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.hit_role(line).alias("role"), T.hit_role(line, True).alias("in_tests"))
+
+
+TASKS = ["find callers of X", "how many X are there", "rename X to Y", "explain X", "account balance count", "count the files", "please count it", "who calls X", "called by whom", "谁调用 X", "统计 X", "重命名 X", "recount usage", "miscount the lines"]
 
 
-@query("task_classes", "SELECT p_partkey, ['refs', 'count', 'rename', 'other'][1 + p_partkey % 4] AS class FROM part")
+@query("task_classes", "SELECT p_partkey, ['refs', 'count', 'rename', 'other', 'other', 'count', 'count', 'refs', 'refs', 'refs', 'count', 'rename', 'refs', 'other'][1 + p_partkey % 14] AS class FROM part")
 def task_classes(spark, sf_dir):
-    texts = ("find call sites of X", "how many X are there", "rename X to Y", "explain X")
-    return table(spark, sf_dir, "part").select("p_partkey", T.task_class(F.element_at(F.array(*map(F.lit, texts)), (F.col("p_partkey") % 4 + 1).cast("int"))).alias("class"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.task_class(F.element_at(F.array(*map(F.lit, TASKS)), (F.col("p_partkey") % len(TASKS) + 1).cast("int"))).alias("class"))
 
 
 @query("anchors", "SELECT p_partkey, p_name || ' ' || p_type || '  @' || p_brand || ':' || p_size AS anchor FROM part")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -168,11 +168,62 @@ def pruned_cache(cache: DataFrame, live: DataFrame) -> DataFrame:
     return cache.join(live.select("language", "sha").distinct(), ["language", "sha"], "left_semi")
 
 
+def without_declared(files: DataFrame, excludes: list[str]) -> DataFrame:
+    """path, reason: Ignored for files that are or lie under a directory that a manifest excludes, else null.
+
+    A file's ancestors are looked up, so that many excludes are one equi-join."""
+    wanted = [d for d in (_normal_dir(x) for x in excludes) if d and d != "."]
+    if not wanted:
+        return files.select("path", F.lit(None).cast("string").alias("reason"))
+    dirs = files.sparkSession.createDataFrame([(d,) for d in dict.fromkeys(wanted)], "_dir string")
+    above = files.select("path", F.explode(F.array_append(T.ancestors(T.dir_of("path")), F.col("path"))).alias("_dir"))
+    hit = above.join(dirs, "_dir", "left_semi").select("path").distinct().withColumn("reason", F.lit("Ignored"))
+    return files.select("path").join(hit, "path", "left")
+
+
+def _normal_dir(raw: str) -> str:
+    """A directory as manifests write it, in normal form."""
+    import re
+
+    return re.sub(r"^(\./|/)+", "", raw.replace("\\", "/")).rstrip("/")
+
+
+def report_lines(gaps: DataFrame, languages: DataFrame) -> DataFrame:
+    """line_no, line of a coverage report in Markdown.  gaps: reason, n; languages: language, files, loc: few rows each."""
+    head = lambda n, *lines: gaps.sparkSession.createDataFrame([(n, k, x) for k, x in enumerate(lines)], "part int, k int, line string")
+    order = lambda df, n, by, text: df.select(F.lit(n).alias("part"), F.row_number().over(Window.orderBy(*by)).alias("k"), text.alias("line"))
+    langs = order(languages, 1, [F.desc("files"), F.col("language")], F.concat(F.lit("| "), F.coalesce("language", F.lit("-")), F.lit(" | "), F.col("files").cast("string"), F.lit(" | "), F.col("loc").cast("string"), F.lit(" |")))
+    missed = order(gaps, 3, [F.desc("n"), F.col("reason")], F.concat(F.lit("- "), F.col("reason"), F.lit(": "), F.col("n").cast("string")))
+    parts = head(0, "# Coverage", "", "| language | files | lines |", "|-|-|-|").union(langs).union(head(2, "", "## Not indexed", "")).union(missed)
+    return parts.select(F.row_number().over(Window.orderBy("part", "k")).alias("line_no"), "line")
+
+
+def write_report(lines: DataFrame, path: str) -> None:
+    """The lines as one text file, replaced in one step: a reader sees the old report or the new one."""
+    fs_path = lines.sparkSession._jvm.org.apache.hadoop.fs.Path
+    target, fresh = fs_path(path), f"{path}.part"
+    fs = target.getFileSystem(lines.sparkSession._jsc.hadoopConfiguration())
+    lines.orderBy("line_no").select("line").coalesce(1).write.mode("overwrite").text(fresh)
+    made = next(s.getPath() for s in fs.listStatus(fs_path(fresh)) if s.getPath().getName().startswith("part-"))
+    fs.delete(target, True)
+    fs.rename(made, target)
+    fs.delete(fs_path(fresh), True)
+
+
 def write_snapshot(spark: SparkSession, root: str, version: int, **tables: DataFrame) -> None:
-    """Writes a version's tables, each to its own folder; the version is there when all have their _SUCCESS file."""
+    """Writes a version's tables, each to its own folder, and at last the manifest that names them: without it there is no
+    such version."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/version={version}/{name}")
+    spark.createDataFrame([(n,) for n in tables], "name string").coalesce(1).write.mode("overwrite").parquet(f"{root}/version={version}/manifest")
 
 
 def read_snapshot(spark: SparkSession, root: str, version: int, name: str) -> DataFrame:
+    """A table of a version that is there whole; any other is an error."""
+    manifest = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/version={version}/manifest/_SUCCESS")
+    if not manifest.getFileSystem(spark._jsc.hadoopConfiguration()).exists(manifest):
+        raise FileNotFoundError(f"version {version} of {root} was not written whole")
+    names = {r["name"] for r in spark.read.parquet(f"{root}/version={version}/manifest").collect()}
+    if name not in names:
+        raise KeyError(f"version {version} of {root} has no table {name}")
     return spark.read.parquet(f"{root}/version={version}/{name}")

@@ -76,3 +76,30 @@ def test_snapshots(spark, tmp_path):
     df = spark.createDataFrame([(1, "a")], "id int, path string")
     S.write_snapshot(spark, str(tmp_path / "s"), 3, files=df)
     assert S.read_snapshot(spark, str(tmp_path / "s"), 3, "files").collect() == df.collect()
+
+
+def test_snapshots_are_read_whole_or_not_at_all(spark, tmp_path):
+    import pytest
+
+    root, df = f"file:{tmp_path}/s", spark.range(3)
+    S.write_snapshot(spark, root, 1, files=df, edges=df.limit(1))
+    assert S.read_snapshot(spark, root, 1, "files").count() == 3
+    df.write.parquet(f"{root}/version=2/files")  # a writer that died
+    with pytest.raises(FileNotFoundError):
+        S.read_snapshot(spark, root, 2, "files")
+    with pytest.raises(KeyError):
+        S.read_snapshot(spark, root, 1, "symbols")
+
+
+def test_report_is_one_file_replaced_in_one_step(spark, tmp_path):
+    gaps = spark.createDataFrame([("TooLarge", 2)], "reason string, n long")
+    languages = spark.createDataFrame([("Go", 3, 10), (None, 1, 1)], "language string, files long, loc long")
+    for _ in range(2):
+        S.write_report(S.report_lines(gaps, languages), f"{tmp_path}/report.md")
+    assert (tmp_path / "report.md").read_text().split("\n")[:6] == ["# Coverage", "", "| language | files | lines |", "|-|-|-|", "| Go | 3 | 10 |", "| - | 1 | 1 |"]
+    assert not (tmp_path / "report.md.part").exists()
+
+
+def test_declared_excludes_are_directories(spark):
+    df = spark.createDataFrame([("gen/a.py",), ("gen2/a.py",), ("x/gen/a.py",), ("gen",)], "path string")
+    assert {r["path"] for r in S.without_declared(df, ["./gen/"]).filter("reason = 'Ignored'").collect()} == {"gen/a.py", "gen"}
