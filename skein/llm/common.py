@@ -76,6 +76,20 @@ def packed(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*quoted).alias("row"))
 
 
+#: Ids that may be broadcast, once counted; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def counted_broadcast(ids: DataFrame) -> DataFrame:
+    """``ids``, few columns of numbers, marked for broadcast if they are at most BROADCAST_IDS."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``row``, all columns of ``docs`` as a struct, of the rows whose doc_id is not among ``ids`` (gone)."""
+    return packed(docs).join(counted_broadcast(ids), F.col("row.doc_id").cast("bigint").eqNullSafe(F.col("gone")), "left_anti")
+
+
 def told_apart(rows: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """``rows`` with nodes that stand for one thing each.  node and check are two hashes of it; where things of different
     checks share a node, both hashes make another.  Rows without a node stay.  ``keep`` writes what was made anew."""

@@ -27,7 +27,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hadoop_fs, packed, remove, scratch, written
+from .common import counted_broadcast, hadoop_fs, packed, remove, scratch, without_ids, written
 
 SALTS = 64
 #: Digests that a bucket should hold: about 100 MB.
@@ -178,13 +178,14 @@ def deduplicate(docs: DataFrame, index: DigestIndex, salts: int = SALTS) -> Data
 def drop_copies(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows that repeat a doc_id and its text, one."""
     found = deduplicate(docs, index)
-    whole = packed(docs)  # no name of a column of ``docs`` is met by one of ours
-    doc_id = F.col("row.doc_id").cast("bigint")
-    kept = written(found.filter("kept").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n"), F.count_distinct("text_sha256").alias("texts")), scratch(docs.sparkSession, "kept"))
-    single = whole.join(kept.filter("n = 1").select("kept_id"), doc_id.eqNullSafe(F.col("kept_id")), "left_semi")
-    if kept.filter("n > 1").isEmpty():
+    of_id = found.groupBy(F.col("doc_id").alias("gone")).agg(F.count("*").alias("n"), F.count_if("kept").alias("kept"))
+    of_id = written(of_id.filter("n > 1 OR kept = 0"), scratch(docs.sparkSession, "not-single"))
+    single = without_ids(docs, of_id.select("gone"))  # what is left has one row an id, and it stays
+    if of_id.filter("n > 1 AND kept > 0").isEmpty():
         return single.select("row.*")
-    again = whole.join(kept.filter("n > 1").select("kept_id"), doc_id.eqNullSafe(F.col("kept_id")), "left_semi").select("row", doc_id.alias("id"), digest(F.col("row.text")).alias("digest"))
+    repeated = counted_broadcast(of_id.filter("n > 1 AND kept > 0").select("gone"))
+    again = packed(docs).join(repeated, F.col("row.doc_id").cast("bigint").eqNullSafe(F.col("gone")), "left_semi")
+    again = again.select("row", F.col("row.doc_id").cast("bigint").alias("id"), digest(F.col("row.text")).alias("digest"))
     texts = found.filter("kept").select(F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_digest")).distinct()
     again = again.join(texts, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")), "left_semi")
     first = again.groupBy("id", "digest").agg(F.min_by("row", F.to_json("row")).alias("row"))

@@ -15,7 +15,7 @@ Ids, keys and sizes are shuffled to form blocks; bitmaps go only to blocks of tw
 same members one is kept.  For forests a block larger than CHUNK members is cut at random into chunks, anew for each key,
 so that no task gets a whole hot block and no row is copied; its members count as partnered.  Only at last, if it still
 has several components, is it split by ranges of sizes that may link, and what is still larger into chunks that meet two
-by two.  Copies and near-copies are never expanded into all pairs: once connected, they are one component.
+by two; members of its largest component do not meet each other again.  Copies and near-copies are never expanded into all pairs: once connected, they are one component.
 
 Words: `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased.  A text of one to four words is one shingle; null and empty texts have
 none and link with nothing.  Of rows that repeat a doc_id, each is reported with its own text's component.  A null
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, packed, release, remove, scratch, small_batches, told_apart, written
+from .common import counted_broadcast, map_text, release, remove, scratch, small_batches, told_apart, without_ids, written
 from .components import components
 from .shingles import Bands, bitmap, shingle_sets, signature
 from .signature_tree import candidates, spanning
@@ -42,13 +42,13 @@ PERCENT = 75
 BANDS, ROWS = 34, 2
 SALTS = 64
 CHUNK = 1024
-#: Rounds of forests at most, before all pairs that remain are verified; a round that adds less than one link to so many
-#: is the last.
-FORESTS, FEW_LINKS = 4, 20
-#: Ids that may be broadcast, once counted; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Rounds of forests at most, before all pairs that remain are verified; a round that leaves more than half of the blocks
+#: with several components is the last.
+FORESTS = 4
+#: Tasks over which the classes of one component are named.
+PARTS = 16
 #: Classes whose bands a task remembers to have given already.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 _BANDS = Bands(BANDS, ROWS)
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("bitmap", pa.binary()), ("bands", pa.list_(pa.int64()))])
@@ -86,9 +86,7 @@ def sketches(docs: DataFrame, node_bits: int = 64) -> DataFrame:
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node and its sorted hashes, for the wanted (doc_id, check, node); a document's text tells which of them is its own."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
-    if wanted.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = counted_broadcast(wanted.select(F.col("doc_id").alias("_id")).distinct())
     chosen = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
     def make():
@@ -108,9 +106,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     arrow = pa.schema([("doc_id", pa.int64()), ("check", pa.int64()), ("hashes", pa.binary())])
     read = map_text(chosen, make, "doc_id long, check long, hashes binary", arrow, per_task=True)
-    own = wanted.select(F.col("doc_id").alias("_id"), F.col("check").alias("_check"), "node")
-    if wanted.count() <= BROADCAST_IDS:
-        own = F.broadcast(own)
+    own = counted_broadcast(wanted.select(F.col("doc_id").alias("_id"), F.col("check").alias("_check"), "node"))
     return read.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("check") == F.col("_check"))).select("node", "hashes")
 
 
@@ -200,23 +196,35 @@ def _chunks(entries: DataFrame, chunk: int) -> DataFrame:
 
 
 def _meetings(entries: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """key, part, node such that each two members that may link meet.  Large blocks are split by size, where a range is as
-    wide as a link allows and a block holds one range and the next; what is still large into chunks that meet two by two.
+    """entries: key, node, size, n, component.  key, part, node such that each two members of different components that may
+    link meet.
 
-    home: the key before it was split; high: the member's size is in the upper of the two ranges; own: its chunk; across:
-    whether the part is one of two chunks.  Two high members meet in another block too, two of a chunk in the chunk's own."""
+    Large blocks are split by size, where a range is as wide as a link allows and a block holds one range and the next.
+    In what is still large, the members of the component that most belong to need not meet each other: they are cut into
+    chunks, each of which meets the chunks of the others, and the others' chunks meet two by two.
+
+    home: the key before it was split; high: the member's size is in the upper of the two ranges; own: its side (of the
+    large component or not) or its chunk; across: whether only members of different ``own`` are paired here.  Two high
+    members meet in another block too, two of a side or a chunk in another part."""
     level = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.col("size").cast("int")
     small = entries.filter(F.col("n") <= chunk).select("key", F.lit(0).cast("bigint").alias("part"), "node", F.col("key").alias("home"), F.lit(False).alias("high"), F.lit(0).alias("own"), F.lit(False).alias("across"))
     large = entries.filter(F.col("n") > chunk).withColumn("range", F.explode(F.array(level - 1, level)))
-    large = large.select(F.xxhash64("key", "range").alias("key"), "node", F.col("key").alias("home"), (level > F.col("range")).alias("high"))
-    ranged = large.join(large.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
+    large = large.select(F.xxhash64("key", "range").alias("key"), "node", "component", F.col("key").alias("home"), (level > F.col("range")).alias("high"))
+    sizes = large.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"))
     half = max(1, chunk // 2)
-    chunks = F.when(F.col("n") <= chunk, 1).otherwise(F.ceil(F.col("n") / half)).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    other = F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = ranged.withColumn("chunks", chunks).withColumn("own", own).withColumn("other", other)
-    part = F.least("own", "other").cast("bigint") * F.col("chunks") + F.greatest("own", "other")
-    return small.unionByName(rows.select("key", part.alias("part"), "node", "home", "high", "own", (F.col("own") != F.col("other")).alias("across")))
+    count = lambda n: F.greatest(F.lit(1), F.ceil(n / half)).cast("int")
+    ranged = large.join(sizes.filter("most < n"), "key").withColumns({"of_main": count(F.col("most")), "of_rest": count(F.col("n") - F.col("most")), "is_main": F.col("component") == F.col("main")})
+    chunks = F.when(F.col("is_main"), F.col("of_main")).otherwise(F.col("of_rest"))
+    rows = ranged.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
+    whole = rows.filter(F.col("n") <= chunk).select("key", F.lit(0).cast("bigint").alias("part"), "node", "home", "high", F.lit(0).alias("own"), F.lit(False).alias("across"))
+    rows = rows.filter(F.col("n") > chunk)
+    facing = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("of_rest")).otherwise(F.col("of_main")) - 1)))
+    place = F.when(F.col("is_main"), F.col("chunk").cast("bigint") * F.col("of_rest") + F.col("other")).otherwise(F.col("other").cast("bigint") * F.col("of_rest") + F.col("chunk"))
+    facing = facing.select("key", place.alias("part"), "node", "home", "high", F.col("is_main").cast("int").alias("own"), F.lit(True).alias("across"))
+    rest = rows.filter("NOT is_main").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of_rest") - 1)))
+    pair = F.col("of_main").cast("bigint") * F.col("of_rest") + F.least("chunk", "other").cast("bigint") * F.col("of_rest") + F.greatest("chunk", "other")
+    rest = rest.select("key", pair.alias("part"), "node", "home", "high", F.col("chunk").alias("own"), (F.col("chunk") != F.col("other")).alias("across"))
+    return small.unionByName(whole).unionByName(facing).unionByName(rest)
 
 
 def _best_pairs(pairs: DataFrame) -> DataFrame:
@@ -264,15 +272,16 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK,
     tried = keep(_best_pairs(pairs), "tried")
     sets = more_sets(pairs, None)
     links = keep(verify(tried, sets, percent), "links")
-    found, settled = components(links), False
+    found, before = components(links), None
     for n in range(FORESTS + 1):
         state = keep(known.select("node", "size", "bitmap").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "state")
-        mixed = entries.join(state.select("node", "component"), "node").groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("key")
-        mixed = keep(mixed, "mixed")
-        if mixed.isEmpty():
+        placed = keep(entries.join(state.select("node", "component"), "node"), "placed")
+        mixed = keep(placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("key"), "mixed")
+        n_mixed = mixed.count()
+        if not n_mixed:
             break
-        forest = n < FORESTS and not settled
-        still = entries.join(mixed, "key", "left_semi")
+        forest = n < FORESTS and (before is None or 2 * n_mixed <= before)
+        before, still = n_mixed, keep(placed.join(mixed, "key", "left_semi"), "still")
         if forest:
             given = forest_pairs(_chunks(still, chunk).join(state, "node"), percent)
         else:
@@ -281,16 +290,17 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, chunk: int = CHUNK,
         pairs = keep(given.select("u", "v").join(tried, ["u", "v"], "left_anti"), "pairs")
         sets = more_sets(pairs, sets)
         fresh = keep(verify(pairs, sets, percent), "links")
-        tried, n_fresh = tried.unionByName(pairs), fresh.count()
-        settled = n_fresh * FEW_LINKS < links.count()
-        if n_fresh:
+        tried = tried.unionByName(pairs)
+        if not fresh.isEmpty():
             links = links.unionByName(fresh)
             found = components(links)
         if not forest:
             break
-    joined = classes.join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    settled = joined.join(least, "component").select("node", "component_id")
+    grouped = found.select("node", "component").union(found.select(F.col("component").alias("node"), "component").distinct())
+    grouped = keep(classes.select("node", "doc_id").join(grouped, "node"), "grouped")
+    least = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    named = grouped.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int")).join(least, ["component", "part"]).select("node", "component_id")
+    settled = classes.select("node", "doc_id").join(named, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
     by_salt = keep(parts.select("node", "salt").join(settled, "node"), "components")
     linked = full.select("doc_id", F.col("size").alias("n_shingles"), "node", "salt").join(by_salt, ["node", "salt"]).select("doc_id", "n_shingles", "component_id")
     alone = rows.filter("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
@@ -305,5 +315,6 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     Rows that share a doc_id stay or go together.
     """
     found = jaccard_groups(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
-    return packed(docs).join(kept, F.col("row.doc_id").cast("bigint").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")
+    stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = written(found.groupBy(F.col("doc_id").alias("gone")).agg(stays.alias("stays")).filter("NOT stays").select("gone"), scratch(docs.sparkSession, "near-copies"))
+    return without_ids(docs, gone).select("row.*")

@@ -129,6 +129,12 @@ def test_clashing_names_and_any_type(spark, drop):
     assert all(r["m"] == {"x": r["doc_id"]} and [r[c] for c in names] == list(range(len(names))) for r in rows)
 
 
+def test_drop_copies_of_an_id_with_a_text_that_stays_and_one_that_goes(spark):
+    df = spark.createDataFrame([(1, "a"), (3, "a"), (3, "b"), (4, "a"), (4, "a"), (5, "z"), (None, "z"), (None, "q")], "doc_id long, text string")
+    got = exact_dedup.drop_copies(df, exact_dedup.DigestIndex(spark, scratch(spark, "t")))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [(1, "a"), (3, "b"), (5, "z"), (None, "q")]))
+
+
 # --- near ------------------------------------------------------------------
 
 
