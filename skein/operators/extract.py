@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..session import bounded_batches
+
 # --- lexing ----------------------------------------------------------------
 
 #: language -> line comment marks, block comment ends, quotes.
@@ -94,7 +96,7 @@ DEFINITIONS: dict[str, list[tuple[str, str]]] = {
     "Swift": [("Interface", r"^\s*(?:\w+\s+)*protocol\s+(?P<n>\w+)"), ("Struct", r"^\s*(?:\w+\s+)*struct\s+(?P<n>\w+)"), ("Enum", r"^\s*(?:\w+\s+)*enum\s+(?P<n>\w+)"), ("Class", r"^\s*(?:\w+\s+)*(?:class|actor)\s+(?P<n>(?!func\b)\w+)"), ("Function", r"^\s*(?:@?\w+\s+)*func\s+(?P<n>\w+)")],
     "Ruby": [("Module", r"^\s*module\s+(?P<n>[\w:]+)"), ("Class", r"^\s*class\s+(?P<n>[\w:]+)"), ("Method", r"^\s*def\s+(?:self\.)?(?P<n>[\w?!]+)")],
     "Lua": [("Function", r"^\s*(?:local\s+)?function\s+(?:[\w.]+[.:])?(?P<n>\w+)"), ("Function", r"^\s*(?:local\s+)?(?:[\w.]+\.)?(?P<n>\w+)\s*=\s*function\b")],
-    "Shell": [("Function", r"^\s*(?:function\s+)?(?P<n>[\w:.-]+)\s*\(\)\s*\{?"), ("Function", r"^\s*function\s+(?P<n>[\w:.-]+)")],
+    "Shell": [("Function", r"^\s*@test\s+[\"'](?P<n>.*)[\"']\s*\{"), ("Function", r"^\s*(?:function\s+)?(?P<n>[\w:.-]+)\s*\(\)\s*\{?"), ("Function", r"^\s*function\s+(?P<n>[\w:.-]+)")],
     "Php": [("Interface", r"^\s*interface\s+(?P<n>\w+)"), ("Trait", r"^\s*trait\s+(?P<n>\w+)"), ("Class", r"^\s*(?:\w+\s+)*class\s+(?P<n>\w+)"), ("Function", r"^\s*(?:\w+\s+)*function\s+&?(?P<n>\w+)")],
     "Dart": [("Class", r"^\s*(?:abstract\s+|final\s+|base\s+)*(?:class|mixin)\s+(?P<n>\w+)"), ("Enum", r"^\s*enum\s+(?P<n>\w+)"), ("Function", r"^\s*(?:static\s+)?[\w<>?]+\s+(?P<n>\w+)\s*\([^;]*\)\s*(?:async\s*)?(?:\{|=>)")],
     "Proto": [("Struct", r"^\s*message\s+(?P<n>\w+)"), ("Enum", r"^\s*enum\s+(?P<n>\w+)"), ("Interface", r"^\s*service\s+(?P<n>\w+)"), ("Method", r"^\s*rpc\s+(?P<n>\w+)")],
@@ -109,10 +111,10 @@ DEFINITIONS |= {n: _SCRIPT for n in ("TypeScript", "Tsx", "JavaScript", "Vue")}
 IMPORTS: dict[str, list[str]] = {
     "Python": [r"^\s*from\s+(\.*[\w.]*)\s+import\b", r"^\s*import\s+([\w.]+(?:\s*,\s*[\w.]+)*)"],
     "Go": [r'^\s*import\s+(?:[\w.]+\s+)?"([^"]+)"', r'^\s+(?:[\w.]+\s+)?"([^"]+)"\s*$'],
-    "Rust": [r"^\s*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;{]+?)(?:::\{|::\*|\s+as\s+\w+)?\s*[;{]", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(mod\s+\w+)\s*;"],
+    "Rust": [r"^\s*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);", r"^\s*(?:#\[path\s*=\s*\"[^\"]+\"\]\s*)?(?:pub(?:\([^)]*\))?\s+)?(mod\s+\w+)\s*;"],
     "Java": [r"^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;"],
     "Kotlin": [r"^\s*import\s+([\w.]+(?:\.\*)?)"],
-    "Swift": [r"^\s*(?:@\w+\s+)?import\s+(?:\w+\s+)?([\w.]+)"],
+    "Swift": [r"^\s*(?:@\w+\s+)?import[ \t]+(?:\w+[ \t]+)?([\w.]+)"],
     "Ruby": [r"^\s*require\s+['\"]([^'\"]+)", r"^\s*require_relative\s+['\"]([^'\"]+)"],
     "Lua": [r"\brequire\s*\(?\s*['\"]([^'\"]+)"],
     "Shell": [r"^\s*(?:source|\.)\s+['\"]?([^\s'\";]+)"],
@@ -149,6 +151,8 @@ def _end_line(lines: list[str], start: int, language: str) -> int:
         return start
     depth, opened = 0, False
     for n in range(start - 1, len(lines)):
+        if not opened and not lines[n].strip():
+            return start
         for c in lines[n]:
             if c == "{":
                 depth, opened = depth + 1, True
@@ -185,11 +189,32 @@ def symbols_of(language: str, text: str) -> list[tuple[str, str, str, int, int,
             if m := rule.match(line):
                 if kind == "Function" and language in ("Python", "Rust", "Php", "Kotlin", "Swift") and len(line) - len(line.lstrip()):
                     kind = "Method"
-                out.append((m["n"], kind, " ".join(source[n - 1].split())[:200], n, _end_line(lines, n, language), exported(language, m["n"], line)))
+                name = source[n - 1][m.start("n") : m.end("n")]
+                out.append((name, kind, " ".join(source[n - 1].split())[:200], n, _end_line(lines, n, language), exported(language, name, line)))
                 break
     return out
 
 
+def use_paths(tree: str) -> list[str]:
+    """The paths of a use tree, braces expanded, in order; ``self`` in braces is the path before them, names after ``as`` and a
+    final * fall away."""
+    tree = " ".join(tree.split())
+    at = tree.find("{")
+    if at < 0:
+        path = re.sub(r"\s+as\s+\w+$", "", tree.strip()).replace(" ", "")
+        return [re.sub(r"::(\*|self)$", "", path)] if path not in ("", "*") else []
+    out, depth, start, end = [], 0, at + 1, len(tree)
+    for n in range(at, len(tree)):
+        c = tree[n]
+        depth += (c == "{") - (c == "}")
+        if (c == "," and depth == 1) or (c == "}" and depth == 0):
+            out += [p for p in use_paths(tree[:at] + tree[start:n]) if tree[start:n].strip()]
+            start = n + 1
+        if c == "}" and depth == 0:
+            break
+    return list(dict.fromkeys(out))
+
+
 def imports_of(language: str, text: str) -> list[str]:
     code, found = blanked(text, language, ("comment",)), []
     for p in IMPORTS.get(language, []):
@@ -197,7 +222,10 @@ def imports_of(language: str, text: str) -> list[str]:
             spec = m[1].strip()
             if language == "Ruby" and "require_relative" in m[0]:
                 spec = f"relative:{spec}"
-            specs = [s.strip() for s in spec.split(",")] if language == "Python" else [re.sub(r"^mod\s+", "mod ", spec)]
+            specs = [s.strip() for s in spec.split(",")] if language == "Python" else [spec]
+            if language == "Rust":
+                named = re.search(r'#\[path\s*=\s*"([^"]+)"', m[0])
+                specs = [re.sub(r"^mod\s+", "mod ", spec) + (f" = {named[1]}" if named else "")] if re.match(r"mod\s", spec) else use_paths(spec)
             found += [(m.start(), s) for s in specs if s]
     return [s for _, s in sorted(found)]
 
@@ -215,6 +243,24 @@ def calls_of(language: str, text: str) -> list[tuple[str, int]]:
 PARSED = "path string, language string, partial boolean, symbols array<struct<name:string,kind:string,signature:string,start_line:int,end_line:int,exported:boolean>>, imports array<string>, calls array<struct<callee:string,line:int>>"
 
 
+def parse(path: str, language: str, text: str) -> tuple[list[tuple], list[str], list[tuple[str, int]]]:
+    """Symbols, imports and calls of one file, over all its readings; what two readings share is given once.  A component
+    is a module itself, its script's names are exported, and its template calls."""
+    from .prepare import component, prepared, template_calls
+
+    symbols, imports, calls = [], [], []
+    vue = language == "Vue"
+    if vue:
+        symbols.append((component(path), "Module", f"vue SFC {component(path)}", 1, max(1, len(text.splitlines())), True))
+        calls += template_calls(text)
+    for inner, reading in prepared(path, language, text):
+        known = {(s[0], s[3]) for s in symbols}, set(imports), set(calls)
+        symbols += [(*s[:5], True) if vue else s for s in symbols_of(inner, reading) if (s[0], s[3]) not in known[0]]
+        imports += [i for i in imports_of(inner, reading) if i not in known[1]]
+        calls += [c for c in calls_of(inner, reading) if c not in known[2]]
+    return sorted(symbols, key=lambda s: s[3]), imports, calls
+
+
 def parsed(files: DataFrame) -> DataFrame:
     """files: path, language, text.  One row a file; ``explode`` its lists for the tables of symbols, imports, calls."""
 
@@ -223,15 +269,31 @@ def parsed(files: DataFrame) -> DataFrame:
             rows = []
             for path, language, text in zip(batch["path"], batch["language"], batch["text"], strict=True):
                 try:
-                    s = [dict(zip(("name", "kind", "signature", "start_line", "end_line", "exported"), x, strict=True)) for x in symbols_of(language, text or "")]
-                    rows.append((path, language, False, s, imports_of(language, text or ""), [{"callee": c, "line": n} for c, n in calls_of(language, text or "")]))
+                    symbols, imports, calls = parse(path or "", language, text or "")
+                    s = [dict(zip(("name", "kind", "signature", "start_line", "end_line", "exported"), x, strict=True)) for x in symbols]
+                    rows.append((path, language, False, s, imports, [{"callee": c, "line": n} for c, n in calls]))
                 except (RecursionError, re.error, ValueError):
                     rows.append((path, language, True, [], [], []))
             yield pd.DataFrame(rows, columns=["path", "language", "partial", "symbols", "imports", "calls"])
 
+    bounded_batches(files.sparkSession)
     return files.select("path", "language", "text").mapInPandas(run, PARSED)
 
 
+def diagnosed(files: DataFrame) -> DataFrame:
+    """path, line, what, class of the files that cannot be read whole, one row each: their first place of error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from .prepare import diagnosis
+
+        for batch in batches:
+            found = [(path, diagnosis(language, text or "")) for path, language, text in zip(batch["path"], batch["language"], batch["text"], strict=True)]
+            yield pd.DataFrame([(path, *d) for path, d in found if d], columns=["path", "line", "what", "class"])
+
+    bounded_batches(files.sparkSession)
+    return files.select("path", "language", "text").mapInPandas(run, "path string, line int, what string, class string")
+
+
 def masked_lines(files: DataFrame) -> DataFrame:
     """path, line_no, line with comments and strings blanked; languages without a lexer come back as they are, lexed
     false."""

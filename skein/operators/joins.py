@@ -62,12 +62,30 @@ def by_suffix(wanted: DataFrame, files: DataFrame, given: str = "given") -> Data
     return met.groupBy(given).agg(F.min(rank).alias("b")).select(given, F.col("b.path").alias("path"))
 
 
+def nearest_of(asked: DataFrame, have: DataFrame) -> DataFrame:
+    """path, key, target.  asked: path, key; have: key, target.  Of the targets of the key, but the path itself, the one that
+    shares most leading directories, then the shortest, then the smallest.
+
+    Targets are reduced to one for each directory above them and each key, so a name that many files have is never paired
+    with all that ask for it."""
+    asked = asked.select("path", "key").distinct()
+    have = have.join(asked.select("key").distinct(), "key", "left_semi")
+    under = have.select("key", "target", F.explode(T.ancestors(T.dir_of("target"))).alias("_up"))
+    order = F.min(F.struct(F.length("target").alias("n"), F.col("target").alias("target")))["target"]
+    first = under.groupBy("_up", "key").agg(order.alias("_first"))
+    own = first.join(asked.select(F.col("path").alias("_first"), "key"), ["_first", "key"], "left_semi")
+    second = under.join(own, ["_up", "key"]).filter("target != _first").groupBy("_up", "key").agg(order.alias("_second"))
+    tries = asked.select("path", "key", F.explode(T.ancestors(T.dir_of("path"))).alias("_up"))
+    met = tries.join(first.join(second, ["_up", "key"], "left"), ["_up", "key"])
+    met = met.withColumn("target", F.when(F.col("_first") != F.col("path"), F.col("_first")).otherwise(F.col("_second"))).filter("target IS NOT NULL")
+    return met.groupBy("path", "key").agg(F.max_by("target", F.length("_up")).alias("target"))
+
+
 def nearest(wanted: DataFrame, files: DataFrame, importer: str = "importer", base: str = "base") -> DataFrame:
     """Of the files of a base name the one that shares most leading directories with the importer, then the shortest."""
-    have = files.select(F.col("path").alias("target"), T.base_of("path").alias(base))
-    met = wanted.join(have, base).filter(F.col(importer) != F.col("target"))
-    rank = F.struct(-T.shared_segments(importer, "target"), F.length("target"), F.col("target").alias("target"))
-    return met.groupBy(importer, base).agg(F.min(rank).alias("b")).select(importer, base, F.col("b.target").alias("target"))
+    have = files.select(F.col("path").alias("target"), T.base_of("path").alias("key"))
+    met = nearest_of(wanted.select(F.col(importer).alias("path"), F.col(base).alias("key")), have)
+    return met.select(F.col("path").alias(importer), F.col("key").alias(base), "target")
 
 
 def pattern_match(specs: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import bounded_batches
-from .joins import first_match
+from ..session import bounded_batches, checkpointed
+from .joins import first_match, nearest_of
 
 
 def join_rel(base: str, rel: str) -> str | None:
@@ -76,7 +76,10 @@ def java(path: str, spec: str, roots: list[str]) -> list[str]:
 
 
 def rust(path: str, spec: str, roots: list[str]) -> list[str]:
+    """``mod x``, ``mod x = file`` (a module whose file is named by an attribute) and paths; roots are the src of crates."""
     here, stem = dirname(path), re.sub(r".*/|\.rs$", "", path)
+    if m := re.match(r"mod \w+ = (.+)$", spec):
+        return [x for x in [join_rel(here, m[1])] if x]
     inner = here if stem in ("mod", "lib", "main") else _join(here, stem)
     if m := re.match(r"mod (\w+)$", spec):
         return [_join(inner, f"{m[1]}.rs"), _join(inner, f"{m[1]}/mod.rs")]
@@ -90,7 +93,8 @@ def rust(path: str, spec: str, roots: list[str]) -> list[str]:
             base = dirname(base) if parts[0] == "super" else base
             parts = parts[1:]
     else:
-        base = next((r for r in roots if r.split("/")[-2:-1] == [parts[0].replace("_", "-")] or r.split("/")[-2:-1] == [parts[0]]), None)
+        named = dict(r.partition("=")[::2] for r in roots if "=" in r)
+        base = named.get(parts[0]) if parts[0] in named else next((r for r in roots if r.split("/")[-2:-1] == [parts[0].replace("_", "-")] or r.split("/")[-2:-1] == [parts[0]]), None)
         parts = parts[1:]
     if base is None:
         return []
@@ -103,7 +107,8 @@ def dart(path: str, spec: str, roots: list[str]) -> list[str]:
         return []
     if spec.startswith("package:"):
         package, _, rest = spec.removeprefix("package:").partition("/")
-        return [_join(r, f"lib/{rest}") for r in roots if r.split("/")[-1] == package] + [f"lib/{rest}"]
+        named = [_join(r.partition("=")[2], rest) for r in roots if r.startswith(f"{package}=")]
+        return named + [_join(r, f"lib/{rest}") for r in roots if r.split("/")[-1] == package] + [f"lib/{rest}"]
     at = join_rel(dirname(path), spec)
     return [at, f"{at}.dart"] if at else []
 
@@ -179,19 +184,23 @@ RULES: dict[str, Callable[[str, str, list[str]], list[str]]] = {
 
 
 def candidates(imports: DataFrame, roots: dict[str, list[str]] | None = None) -> DataFrame:
-    """imports: path, language, spec.  Adds priority and candidate, one row a try; languages without a rule give none."""
+    """imports: path, language, spec, and if they are known the importer's own ``roots`` and paths to try after them,
+    ``bases`` (arrays, null: none).  Adds priority and candidate, one row a try; languages without a rule give none."""
     roots = roots or {}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for path, language, spec in zip(batch["path"], batch["language"], batch["spec"], strict=True):
-                tries = RULES[language](path, spec, roots.get(language, [""])) if language in RULES and path and spec else []
+            for path, language, spec, own, bases in zip(batch["path"], batch["language"], batch["spec"], batch["roots"], batch["bases"], strict=True):
+                tries = RULES[language](path, spec, roots.get(language, [""]) if own is None else list(own)) if language in RULES and path and spec else []
+                if language in RULES and bases is not None:
+                    tries = tries + [t for b in bases for t in RULES[language](path, f"/{b}", [])]
                 rows += [(path, language, spec, n, c) for n, c in enumerate(dict.fromkeys(filter(None, tries)))]
             yield pd.DataFrame(rows, columns=["path", "language", "spec", "priority", "candidate"])
 
     bounded_batches(imports.sparkSession)
-    return imports.select("path", "language", "spec").distinct().mapInPandas(run, "path string, language string, spec string, priority int, candidate string")
+    facts = [(F.col(c) if c in imports.columns else F.lit(None)).cast("array<string>").alias(c) for c in ("roots", "bases")]
+    return imports.select("path", "language", "spec", *facts).distinct().mapInPandas(run, "path string, language string, spec string, priority int, candidate string")
 
 
 def resolve(imports: DataFrame, files: DataFrame, roots: dict[str, list[str]] | None = None) -> DataFrame:
@@ -219,3 +228,111 @@ def resolve_types(imports: DataFrame, declared: DataFrame) -> DataFrame:
     """Imports of a type by full name: its file if only one declares it.  declared: spec (namespace.name), target."""
     single = declared.groupBy("spec").agg(F.min("target").alias("target"), F.count_distinct("target").alias("n")).filter("n = 1")
     return imports.join(single, "spec").filter("path != target").select("path", "spec", "target")
+
+
+def resolve_declared(imports: DataFrame, declared: DataFrame) -> DataFrame:
+    """Imports of a package (pkg.*) or of a name in it.  declared: package, name, target.
+
+    A wildcard means every file of the package; a name every file that declares it, after the longest leading part of the
+    specifier that is declared, so nested names come back to their file."""
+    wild = imports.filter(F.col("spec").endswith(".*")).withColumn("package", F.expr("left(spec, length(spec) - 2)"))
+    whole = wild.join(declared.select("package", "target").distinct(), "package").select("path", "spec", "target")
+    parts = F.split("spec", r"\.")
+    leading = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+    single = imports.filter(~F.col("spec").endswith(".*")).select("path", "spec").distinct()
+    tries = single.select("spec").distinct().select("spec", F.explode(leading).alias("full"))
+    names = declared.select(F.concat_ws(".", F.when(F.col("package") != "", F.col("package")), F.col("name")).alias("full"), "target").distinct()
+    best = tries.join(names.select("full").distinct(), "full", "left_semi").groupBy("spec").agg(F.max_by("full", F.length("full")).alias("full"))
+    named = single.join(best, "spec").join(names, "full").select("path", "spec", "target")
+    return whole.unionByName(named).filter("path != target").distinct()
+
+
+#: Directories from which a name in angles may be reached.
+INCLUDE_DIRS = ("include", "inc", "includes", "public", "src")
+
+
+def resolve_suffix(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """Includes that no directory has: of the files whose path ends in /spec the one that shares most leading directories
+    with the importer, then the shortest, then the smallest.  A name in angles needs an include directory before it.
+
+    Ends of paths are enumerated only for base names that are asked for, so the join is on the whole specifier."""
+    asked = imports.select("path", "spec", F.regexp_replace("spec", r'^[<"]|[>"]$', "").alias("_n")).distinct()
+    parts = F.split("path", "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "/"))
+    bases = asked.select(T.base_of("_n").alias("_base")).distinct()
+    have = files.select("path").withColumn("_base", T.base_of("path")).join(bases, "_base", "left_semi").select(F.col("path").alias("target"), F.explode(ends).alias("_n"))
+    before = F.expr("substring_index(left(target, greatest(length(target) - length(_n) - 1, 0)), '/', -1)")
+    have = have.select("target", F.explode(F.when(before.isin(*INCLUDE_DIRS), F.array(F.col("_n"), F.concat(F.lit("<"), "_n"))).otherwise(F.array("_n"))).alias("key"))
+    key = F.when(F.col("spec").startswith("<"), F.concat(F.lit("<"), "_n")).otherwise(F.col("_n"))
+    asked = asked.select("path", "spec", key.alias("key"))
+    return asked.join(nearest_of(asked, have), ["path", "key"]).select("path", "spec", "target")
+
+
+def resolve_targets(imports: DataFrame, files: DataFrame, targets: DataFrame) -> DataFrame:
+    """Imports of a module whose folder a manifest names.  targets: dir (the manifest's), spec (module), folder.
+
+    The module of the nearest manifest above the importer counts, else that of the smallest folder.  It is represented by
+    the file of its name, else its smallest direct file, else the smallest below it."""
+    asked = imports.select("path", "spec").distinct()
+    up = asked.select("path", "spec", F.explode(T.ancestors(T.dir_of("path"))).alias("dir"))
+    own = up.join(targets, ["dir", "spec"]).groupBy("path", "spec").agg(F.max_by("folder", F.length("dir")).alias("_own"))
+    any_ = targets.groupBy("spec").agg(F.min("folder").alias("_any"))
+    placed = asked.join(any_, "spec").join(own, ["path", "spec"], "left").select("path", "spec", F.coalesce("_own", "_any").alias("folder"))
+    below = files.filter(F.col("path").endswith(".swift")).select(F.col("path").alias("target"), F.explode(T.ancestors(T.dir_of("path"))).alias("folder"))
+    rank = F.struct((T.stem_of("target") != F.col("spec")).alias("a"), (T.dir_of("target") != F.col("folder")).alias("b"), F.col("target").alias("target"))
+    best = targets.select("spec", "folder").distinct().join(below, "folder").groupBy("spec", "folder").agg(F.min(rank)["target"].alias("target"))
+    return placed.join(best, ["spec", "folder"]).filter("path != target").select("path", "spec", "target")
+
+
+_SCRIPT = ("TypeScript", "Tsx", "JavaScript", "Vue")
+_C = ("C", "Cpp", "ObjC", "ObjCpp")
+
+
+def resolve_repository(files: DataFrame) -> DataFrame:
+    """path, language, spec, target of every import of sources that has a target.  files: path, language, text.
+
+    Sources are read once into imports and symbols, manifests once into facts; every language then has its own joins, and
+    rules by path go before rules by declaration or by the end of a path."""
+    from . import extract, facts as K
+
+    read = checkpointed(extract.parsed(files))
+    known = checkpointed(K.manifests(files))
+    paths = files.select("path").distinct()
+    imports = read.select("path", "language", F.explode("imports").alias("spec")).distinct()
+    symbols = read.select("path", F.explode("symbols").alias("s")).select("path", F.col("s.name").alias("name"))
+    declared = K.declared(files, symbols)
+
+    def of(*languages: str) -> DataFrame:
+        return imports.filter(F.col("language").isin(*languages))
+
+    def told(language: str) -> DataFrame:
+        return known.filter(F.col("language") == language)
+
+    targets = told("Swift").select("dir", F.col("key").alias("spec"), F.col("at").alias("folder")).filter("folder IS NOT NULL")
+    modules = resolve_targets(of("Swift"), paths, targets).withColumn("language", F.lit("Swift"))
+    plain = of(*(n for n in RULES if n not in (*_SCRIPT, "Python", "Rust", "Dart", "Php", "Swift", "Java", "Kotlin")))
+    asked = [
+        plain,
+        of("Swift").join(modules, ["path", "spec"], "left_anti"),
+        K.rooted(of("Python"), told("Python")),
+        K.rooted(of("Php"), told("Php"), "namespace"),
+        K.keyed(of("Rust"), told("Rust"), F.regexp_extract("spec", r"^(\w+)", 1)),
+        K.keyed(of("Dart"), told("Dart"), F.regexp_extract("spec", r"^package:([^/]+)/", 1)),
+        K.script_bases(of(*_SCRIPT), told("TypeScript")),
+    ]
+    whole = asked[0]
+    for a in asked[1:]:
+        whole = whole.unionByName(a, allowMissingColumns=True)
+    empty = F.array().cast("array<string>")
+    whole = whole.withColumn("roots", F.when(F.col("language").isin("Rust", "Dart", "Php"), F.coalesce("roots", empty)).otherwise(F.col("roots")))
+    by_path = checkpointed(first_match(candidates(whole), paths, ["path", "language", "spec"]))
+    ends = resolve_suffix(of(*_C).join(by_path, ["path", "spec"], "left_anti"), paths)
+    jvm = declared.filter(F.col("language").isin("Java", "Kotlin"))
+    net = declared.filter(F.col("language").isin("CSharp", "VisualBasic"))
+    names = resolve_declared(of("Java", "Kotlin"), jvm)
+    spaces = resolve_namespaces(of("CSharp", "VisualBasic"), net.filter("package != ''").select(F.col("package").alias("spec"), "target"))
+    types = resolve_types(of("CSharp", "VisualBasic"), net.select(F.concat_ws(".", F.when(F.col("package") != "", F.col("package")), "name").alias("spec"), "target").join(spaces.select("spec"), "spec", "left_anti"))
+    go = resolve_packages(of("Go").select("path", "spec"), paths, told("Go").select(F.col("key").alias("name"), "dir"))
+    rest = ends.unionByName(names).unionByName(spaces).unionByName(types).unionByName(go)
+    rest = rest.join(read.select("path", "language"), "path").select("path", "language", "spec", "target")
+    return by_path.select("path", "language", "spec", "target").unionByName(modules.select("path", "language", "spec", "target")).unionByName(rest).distinct()
