@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import extract as X
+from ..operators import implement as I
 from ..operators import resolve as R
 from ..sources.tables import table
 from .registry import query
@@ -132,3 +134,19 @@ for _name in REPOSITORIES:
 @query("syntax_errors", f"SELECT {_filled('path')}, line, what, class FROM part, {_values([(p, *d) for p, _, _, d in BROKEN if d], 'path, line, what, class')}")
 def syntax_errors(spark, sf_dir):
     return X.diagnosed(texts(spark, sf_dir, [b[:3] for b in BROKEN]))
+
+
+GO = [
+    ("i{k}/go.mod", "Go", "module example.com/i{k}\n"),
+    ("i{k}/p/iface.go", "Go", "package p\n\ntype Closer interface {\n\tClose() error\n}\n\ntype Store interface {\n\tCloser\n\tGet(key string, n int) (string, error)\n}\n\ntype Odd interface {\n\tio.Reader\n\tClose() error\n}\n\ntype Own struct {\n}\n\nfunc (o Own) Close() error {\n\treturn nil\n}\n"),
+    ("i{k}/q/types.go", "Go", 'package q\n\nimport "example.com/i{k}/p"\n\ntype base struct {\n}\n\nfunc (b *base) Close() error {\n\treturn nil\n}\n\ntype Disk struct {\n\t*base\n\tn int\n}\n\nfunc (d *Disk) Get(key string, n int) (string, error) {\n\treturn key, nil\n}\n\ntype Bad struct {\n\tbase\n}\n\nfunc (b *Bad) Get(key string) (string, error) {\n\treturn key, nil\n}\n'),
+    ("i{k}/far/types.go", "Go", "package far\n\ntype Far struct {\n}\n\nfunc (f Far) Close() error {\n\treturn nil\n}\n"),
+]
+IMPLEMENT = [("i{k}/p", "Closer", "i{k}/p", "Own"), ("i{k}/p", "Closer", "i{k}/q", "base"), ("i{k}/p", "Closer", "i{k}/q", "Disk"), ("i{k}/p", "Closer", "i{k}/q", "Bad"), ("i{k}/p", "Store", "i{k}/q", "Disk")]
+
+
+@query("implementing", f"SELECT {_filled('dir')}, interface, {_filled('type_dir')}, type FROM part, {_values(IMPLEMENT, 'dir, interface, type_dir, type')}")
+def implementing(spark, sf_dir):
+    files = texts(spark, sf_dir, GO)
+    near = R.resolve_repository(files).select(T.dir_of("target").alias("dir"), T.dir_of("path").alias("user")).distinct()
+    return I.implementing(I.members(files), near)

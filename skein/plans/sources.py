@@ -125,11 +125,11 @@ def resolve_namespaces(spark, sf_dir):
     return R.resolve_namespaces(table(spark, sf_dir, "customer").select(name("c_custkey").alias("path"), F.col("c_mktsegment").alias("spec")), declared)
 
 
-@query("resolve_types", "WITH d AS (SELECT p_name AS spec, min(p_partkey) AS t, count(*) AS n FROM part GROUP BY 1) SELECT 'use/' || c_custkey || '.cs' AS path, spec, t || '.cs' AS target FROM customer JOIN part ON p_partkey = c_custkey JOIN d ON spec = p_name WHERE n = 1")
+@query("resolve_types", "WITH d AS (SELECT p_name || '.' || p_type || '.' || p_brand AS spec, min(p_partkey) AS t, count(*) AS n FROM part GROUP BY 1) SELECT 'use/' || c_custkey || '.cs' AS path, spec, t || '.cs' AS target FROM customer JOIN part ON p_partkey = c_custkey JOIN d ON spec = p_name || '.' || p_type || '.' || p_brand WHERE n = 1")
 def resolve_types(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    declared = part.select(F.col("p_name").alias("spec"), F.concat(F.col("p_partkey").cast("string"), F.lit(".cs")).alias("target"))
-    imports = table(spark, sf_dir, "customer").join(part, F.col("p_partkey") == F.col("c_custkey")).select(F.concat(F.lit("use/"), F.col("c_custkey").cast("string"), F.lit(".cs")).alias("path"), F.col("p_name").alias("spec"))
+    part = table(spark, sf_dir, "part").withColumn("spec", F.concat_ws(".", "p_name", "p_type", "p_brand"))
+    declared = part.select("spec", F.concat(F.col("p_partkey").cast("string"), F.lit(".cs")).alias("target"))
+    imports = table(spark, sf_dir, "customer").join(part, F.col("p_partkey") == F.col("c_custkey")).select(F.concat(F.lit("use/"), F.col("c_custkey").cast("string"), F.lit(".cs")).alias("path"), "spec")
     return R.resolve_types(imports, declared)
 
 

@@ -265,7 +265,7 @@ def semi_join(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").join(promo, "l_partkey", "left_semi").groupBy("l_suppkey").agg(F.count("*").alias("n"))
 
 
-@query("anti_join", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+@query("anti_join", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
 def anti_join(spark, sf_dir):
-    buyers = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    buyers = table(spark, sf_dir, "orders").filter("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf_dir, "customer").join(buyers, "c_custkey", "left_anti").select("c_custkey", "c_name")
