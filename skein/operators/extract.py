@@ -280,6 +280,15 @@ def parsed(files: DataFrame) -> DataFrame:
     return files.select("path", "language", "text").mapInPandas(run, PARSED)
 
 
+def reparsed(before: DataFrame, files: DataFrame, changes: DataFrame) -> DataFrame:
+    """Stored parses (as of ``parsed``) after changes (path, and kind: created, modified or removed): only files that were
+    created or modified are read again, and rows of every changed path go.  A changed file that is not there any more
+    has none; a path that stands in several changes is read once."""
+    touched = changes.select("path").distinct()
+    fresh = files.join(changes.filter("kind != 'removed'").select("path").distinct(), "path", "left_semi")
+    return before.join(touched, "path", "left_anti").unionByName(parsed(fresh))
+
+
 def diagnosed(files: DataFrame) -> DataFrame:
     """path, line, what, class of the files that cannot be read whole, one row each: their first place of error."""
 

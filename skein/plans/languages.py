@@ -150,3 +150,19 @@ def implementing(spark, sf_dir):
     files = texts(spark, sf_dir, GO)
     near = R.resolve_repository(files).select(T.dir_of("target").alias("dir"), T.dir_of("path").alias("user")).distinct()
     return I.implementing(I.members(files), near)
+
+
+@query(
+    "reparsed",
+    """WITH p AS (SELECT p_partkey AS k FROM part)
+SELECT 'm' || k || '.py' AS path, CASE WHEN k % 3 = 0 THEN 'new' ELSE 'old' END || k AS name FROM p WHERE k % 3 <> 1
+UNION ALL SELECT 'n' || k || '.py', 'made' || k FROM p WHERE k % 3 = 1""",
+)
+def reparsed(spark, sf_dir):
+    """Of the files before, one in three is modified, one removed, and one made beside the removed one."""
+    k = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    code = "concat({0}, k, '.py') AS path", "'Python' AS language", "concat('def ', {1}, k, '():\\n    pass\\n') AS text"
+    old = k.selectExpr(*(c.format("'m'", "'old'") for c in code))
+    now = k.filter("k % 3 != 1").selectExpr(*(c.format("'m'", "if(k % 3 = 0, 'new', 'old')") for c in code)).union(k.filter("k % 3 = 1").selectExpr(*(c.format("'n'", "'made'") for c in code)))
+    changes = k.filter("k % 3 < 2").selectExpr("concat('m', k, '.py') AS path", "if(k % 3 = 0, 'modified', 'removed') AS kind").union(k.filter("k % 3 = 1").selectExpr("concat('n', k, '.py')", "'created'"))
+    return X.reparsed(X.parsed(old), now, changes).select("path", F.explode("symbols").alias("s")).select("path", F.col("s.name").alias("name"))
