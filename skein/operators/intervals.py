@@ -1,13 +1,15 @@
 """Joins of points and intervals within files, without comparing all pairs of a file.
 
-An interval is filed under the bins of its own scale: with 2**level at least its length, it meets one or two bins of
-that width.  A point looks into one bin for each scale that occurs, at most 63 of them, so the join is an equi-join on
-(file, level, bin) and every candidate is close by, whatever the number of intervals in a file.
+Points meet the smallest interval around them in one sweep over each file.  For all pairs, an interval is filed under the
+bins of its own scale: with 2**level at least its length, it meets one or two bins of that width.  A point looks into one
+bin for each scale that occurs, at most 63 of them, so the join is an equi-join on (file, level, bin) and every candidate
+is close by, whatever the number of intervals in a file.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -43,15 +45,40 @@ def levels_of(intervals: DataFrame) -> list[int]:
 
 def enclosing(points: DataFrame, intervals: DataFrame, at: str = "line", least_lines: int = 1) -> DataFrame:
     """Each point with the smallest interval around it: ties go to the earlier start, then name.  Points outside all
-    intervals are left out.  points: file_id, ``at``; intervals: file_id, name, kind, start_line, end_line."""
+    intervals are left out.  points: file_id, ``at``; intervals: file_id, name, kind, start_line, end_line.
+
+    A sweep over each file's starts and points in order, with a heap of the intervals begun, smallest first: one that has
+    ended when it comes to the top has ended for all later points.  No pair of a point and an interval is made into a row."""
     usable = intervals.filter(F.col("end_line") - F.col("start_line") + 1 >= least_lines)
-    keys = [c for c in points.columns]
-    distinct = points.select("file_id", at).distinct()
-    met = _probing(distinct, at, levels_of(usable)).join(_binned(usable), ["file_id", "_level", "_bin"]).filter(F.col(at).between(F.col("start_line"), F.col("end_line")))
-    span = F.col("end_line") - F.col("start_line")
-    best = met.groupBy("file_id", at).agg(F.min(F.struct(span.alias("span"), "start_line", "name", "kind", "end_line")).alias("b"))
-    found = best.select("file_id", at, F.col("b.name").alias("name"), F.col("b.kind").alias("kind"), F.col("b.start_line").alias("start_line"), F.col("b.end_line").alias("end_line"))
-    return points.join(found, ["file_id", at]).select(*keys, "name", "kind", "start_line", "end_line")
+    found = ["name", "kind", "start_line", "end_line"]
+    begun = usable.select("file_id", F.col("start_line").cast("bigint").alias("_at"), F.lit(False).alias("_point"), *found)
+    asked = points.select("file_id", F.col(at).cast("bigint").alias("_at"), F.lit(True).alias("_point"), *(F.lit(None).cast(usable.schema[c].dataType).alias(c) for c in found))
+    rows = begun.unionByName(asked.filter("_at IS NOT NULL")).filter("file_id IS NOT NULL")
+    keys = ["file_id", "_at"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, last, heap = None, None, []
+        for batch in batches:
+            out = []
+            for file_id, line, point, name, kind, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if file_id != file:
+                    file, last, heap = file_id, None, []
+                if not point:
+                    heappush(heap, (end - start, start, name is not None, name or "", kind is not None, kind or "", end))
+                elif line != last:
+                    last = line
+                    while heap and heap[0][-1] < line:
+                        heappop(heap)
+                    if heap:
+                        _, start, named, name, kinded, kind, end = heap[0]
+                        out.append((file_id, line, name if named else None, kind if kinded else None, start, end))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, batch.schema.field(n).type) for c, n in zip(zip(*out, strict=True), keys + found, strict=True)], names=keys + found)
+
+    bounded_batches(intervals.sparkSession)
+    swept = rows.repartition("file_id").sortWithinPartitions("file_id", "_at", "_point")
+    met = swept.mapInArrow(run, StructType([rows.schema[c] for c in keys + found]))
+    return points.join(met.withColumn("_at", F.col("_at").cast(points.schema[at].dataType)).withColumnRenamed("_at", at), ["file_id", at]).select(*points.columns, *found)
 
 
 def strictly_contains(a: str, b: str) -> Column:
