@@ -45,7 +45,7 @@ def test_smallest_enclosing_against_brute_force(spark):
     assert {tuple(x) for x in got.select("id", "name", "kind", "start_line", "end_line").collect()} == want
 
 
-@pytest.mark.parametrize("name", ["extract_csharp", "extract_vue", "extract_typescript", "extract_rust", "extract_kotlin", "extract_lua", "extract_swift", "extract_cpp", "extract_dart", "extract_symbols", "extract_visualbasic", "extract_proto", "extract_imports", "extract_shell", "extract_php", "extract_java", "extract_objc"])
+@pytest.mark.parametrize("name", ["extract_csharp", "extract_vue", "extract_typescript", "extract_rust", "extract_kotlin", "extract_lua", "extract_swift", "extract_cpp", "extract_dart", "extract_symbols", "extract_visualbasic", "extract_proto", "extract_imports", "extract_shell", "extract_php", "extract_java", "extract_objc", "extract_go"])
 def test_parsing_is_spread(spark, name):
     """One row group of keys is parsed by many tasks."""
     assert plans.QUERIES[name](spark, SF).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
