@@ -10,6 +10,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -171,13 +172,37 @@ def rate_guard(calls: DataFrame, us: str, id_: str, most: int = RATE_MAX, window
     """id, prior (calls before it in the half-open window, over all keys), warned.
 
     Time is cut into buckets of the window's length; each call stands in its own bucket and, as a past one, in the next,
-    so that no bucket needs more than its neighbour and none is a global window.
+    so that no bucket needs more than its neighbour and none is a global window.  Sorted calls are counted by where their
+    window's ends fall among them, so a bucket of many calls costs no more a call than one of few.
     """
     bucket = F.expr(f"{us} div {window_us}")
-    rows = calls.select(F.col(id_).alias("id"), F.col(us).alias("us"), bucket.alias("b"))
+    rows = calls.select(F.col(id_).alias("id"), F.col(us).cast("bigint").alias("us"), bucket.alias("b"))
     both = rows.withColumn("own", F.lit(True)).unionByName(rows.withColumn("b", F.col("b") + 1).withColumn("own", F.lit(False)))
-    w = Window.partitionBy("b").orderBy("us").rangeBetween(-(window_us - 1), -1)
-    return both.withColumn("prior", F.count("*").over(w)).filter("own").select("id", "us", "prior", (F.col("prior") >= most).alias("warned"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, np.empty(0, np.int64)  # the bucket, and its times that later calls may count
+        for batch in batches:
+            times, buckets = (batch.column(c).to_numpy() for c in ("us", "b"))
+            prior = np.zeros(len(times), np.int64)
+            ends = [*(np.flatnonzero(np.diff(buckets)) + 1), len(times)] if len(times) else []
+            start = 0
+            for end in ends:
+                if buckets[start] != at:
+                    at, held = buckets[start], held[:0]
+                own = times[start:end]
+                known = np.concatenate([held[np.searchsorted(held, own[0] - window_us, "right") :], own])
+                prior[start:end] = np.searchsorted(known, own, "left") - np.searchsorted(known, own - window_us, "right")
+                held, start = known, end
+            kept = batch.column("own")
+            out = [batch.column("id").filter(kept), batch.column("us").filter(kept), pa.array(prior).filter(kept)]
+            yield pa.RecordBatch.from_arrays(out, names=["id", "us", "prior"])
+
+    bounded_batches(calls.sparkSession)
+    shape = StructType([rows.schema["id"], rows.schema["us"], StructField("prior", LongType())])
+    swept = both.filter("us IS NOT NULL").repartition("b").sortWithinPartitions("b", "us").mapInArrow(run, shape)
+    nulls = rows.filter("us IS NULL").select("id", "us")  # they are peers of each other only
+    found = swept.unionByName(nulls.crossJoin(nulls.agg(F.count("*").alias("prior"))))
+    return found.select("id", "us", "prior", (F.col("prior") >= most).alias("warned"))
 
 
 def burst_counts(calls: DataFrame, key: list[str], us: str, period_us: int) -> DataFrame:

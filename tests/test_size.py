@@ -49,3 +49,15 @@ def test_smallest_enclosing_against_brute_force(spark):
 def test_parsing_is_spread(spark, name):
     """One row group of keys is parsed by many tasks."""
     assert plans.QUERIES[name](spark, SF).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_rate_over_dense_windows_and_nulls(spark):
+    from skein.operators import changes as C
+
+    r = random.Random(3)
+    rows = [(n, r.choice([None, r.randrange(-50, 4000), 77])) for n in range(3000)]
+    times = [t for _, t in rows]
+    want = {n: sum(x is None for x in times) if t is None else sum(x is not None and t - 99 <= x < t for x in times) for n, t in rows}
+    got = C.rate_guard(spark.createDataFrame(rows, "id long, us long"), "us", "id", most=12, window_us=100)
+    assert "WindowExec" not in planned(got) and "Window [" not in planned(got)
+    assert {x["id"]: (x["us"], x["prior"], x["warned"]) for x in got.collect()} == {n: (t, want[n], want[n] >= 12) for n, t in rows}
