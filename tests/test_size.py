@@ -83,3 +83,20 @@ def test_caches_match_their_sql(spark, tmp_path, name, case):
     want = duck.sql(plans.ORACLE_SQL[name])
     at = [want.columns.index(c) for c in df.columns]
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(repr(tuple(r[k] for k in at)) for r in want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["resolve_packages"])
+def test_pairs_of_few_keys_are_dealt_over_all_cores(spark, name):
+    rdd = plans.QUERIES[name](spark, SF).rdd
+    assert rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_pairs_over_several_blocks(spark, monkeypatch):
+    from skein.operators import resolve as R
+
+    monkeypatch.setattr(R, "BLOCK", 7)
+    imports = [(f"p{n}", f"s{n % 3}") for n in range(60)] + [("p1", "s1"), (None, "s1"), ("q", None)]
+    declared = [(f"s{n % 4}", f"p{n}") for n in range(50)] + [("s1", None), (None, "p1")]
+    got = R.resolve_namespaces(spark.createDataFrame(imports, "path string, spec string"), spark.createDataFrame(declared, "spec string, target string"))
+    want = [(p, s, t) for p, s in imports for k, t in declared if s is not None and s == k and None not in (p, t) and p != t]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
