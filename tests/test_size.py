@@ -85,7 +85,7 @@ def test_caches_match_their_sql(spark, tmp_path, name, case):
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(repr(tuple(r[k] for k in at)) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["resolve_packages"])
+@pytest.mark.parametrize("name", ["resolve_packages", "resolve_namespaces"])
 def test_pairs_of_few_keys_are_dealt_over_all_cores(spark, name):
     rdd = plans.QUERIES[name](spark, SF).rdd
     assert rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
