@@ -16,7 +16,7 @@ def planned(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["enclosing_min", "enclosing_long", "merged_bodies"])
+@pytest.mark.parametrize("name", ["enclosing_min", "enclosing_long", "merged_bodies", "resolve_c_family"])
 def test_no_broadcast_on_an_estimate(spark, name):
     assert "Broadcast" not in planned(plans.QUERIES[name](spark, SF))
 
