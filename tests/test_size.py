@@ -100,3 +100,9 @@ def test_pairs_over_several_blocks(spark, monkeypatch):
     got = R.resolve_namespaces(spark.createDataFrame(imports, "path string, spec string"), spark.createDataFrame(declared, "spec string, target string"))
     want = [(p, s, t) for p, s in imports for k, t in declared if s is not None and s == k and None not in (p, t) and p != t]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["resolve_swift"])
+def test_only_languages_that_import_have_joins(spark, name):
+    """A plan with the joins of every language is run and held by the driver, whatever languages there are."""
+    assert planned(plans.QUERIES[name](spark, SF)).count("Join") <= 10
