@@ -106,3 +106,12 @@ def test_pairs_over_several_blocks(spark, monkeypatch):
 def test_only_languages_that_import_have_joins(spark, name):
     """A plan with the joins of every language is run and held by the driver, whatever languages there are."""
     assert planned(plans.QUERIES[name](spark, SF)).count("Join") <= 10
+
+
+def test_steps_of_embedding_are_made_once(spark):
+    from skein.operators import implement as I
+
+    rows = [("d", "type", f"E{n}", True, None, None, None) for n in range(7)] + [("d", "embed", f"E{n}", True, f"E{n + 1}", None, None) for n in range(6)]
+    sets, partial = I.method_sets(spark.createDataFrame(rows, I.MEMBERS))
+    assert planned(partial).count("Join") <= 4
+    assert sorted(r["name"] for r in partial.collect()) == ["E0", "E1"] and sets.collect() == []
