@@ -102,7 +102,7 @@ def test_pairs_over_several_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
-@pytest.mark.parametrize("name", ["resolve_swift", "resolve_dotnet", "resolve_rust", "resolve_jvm"])
+@pytest.mark.parametrize("name", ["resolve_swift", "resolve_dotnet", "resolve_rust", "resolve_jvm", "resolve_dart_php_go"])
 def test_only_languages_that_import_have_joins(spark, name):
     """A plan with the joins of every language is run and held by the driver, whatever languages there are."""
     assert planned(plans.QUERIES[name](spark, SF)).count("Join") <= 10
