@@ -1,6 +1,7 @@
 """Plans and operators at sizes: nothing large goes through the driver or one task."""
 
 import random
+import re
 
 import pytest
 
@@ -102,6 +103,16 @@ def test_pairs_over_several_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_rows_of_two_blocks_are_not_held(spark):
+    """One compiled stage that opens both blocks of a pair would hold all their rows."""
+    from skein.operators import resolve as R
+
+    got = R.resolve_namespaces(spark.createDataFrame([("p", "s"), ("q", "s")], "path string, spec string"), spark.createDataFrame([("s", "t"), ("s", "u")], "spec string, target string"))
+    assert len(got.collect()) == 4
+    final = planned(got).split("Initial Plan")[0]
+    assert final.count("Generate explode") == 2 and len(re.findall(r"\*\(\d+\) Generate explode", final)) == 1
+
+
 @pytest.mark.parametrize("name", ["resolve_swift", "resolve_dotnet", "resolve_rust", "resolve_jvm", "resolve_dart_php_go"])
 def test_only_languages_that_import_have_joins(spark, name):
     """A plan with the joins of every language is run and held by the driver, whatever languages there are."""
