@@ -113,6 +113,35 @@ def test_rows_of_two_blocks_are_not_held(spark):
     assert final.count("Generate explode") == 2 and len(re.findall(r"\*\(\d+\) Generate explode", final)) == 1
 
 
+def test_tries_that_differ_in_their_ending_are_one_row(spark):
+    from skein.operators import resolve as R
+
+    imports = [("a/t/x.py", "Python", "k.m"), ("a/t/x.ts", "TypeScript", "./y"), ("a/t/x.ts", "TypeScript", "./y.js")]
+    got = R.candidates(spark.createDataFrame(imports, "path string, language string, spec string")).groupBy("path", "spec").count().collect()
+    assert {(r["path"], r["spec"]): r["count"] for r in got} == {("a/t/x.py", "k.m"): 3, ("a/t/x.ts", "./y"): 1, ("a/t/x.ts", "./y.js"): 2}
+
+
+def test_first_try_against_brute_force(spark):
+    """Names that end in endings, importers that name themselves, files twice."""
+    from skein.operators import resolve as R
+
+    assert 2 < len(R.ENDS) < R._STEP and [n for n, e in enumerate(R.ENDS) if e == ""] == [0]
+    r = random.Random(5)
+    names = ["a", "b", "index", "mod", "lib", "init", "__init__", "a.d", "b.js", "c\n", "index.ts\n", "é"]
+    paths = ["/".join([*r.choices(names[:4], k=r.randrange(3)), r.choice(names) + r.choice([*R.ENDS, ".json", ".x", ".d.ts.ts"])]) for _ in range(900)]
+    specs = {"Python": ["a", "a.b", ".a", "..", ".", "mod.index", "b.__init__"], "TypeScript": ["./a", "./b.js", "../index", "./a.d", "./index", "a/b", "/a", "./index.ts"], "Rust": ["mod a", "mod q = a.rs", "crate::a::b", "super::mod", "self::index"], "Lua": ["a", "a.init", "b.lua"], "Ruby": ["relative:a", "b"], "Java": ["a.b", "a.b.C.*"], "Shell": ["$D/a", "a.x"], "Go": ["a"]}
+    imports = [(r.choice(paths), language, r.choice(specs[language])) for language in r.choices(list(specs), k=900)] + [(None, "Python", "a"), ("a.py", "Python", None), ("a.py", None, "a")]
+    roots = {"Python": ["a", ""], "Java": ["", "mod"]}
+    want = {}
+    for p, language, s in imports:
+        tries = R.RULES[language](p, s, roots.get(language, [""])) if language in R.RULES and p and s else []
+        if found := [t for t in tries if t and t != p and t in set(paths)]:
+            want[p, language, s] = found[0]
+    got = R.resolve(spark.createDataFrame(imports, "path string, language string, spec string"), spark.createDataFrame([(p,) for p in [*paths, *paths[:50], None]], "path string"), roots).collect()
+    assert len(want) > 200 and len(got) == len(want)
+    assert {(x["path"], x["language"], x["spec"]): x["target"] for x in got} == want
+
+
 @pytest.mark.parametrize("name", ["resolve_swift", "resolve_dotnet", "resolve_rust", "resolve_jvm", "resolve_dart_php_go"])
 def test_only_languages_that_import_have_joins(spark, name):
     """A plan with the joins of every language is run and held by the driver, whatever languages there are."""
